@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, url_filter
+from . import chat, decontaminate, simhash, url_filter
 from .common import table
 
 #: Rules of the URL query: host, path, action.
@@ -71,5 +71,41 @@ FROM sized GROUP BY conv_id
 """
 
 
-QUERIES = {"op8_url_filter": op8_url_filter, "op9_chat": op9_chat}
-ORACLES = {"op8_url_filter": OP8_SQL, "op9_chat": OP9_SQL}
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.mark_contaminated(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
+
+
+OP5_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), item AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), sized AS (
+  SELECT item_id, w, least(10, len(w)) AS k FROM item WHERE len(w) > 0
+), item_window AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS words FROM sized, unnest(range(1, len(w) - k + 2)) AS t(i)
+), doc_window AS (
+  SELECT doc_id, s.k, i, array_to_string(w[i:i + s.k - 1], ' ') AS words
+  FROM doc, (SELECT DISTINCT k FROM sized) s, unnest(range(1, len(w) - s.k + 2)) AS t(i)
+), found AS (
+  SELECT doc_id, d.k, i, item_id FROM doc_window d JOIN item_window m ON d.words = m.words AND d.k = m.k
+), hits AS (
+  SELECT doc_id, count(DISTINCT j) AS n FROM found, unnest(range(i, i + k)) AS t(j) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM found) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(d.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, h.n IS NOT NULL AS contaminated
+FROM doc LEFT JOIN hits h USING (doc_id) LEFT JOIN named d USING (doc_id)
+"""
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(docs)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op5_decontamination": op5_decontamination, "op8_url_filter": op8_url_filter, "op9_chat": op9_chat, "op10_simhash": op10_simhash}
+ORACLES = {"op5_decontamination": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_chat": OP9_SQL}
