@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, simhash, url_filter
+from . import chat, decontaminate, quality_rules, secret_scan, simhash, url_filter
 from .common import table
 
 #: Rules of the URL query: host, path, action.
@@ -71,6 +71,25 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality_rules.judge(docs, keep_text=False).select("doc_id", *counts)
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    number = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        number(0).alias("n_assign"),
+        number(1).alias("n_access"),
+        number(2).alias("n_hex"),
+        F.sha2(secret_scan.listed(F.col("base_spans")), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.mark_contaminated(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
@@ -107,5 +126,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op5_decontamination": op5_decontamination, "op8_url_filter": op8_url_filter, "op9_chat": op9_chat, "op10_simhash": op10_simhash}
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op5_decontamination": op5_decontamination, "op7_secrets": op7_secrets, "op8_url_filter": op8_url_filter, "op9_chat": op9_chat, "op10_simhash": op10_simhash}
 ORACLES = {"op5_decontamination": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_chat": OP9_SQL}
