@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, quality_rules, secret_scan, simhash, url_filter
+from . import chat, decontaminate, language_id, packing, quality_model, quality_rules, secret_scan, simhash, url_filter, warc
 from .common import table
 
 #: Rules of the URL query: host, path, action.
@@ -71,6 +71,33 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.read_archives(index, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def held_out(divisor: int, rest: int):
+    """Whether the id's CRC leaves this remainder."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor)) == rest, F.lit(False))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    network = language_id.train(language_id.training_stretches(docs.where(~held_out(4, 2))))
+    found = language_id.label_languages(docs.select("doc_id", "text"), network, keep_text=False)
+    return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    found = quality_model.classify(docs, labels, ~held_out(5, 0))
+    return found.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -126,5 +153,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op3_quality_rules": op3_quality_rules, "op5_decontamination": op5_decontamination, "op7_secrets": op7_secrets, "op8_url_filter": op8_url_filter, "op9_chat": op9_chat, "op10_simhash": op10_simhash}
+QUERIES = {
+    "op1_warc": op1_warc,
+    "op2_packing": op2_packing,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_language_id": op4_language_id,
+    "op5_decontamination": op5_decontamination,
+    "op6_quality_model": op6_quality_model,
+    "op7_secrets": op7_secrets,
+    "op8_url_filter": op8_url_filter,
+    "op9_chat": op9_chat,
+    "op10_simhash": op10_simhash,
+}
 ORACLES = {"op5_decontamination": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_chat": OP9_SQL}
