@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import feature_queries
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """Hourly bars with window primitives."""
+    return feature_queries.primitives(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(feature_queries.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(feature_queries.SQL)
