@@ -29,19 +29,13 @@ def append_stream(stream: DataFrame, path: str, checkpoint: str, keys: tuple[str
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
-        try:
-            table = spark.read.schema(batch.schema).parquet(path)
-            table.limit(1).count()
-        except Exception as error:  # no table yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            table = spark.createDataFrame([], batch.schema)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+        table = spark.read.schema(batch.schema).parquet(path) if there else spark.createDataFrame([], batch.schema)
         if faults_path:
             faults = overlap_faults(batch, table, ["open", "high", "low", "close"], list(keys))
             faults.withColumn("batch", F.lit(number)).write.mode("append").parquet(faults_path)
         absent(batch, table, list(keys)).write.mode("append").parquet(path)
-        batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
