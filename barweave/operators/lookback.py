@@ -150,9 +150,11 @@ def _placed(found: np.ndarray, size: int) -> np.ndarray:
 
 
 def dominant_cycle(d: pd.DataFrame, lookback: int, n: int = 50) -> dict[str, np.ndarray]:
-    """Length of the strongest wave of the window and its share of all amplitudes."""
-    w = _windows(d.close.to_numpy(float), n)
-    size = np.abs(np.fft.fft(w - w.mean(axis=1, keepdims=True), axis=1))[:, 1 : n // 2] if len(w) else np.zeros((0, 1))
+    """Length of the strongest wave of the window and its share of all amplitudes; the lookback must hold the window."""
+    w = _windows(d.close.to_numpy(float), n if lookback >= n else len(d) + 1)
+    if not len(w):
+        return {f"cycle_length_{n}": np.full(len(d), np.nan), f"cycle_strength_{n}": np.full(len(d), np.nan)}
+    size = np.abs(np.fft.fft(w - w.mean(axis=1, keepdims=True), axis=1))[:, 1 : n // 2]
     best = size.argmax(axis=1)
     with np.errstate(all="ignore"):
         share = size[np.arange(len(size)), best] / size.sum(axis=1)
@@ -160,8 +162,8 @@ def dominant_cycle(d: pd.DataFrame, lookback: int, n: int = 50) -> dict[str, np.
 
 
 def spectral_entropy(d: pd.DataFrame, lookback: int, n: int = 50) -> dict[str, np.ndarray]:
-    """Entropy of the window's power spectrum, between 0 and 1."""
-    w = _windows(d.close.to_numpy(float), n)
+    """Entropy of the window's power spectrum, between 0 and 1; the lookback must hold the window."""
+    w = _windows(d.close.to_numpy(float), n if lookback >= n else len(d) + 1)
     if not len(w):
         return {f"spectral_entropy_{n}": np.full(len(d), np.nan)}
     power = np.abs(np.fft.rfft(w - w.mean(axis=1, keepdims=True), axis=1)) ** 2
