@@ -201,7 +201,7 @@ def pooled(network: Network, texts: list[bytes], window: int, block: int = 1024)
         size += len(text)
     if held:
         add(held, first)
-    return total / np.maximum([[len(t)] for t in texts], 1)
+    return total / np.maximum(np.array([len(t) for t in texts], np.int64), 1)[:, None]
 
 
 def training_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300) -> list[tuple[bytes, str]]:
