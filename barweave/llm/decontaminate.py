@@ -260,6 +260,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     return source.mapInArrow(run, schema)
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without a hit, with their own columns."""
-    return mark_contaminated(docs, benchmark, **options).where(~F.col("contaminated")).select(*docs.columns)
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The documents without a hit, with their own columns whatever their names."""
+    held = docs.select(F.struct("*").alias("doc"), F.col(text_col).alias("text"))
+    return mark_contaminated(held, benchmark, keep_text=False, **options).where(~F.col("contaminated")).select("doc.*")

@@ -36,31 +36,31 @@ def document_counts(docs: DataFrame, text_col: str = "text", keep_text: bool = T
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
     own = [c for c in docs.columns if c not in RESULTS]
-    found = docs.select(*own).withColumns({"_text": text, "_words": words_of(F.col(text_col)), "_lines": lines})
+    found = docs.select(*own).withColumns({"_bw_text": text, "_bw_words": words_of(F.col(text_col)), "_bw_lines": lines})
     found = found.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.translate("_text", " \t\n\x0b\x0c\r", "")).cast("long"),
-            "n_symbols": (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long"),
-            "_capitals": (F.length("_text") - F.length(F.translate("_text", UPPER + "!", ""))).cast("long"),
-            "_n_lines": F.size("_lines"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_windows": F.transform(F.slice("_words", F.lit(3), F.greatest(F.size("_words"), F.lit(1))), lambda word, i: F.concat_ws(" ", F.col("_words")[i], F.col("_words")[i + 1], word)),
+            "n_words": F.size("_bw_words").cast("long"),
+            "word_chars": F.length(F.translate("_bw_text", " \t\n\x0b\x0c\r", "")).cast("long"),
+            "n_symbols": (F.length("_bw_text") - F.length(F.translate("_bw_text", SYMBOLS, ""))).cast("long"),
+            "_bw_capitals": (F.length("_bw_text") - F.length(F.translate("_bw_text", UPPER + "!", ""))).cast("long"),
+            "_bw_n_lines": F.size("_bw_lines"),
+            "n_dup_lines": (F.size("_bw_lines") - F.size(F.array_distinct("_bw_lines"))).cast("long"),
+            "_bw_windows": F.transform(F.slice("_bw_words", F.lit(3), F.greatest(F.size("_bw_words"), F.lit(1))), lambda word, i: F.concat_ws(" ", F.col("_bw_words")[i], F.col("_bw_words")[i + 1], word)),
         }
-    ).drop("_text", "_words", "_lines")
+    ).drop("_bw_text", "_bw_words", "_bw_lines")
     # only texts with an equal pair of windows go on: equal windows stand together once sorted with their places
-    found = found.withColumn("_sorted", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), F.sort_array(F.transform("_windows", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))))
-    found = found.drop("_windows").withColumn(
-        "_starts",
+    found = found.withColumn("_bw_sorted", F.when(F.size(F.array_distinct("_bw_windows")) < F.size("_bw_windows"), F.sort_array(F.transform("_bw_windows", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))))
+    found = found.drop("_bw_windows").withColumn(
+        "_bw_starts",
         F.filter(
-            F.transform("_sorted", lambda x, k: F.when((F.get("_sorted", k - 1)["w"] == x["w"]) | (F.get("_sorted", k + 1)["w"] == x["w"]), x["i"])),
+            F.transform("_bw_sorted", lambda x, k: F.when((F.get("_bw_sorted", k - 1)["w"] == x["w"]) | (F.get("_bw_sorted", k + 1)["w"] == x["w"]), x["i"])),
             lambda i: i.isNotNull(),
         ),
     )
-    found = found.drop("_sorted").withColumn(
-        "n_repeat_words", F.coalesce(F.size(F.array_distinct(F.flatten(F.transform("_starts", lambda i: F.array(i, i + 1, i + 2))))).cast("long"), F.lit(0))
+    found = found.drop("_bw_sorted").withColumn(
+        "n_repeat_words", F.coalesce(F.size(F.array_distinct(F.flatten(F.transform("_bw_starts", lambda i: F.array(i, i + 1, i + 2))))).cast("long"), F.lit(0))
     )
-    found = found.withColumn("n_repeat_words", F.when(F.col("_starts").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_repeat_words"))).drop("_starts")
+    found = found.withColumn("n_repeat_words", F.when(F.col("_bw_starts").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_repeat_words"))).drop("_bw_starts")
 
     def ratio(top: Column, bottom: Column, times: int) -> Column:
         return F.when(bottom > 0, F.expr("1L") * times * top / bottom).otherwise(0).cast("long")
@@ -68,13 +68,13 @@ def document_counts(docs: DataFrame, text_col: str = "text", keep_text: bool = T
     found = found.withColumns(
         {
             "symbols_per_mille": ratio(F.col("n_symbols"), F.col("n_words"), 1000),
-            "capitals_per_mille": ratio(F.col("_capitals"), F.col("word_chars"), 1000),
-            "dup_lines_per_mille": ratio(F.col("n_dup_lines"), F.col("_n_lines"), 1000),
+            "capitals_per_mille": ratio(F.col("_bw_capitals"), F.col("word_chars"), 1000),
+            "dup_lines_per_mille": ratio(F.col("n_dup_lines"), F.col("_bw_n_lines"), 1000),
             "repeats_per_mille": ratio(F.col("n_repeat_words"), F.col("n_words"), 1000),
             LENGTH: ratio(F.col("word_chars"), F.col("n_words"), 100),
             "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
         }
-    ).drop("_capitals", "_n_lines")
+    ).drop("_bw_capitals", "_bw_n_lines")
     return found if keep_text else found.drop(text_col)
 
 
@@ -133,19 +133,19 @@ def thresholds(sketch: DataFrame, least_docs: int = 200, reach: int = 3) -> Data
     spread = lambda m: (F.col(f"{m}_q75") - F.col(f"{m}_q25")) * reach
     fences = [F.greatest(F.col(f"{m}_q75") + spread(m), F.lit(s)).alias(f"most_{m}") for m, s in SLACK.items()]
     fences += [(F.col(f"{LENGTH}_q75") + F.greatest(spread(LENGTH), F.lit(LENGTH_SLACK))).alias(f"most_{LENGTH}"), (F.col(f"{LENGTH}_q25") - F.greatest(spread(LENGTH), F.lit(LENGTH_SLACK))).alias(f"least_{LENGTH}")]
-    return joined.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *fences)
+    return joined.select(F.col("lang").alias("_bw_lang"), F.col("source").alias("_bw_source"), *fences)
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep_text: bool = True, least_docs: int = 200, reach: int = 3) -> DataFrame:
     """``docs`` with the counts, the metrics, base_failed and kept."""
     counted = written(document_counts(docs, text_col, keep_text), "quality-counts")
     limits = written(thresholds(sketches(counted, lang_col, source_col), least_docs, reach), "quality-limits")
-    marked = counted.withColumns({"_lang": F.coalesce(lang_col, F.lit("")), "_source": F.coalesce(source_col, F.lit(""))})
+    marked = counted.withColumns({"_bw_lang": F.coalesce(lang_col, F.lit("")), "_bw_source": F.coalesce(source_col, F.lit(""))})
     if limits.count() <= BROADCAST_GROUPS:
-        joined = marked.join(F.broadcast(limits), ["_lang", "_source"], "left")
+        joined = marked.join(F.broadcast(limits), ["_bw_lang", "_bw_source"], "left")
     else:
-        limits = limits.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = marked.withColumn("_salt", F.pmod(F.xxhash64(*counted.columns), F.lit(SALTS)).cast("int")).join(limits, ["_lang", "_source", "_salt"], "left")
+        limits = limits.withColumn("_bw_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = marked.withColumn("_bw_salt", F.pmod(F.xxhash64(*counted.columns), F.lit(SALTS)).cast("int")).join(limits, ["_bw_lang", "_bw_source", "_bw_salt"], "left")
     fine = F.lit(True)
     for m in METRICS:
         fine = fine & (F.col(m) <= F.col(f"most_{m}"))
@@ -153,6 +153,7 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(fine, F.lit(True))).select(*counted.columns, "kept")
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    return judge(docs, **options).where("kept").select(*docs.columns)
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
+    """The documents that pass, with their own columns whatever their names."""
+    held = docs.select(F.struct("*").alias("doc"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
+    return judge(held, keep_text=False, **options).where("kept").select("doc.*")

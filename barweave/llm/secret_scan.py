@@ -160,24 +160,24 @@ def _level(found: Column) -> Column:
 def scan(docs: DataFrame, text_col: str = "text", keep_text: bool = True, battery: float = 0.001, discovery: float = 0.01) -> DataFrame:
     """``docs`` with ``base_spans`` and ``spans``: arrays of (start, kind, end) by start and kind, in code points."""
     own = [c for c in docs.columns if c not in ("base_spans", "spans")]
-    text = F.col("_text")
-    found = docs.select(*own, F.coalesce(text_col, F.lit("")).alias("_text"))
+    text = F.col("_bw_text")
+    found = docs.select(*own, F.coalesce(text_col, F.lit("")).alias("_bw_text"))
     found = found.withColumns(
         {
-            "_assign": _spans(text, ASSIGN, 0, 2, 8),
-            "_access": _spans(text, ACCESS, 1, 1, 16),
-            "_hex": _spans(text, HEX, 2, 1, 32),
-            "_candidates": candidates(text),
+            "_bw_assign": _spans(text, ASSIGN, 0, 2, 8),
+            "_bw_access": _spans(text, ACCESS, 1, 1, 16),
+            "_bw_hex": _spans(text, HEX, 2, 1, 32),
+            "_bw_candidates": candidates(text),
         }
-    ).drop("_text", *([] if keep_text else [text_col]))
-    found = found.withColumn("base_spans", F.array_sort(F.concat("_assign", "_access", "_hex"))).drop("_assign", "_access", "_hex")
-    alone = F.filter("_candidates", lambda c: ~F.exists("base_spans", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    found = found.withColumn("_candidates", F.when(F.size("_candidates") > 0, alone).otherwise(F.col("_candidates")))
+    ).drop("_bw_text", *([] if keep_text else [text_col]))
+    found = found.withColumn("base_spans", F.array_sort(F.concat("_bw_assign", "_bw_access", "_bw_hex"))).drop("_bw_assign", "_bw_access", "_bw_hex")
+    alone = F.filter("_bw_candidates", lambda c: ~F.exists("base_spans", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    found = found.withColumn("_bw_candidates", F.when(F.size("_bw_candidates") > 0, alone).otherwise(F.col("_bw_candidates")))
     for step in (_statistics, _values, _sums, _deviates, _level):
-        found = found.withColumn("_candidates", F.transform("_candidates", step))
+        found = found.withColumn("_bw_candidates", F.transform("_bw_candidates", step))
     found = written(found, "secret-candidates")
     levels = (
-        found.select(F.explode("_candidates").alias("c"))
+        found.select(F.explode("_bw_candidates").alias("c"))
         .select("c.size", F.when(F.col("c.worst") >= battery / 3, F.col("c.level")).otherwise(-1).alias("level"))
         .groupBy("size", "level")
         .count()
@@ -186,10 +186,10 @@ def scan(docs: DataFrame, text_col: str = "text", keep_text: bool = True, batter
     cuts = [cut_level({r.level: r["count"] for r in levels if r.size == size}, discovery) for size in range(len(CLASSES))]
     cut = F.array(*map(F.lit, cuts))
     random = F.transform(
-        F.filter("_candidates", lambda c: (c["worst"] >= battery / 3) & (c["level"] >= F.get(cut, c["size"]))),
+        F.filter("_bw_candidates", lambda c: (c["worst"] >= battery / 3) & (c["level"] >= F.get(cut, c["size"]))),
         lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")),
     )
-    return found.withColumn("spans", F.array_sort(F.concat("base_spans", random))).drop("_candidates")
+    return found.withColumn("spans", F.array_sort(F.concat("base_spans", random))).drop("_bw_candidates")
 
 
 def cut_level(counts: dict[int, int], discovery: float) -> int:
@@ -210,8 +210,8 @@ def listed(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", **options) -> DataFrame:
     """``docs`` with every span of their texts, overlapping ones together, replaced by the mask."""
-    found = scan(docs, text_col, **options)
-    text = F.col(text_col)
+    found = scan(docs.select(F.struct("*").alias("doc"), F.col(text_col).alias("text")), **options)
+    text = F.col("text")
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -223,4 +223,5 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", **op
         )
 
     done = F.aggregate("spans", first, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, done).otherwise(text)).select(*docs.columns)
+    masked = F.when(F.size("spans") > 0, done).otherwise(text)
+    return found.select(F.col("doc").withField(text_col, masked).alias("doc")).select("doc.*")

@@ -150,11 +150,13 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows with a null id are kept where their class has no other id, once for each fingerprint; of repeated rows with
     the same id one stays.
     """
-    classed = near_duplicates(docs.select(id_col, text_col), id_col, text_col, **options)
-    named = classed.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(named, id_col, "left_semi").dropDuplicates([id_col])
-    if docs.where(F.col(id_col).isNull()).limit(1).count() == 0:
+    classed = near_duplicates(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", **options)
+    named = classed.where("id = component_id").select("id").distinct()
+    held = docs.select(F.col(id_col).alias("id"), F.struct("*").alias("doc"))
+    kept = held.join(named, "id", "left_semi").dropDuplicates(["id"]).select("doc.*")
+    nameless = docs.where(F.col(id_col).isNull())
+    if nameless.limit(1).count() == 0:
         return kept
     alone = classed.where("component_id IS NULL").select("simhash").distinct()
-    spare = with_fingerprint(docs.where(F.col(id_col).isNull()), text_col, "simhash", options.get("width", 3))
-    return kept.unionByName(spare.join(alone, "simhash", "left_semi").dropDuplicates(["simhash"]).drop("simhash"))
+    spare = with_fingerprint(nameless.select(F.struct("*").alias("doc"), F.col(text_col).alias("text")), "text", "simhash", options.get("width", 3))
+    return kept.unionByName(spare.join(alone, "simhash", "left_semi").dropDuplicates(["simhash"]).select("doc.*"))

@@ -68,18 +68,18 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     ).withColumn("prefix", F.substring("digest", 1, 8))
     if facts.n <= broadcast_rules:
         known = F.broadcast(known)
-    urls = pages.select(F.col(url_col).alias("_url")).filter("_url IS NOT NULL").distinct()
-    asked = urls.select("_url", F.explode(_expressions(host_of(F.col("_url")), path_of(F.col("_url")), sorted(facts.lengths))).alias("expression")).select(
-        "_url", F.sha2("expression", 256).alias("digest")
+    urls = pages.select(F.col(url_col).alias("_bw_url")).filter("_bw_url IS NOT NULL").distinct()
+    asked = urls.select("_bw_url", F.explode(_expressions(host_of(F.col("_bw_url")), path_of(F.col("_bw_url")), sorted(facts.lengths))).alias("expression")).select(
+        "_bw_url", F.sha2("expression", 256).alias("digest")
     )
     hits = asked.withColumn("prefix", F.substring("digest", 1, 8)).join(known, "prefix").where(asked["digest"] == known["digest"])
-    best = hits.groupBy("_url").agg(F.max("found").alias("_found"))
-    judged = pages.withColumn("_url", F.col(url_col)).join(best, "_url", "left")
+    best = hits.groupBy("_bw_url").agg(F.max("found").alias("_bw_found"))
+    judged = pages.withColumn("_bw_url", F.col(url_col)).join(best, "_bw_url", "left")
     return judged.withColumns(
         {
-            "host": host_of(F.col("_url")),
-            "path": path_of(F.col("_url")),
-            "rule": F.col("_found.rule"),
-            "verdict": F.coalesce("_found.action", F.lit(default)),
+            "host": host_of(F.col("_bw_url")),
+            "path": path_of(F.col("_bw_url")),
+            "rule": F.col("_bw_found.rule"),
+            "verdict": F.coalesce("_bw_found.action", F.lit(default)),
         }
-    ).drop("_url", "_found")
+    ).drop("_bw_url", "_bw_found")
