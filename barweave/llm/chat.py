@@ -78,7 +78,7 @@ def format_chat(conversations: DataFrame, template: Template = Template()) -> Da
     step_ok tells whether the role machine allowed the turn. The rows of a conversation stand together, in order.
     """
     turns = (
-        conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+        conversations.select("conv_id", F.col("conv_id").cast("string").alias("conv"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
         .repartition("conv_id")
         .sortWithinPartitions("conv_id", "turn", "role", "text")
     )
@@ -87,8 +87,8 @@ def format_chat(conversations: DataFrame, template: Template = Template()) -> Da
         before, state, number = object(), "start", 0
         for batch in batches:
             rows = []
-            for conv, role, text in zip(batch.conv_id.astype("Int64"), batch.role, batch.text):
-                conv = None if conv is pd.NA else conv
+            for conv, role, text in zip(batch.conv, batch.role, batch.text):
+                conv = None if conv is None else int(conv)  # a column of longs with NULL would come as floats
                 if conv != before:
                     before, state, number = conv, "start", 0
                 state, allowed = template.next_state(state, role)
@@ -117,8 +117,8 @@ def read_back(segments: DataFrame, template: Template = Template()) -> DataFrame
 
         for batch in batches:
             rows = []
-            for conv, number, part, text, loss, allowed in zip(batch.conv_id.astype("Int64"), batch.turn_no, batch.part, batch.text, batch.loss, batch.step_ok):
-                conv = None if conv is pd.NA else conv
+            for conv, number, part, text, loss, allowed in zip(batch.conv, batch.turn_no, batch.part, batch.text, batch.loss, batch.step_ok):
+                conv = None if conv is None else int(conv)
                 if now is None or conv != now["conv"]:
                     if now is not None:
                         rows.append(done())
@@ -139,4 +139,4 @@ def read_back(segments: DataFrame, template: Template = Template()) -> DataFrame
         if now is not None:
             yield pd.DataFrame([done()], columns=[c.split()[0] for c in DIGESTS.split(", ")]).astype({"conv_id": "Int64"})
 
-    return segments.mapInPandas(run, DIGESTS)
+    return segments.withColumn("conv", F.col("conv_id").cast("string")).mapInPandas(run, DIGESTS)

@@ -32,9 +32,27 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     """A path for one table or set of files in the shared folder; it is deleted when the application ends."""
     path = f"{shared_folder(spark)}/barweave/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     _forget_on_exit(spark, path)
+    _made.append(path)
     return path
 
 
+_made: list[str] = []
+
+
+def scratch_mark() -> int:
+    """A place in the list of folders made so far, for ``drop_scratch``."""
+    return len(_made)
+
+
+def drop_scratch(spark: SparkSession, mark: int, keep: int = 1) -> None:
+    """Deletes the folders made since the mark but for the last ``keep`` ones."""
+    end = len(_made) - keep
+    for path in _made[mark:end]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _made[mark:end]
+
+
 def _forget_on_exit(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)

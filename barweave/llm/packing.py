@@ -68,20 +68,20 @@ def pack(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", le
     length = F.size(words_of(F.col(text_col))) if length is None else length
     cluster = text_cluster(F.col(text_col)) if cluster is None else cluster
     shards = max(1, -(-docs.count() // shard_docs))
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), length.cast("long").alias("size"), cluster.cast("long").alias("cluster"))
+    # ids and clusters also go to Python as text: a column of longs with NULL would come as floats
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(id_col).cast("string").alias("name"), F.col(source_col).cast("string").alias("source"), length.cast("long").alias("size"), cluster.cast("long").alias("cluster"), cluster.cast("string").alias("copies"))
     dealt = narrow.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)).cast("int")).repartition("shard").sortWithinPartitions("shard", "doc_id", "cluster", "source", "size")
 
     def placed(rows: pd.DataFrame, name: str) -> pd.DataFrame:
         size = rows["size"].fillna(0).to_numpy(np.int64)
         full, rest = size // capacity, size % capacity
         out = []
-        ids = rows.doc_id.astype("Int64").tolist()
+        ids = [None if x is None else int(x) for x in rows.name]
         for i in np.flatnonzero(full):
             out += [(ids[i], k, k * capacity, capacity, f"{name}.f{i}.{k}", 0) for k in range(full[i])]
         order = [i for i in np.argsort(-rest, kind="stable") if rest[i]]
-        source, cluster_ = rows.source.tolist(), rows.cluster.astype("Int64").tolist()
-        none = lambda x: None if pd.isna(x) else x
-        for i, (bin_, at) in zip(order, best_fit([int(rest[i]) for i in order], [none(source[i]) for i in order], [none(cluster_[i]) for i in order], capacity)):
+        source, clusters = rows.source.tolist(), rows.copies.tolist()
+        for i, (bin_, at) in zip(order, best_fit([int(rest[i]) for i in order], [source[i] for i in order], [clusters[i] for i in order], capacity)):
             out.append((ids[i], full[i], full[i] * capacity, rest[i], f"{name}.{bin_}", at))
         out += [(ids[i], 0, 0, 0, None, None) for i in np.flatnonzero(size == 0)]
         return pd.DataFrame(out, columns=[c.split()[0] for c in PLACED.split(", ")]).astype({"doc_id": "Int64", "piece": "int32", "at": "Int64"})

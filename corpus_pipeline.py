@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barweave.llm import decontaminate, packing, quality_rules, secret_scan, simhash
-from barweave.llm.common import table, written
+from barweave.llm.common import drop_scratch, scratch_mark, table, written
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +47,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's table. What a stage wrote is deleted once the next one has been written."""
+    docs, mark = table(spark, sf_dir, "documents"), scratch_mark()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_scratch(spark, mark)
     return docs
 
 
