@@ -204,14 +204,26 @@ def pooled(network: Network, texts: list[bytes], window: int, block: int = 1024)
     return total / np.maximum(np.array([len(t) for t in texts], np.int64), 1)[:, None]
 
 
+#: Counts of up to this many languages are broadcast (about 50 bytes each); more are joined by a shuffle.
+BROADCAST_LANGUAGES = 10_000
+
+
 def training_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300) -> list[tuple[bytes, str]]:
-    """At most three stretches of 200 characters of ``per_language`` documents of each language, drawn by hashed id."""
+    """At most three stretches of 200 characters of ``per_language`` documents of each language, drawn by hashed id.
+
+    A language's count sets how low a document's hash must be to be a candidate, so that about four times as many as
+    are wanted meet in the ranking, however many documents or partitions there are.
+    """
     spread = lambda n: F.substring(text_col, F.lit(1) + F.pmod(F.xxhash64(F.col(id_col), F.lit(n)), F.greatest(F.length(text_col) - 199, F.lit(1))).cast("int"), F.lit(200))
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
-        F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("draw"), *(spread(n).alias(f"s{n}") for n in range(3))
-    )
+    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    counts = docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("total"))
+    if counts.count() <= BROADCAST_LANGUAGES:
+        counts = F.broadcast(counts)
+    labelled = usable.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("draw"), *(spread(n).alias(f"s{n}") for n in range(3)))
+    low = F.col("draw").cast("double") / 2.0**64 + 0.5 <= 4.0 * per_language / F.col("total")
     first = Window.partitionBy("lang").orderBy("draw", "s0")
-    rows = labelled.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).drop("n").collect()
+    ranked = labelled.join(counts, "lang").where(low).drop("total").withColumn("n", F.row_number().over(first))
+    rows = ranked.where(F.col("n") <= per_language).drop("n").collect()
     rows.sort(key=lambda r: (r.lang, r.draw, r.s0))
     return [(s.encode("utf-8", "surrogatepass"), r.lang) for r in rows for s in (r.s0, r.s1, r.s2)]
 
