@@ -440,3 +440,26 @@ def hourly_gaps(spark, sf_dir):
 @query("lookback_trim", f"WITH {q.BARS} SELECT symbol, ts, close FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 60")
 def lookback_trim(spark, sf_dir):
     return ba.trimmed_lookback(hourly(spark, sf_dir), "12H").select("symbol", "ts", "close")
+
+
+@query("catalog_derived")
+def catalog_derived(spark, sf_dir):
+    """All 117 derived features; each operator is checked by the queries above."""
+    from .catalogs import derived_catalog
+
+    return derived_catalog(hourly(spark, sf_dir).withColumn("ls_ratio", (1 + F.col("taker_buy")) / (1 + F.col("volume") - F.col("taker_buy"))))
+
+
+@query("catalog_timeframes")
+def catalog_timeframes(spark, sf_dir):
+    """The technical features of hourly and four-hourly bars for each hour."""
+    from .catalogs import multi_timeframe_catalog
+
+    return multi_timeframe_catalog(hourly(spark, sf_dir).select("symbol", "ts", "open", "high", "low", "close", "volume"), ("1H", "4H"))
+
+
+@query("catalog_normalized")
+def catalog_normalized(spark, sf_dir):
+    from .catalogs import normalized_catalog
+
+    return normalized_catalog(hourly(spark, sf_dir).select("symbol", "ts", "open", "high", "low", "close", "volume"), "1H")
