@@ -65,17 +65,20 @@ def on_hour(a: DataFrame, b: DataFrame, how: str = "inner", ts: str = "ts") -> D
 
 
 def by_place(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> DataFrame:
-    """Rows side by side in the order of each table. The places come from a range-partitioned numbering."""
+    """Rows side by side in the order of each table (a number or a time without repeats)."""
     return _placed(a, order_a).join(_placed(b, order_b), "_place").drop("_place")
 
 
-def _placed(df: DataFrame, order: str) -> DataFrame:
-    sorted_ = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    in_part = Window.partitionBy("_part").orderBy(order)
-    counts = sorted_.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    return sorted_.join(offsets, "_part").withColumn("_place", F.col("_first") + F.row_number().over(in_part)).drop("_part", "_first")
+def _placed(df: DataFrame, order: str, pieces: int = 200) -> DataFrame:
+    """``df`` with ``_place``: counts of the pieces between fixed split points, and numbers within a piece."""
+    splits = df.agg(F.percentile_approx(order, F.array(*(F.lit(i / pieces) for i in range(1, pieces))), F.lit(1000)).alias("s")).first().s or []
+    piece = F.size(F.filter(F.array(*map(F.lit, splits)), lambda s: s <= F.col(order))) if splits else F.lit(0)
+    marked = df.withColumn("_piece", piece)
+    counts = marked.groupBy("_piece").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # one row for each piece
+    offsets = counts.select("_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    in_piece = Window.partitionBy("_piece").orderBy(order)
+    return marked.join(offsets, "_piece").withColumn("_place", F.col("_first") + F.row_number().over(in_piece)).drop("_piece", "_first")
 
 
 def range_join(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str, step: int) -> DataFrame:
