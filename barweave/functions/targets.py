@@ -90,6 +90,12 @@ def mfe_mae_ratio(p: Panel, horizon: int, entry="close") -> Column:
     return (best - worst) / (best + worst + 1e-8)
 
 
+def strategy_return(p: Panel, h: Hits) -> Column:
+    """Gain of holding to the first barrier, the upper one in a tie, or else to the horizon's close."""
+    natural = ratio(p.lead("close", h.horizon), h.entry) - 1
+    return F.when(h.up_first | h.tie, F.lit(h.up_pct)).when(h.down_first, F.lit(-h.down_pct)).when(h.known, natural)
+
+
 def triple_barrier(p: Panel, horizon: int, tp: float, sl: float) -> Column:
     """1, -1 or 0; a tie is 1, and the last bars are labelled by what is left of their horizon."""
     h = Hits(p, horizon, tp, sl, partial=True)

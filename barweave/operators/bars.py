@@ -109,6 +109,21 @@ def period_start(ts: Column, timeframe: str) -> Column:
     return F.window(ts, TIMEFRAMES[timeframe]).start.cast("timestamp_ntz")
 
 
+def live_rsi(bars: DataFrame, timeframe: str, n: int = 14) -> DataFrame:
+    """``bars`` with the index of the unfinished longer bar: its n closed predecessors and the close at hand."""
+    start = period_start(F.col("ts"), timeframe)
+    longer = bars.withColumn("_start", start).groupBy("symbol", "_start").agg(F.max_by("close", "ts").alias("c"))
+    before = Window.partitionBy("symbol").orderBy("_start").rowsBetween(-n, -1)
+    closed = longer.withColumn("_closes", F.collect_list("c").over(before)).where(F.size("_closes") == n).drop("c")
+    joined = bars.withColumn("_start", start).join(closed, ["symbol", "_start"], "left")
+    path = F.concat("_closes", F.array("close"))
+    moves = F.zip_with(F.slice(path, 2, n), F.slice(path, 1, n), lambda b, a: b - a)
+    total = lambda sign: F.aggregate(moves, F.lit(0.0), lambda acc, m: acc + F.greatest(sign * m, F.lit(0.0)))
+    found = joined.withColumns({"_gain": total(1), "_loss": total(-1)})
+    value = F.when(F.col("_loss") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("_gain") / F.nullif(F.col("_loss"), F.lit(0.0))))
+    return found.withColumn(f"live_rsi_{timeframe}", F.when(F.col("_closes").isNotNull(), value)).drop("_start", "_closes", "_gain", "_loss")
+
+
 def complete_hours(df: DataFrame, ts: str = "ts") -> DataFrame:
     """Rows up to the last full hour of each symbol."""
     ends = df.groupBy("symbol").agg(F.date_trunc("hour", F.max(ts)).cast("timestamp_ntz").alias("_end"))

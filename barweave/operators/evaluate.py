@@ -167,6 +167,14 @@ def rank_auc(df: DataFrame, y: str, x: str, by: list[str], least: int = 20, each
     return found.select(*by, "n", "pointbiserial", "spearman", auc.alias("auc"), F.greatest(auc, 1 - auc).alias("separability"))
 
 
+def rolling_auc(p: Panel, y: str, x: str, n: int, least: int = 100) -> Column:
+    """Rank AUC of the last n rows, ties by half; both classes and ``least`` valid rows needed. It compares pairs: n small."""
+    seen = p.over(F.collect_list(p.let(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.struct(F.col(y).alias("y"), F.col(x).alias("x"))))), 1 - n, 0)
+    ones, zeros = p.let(F.transform(F.filter(seen, lambda r: r["y"] == 1), lambda r: r["x"])), p.let(F.transform(F.filter(seen, lambda r: r["y"] == 0), lambda r: r["x"]))
+    won = F.aggregate(ones, F.lit(0.0), lambda a, v: a + F.size(F.filter(zeros, lambda z: z < v)) + 0.5 * F.size(F.filter(zeros, lambda z: z == v)))
+    return F.when((F.size(seen) >= max(10, least)) & (F.size(ones) > 0) & (F.size(zeros) > 0), won / (F.size(ones) * F.size(zeros)))
+
+
 def pr_auc(df: DataFrame, y: str, x: str, by: list[str]) -> DataFrame:
     """Area under precision over recall by trapezoids, the points at each distinct score, from recall 0."""
     points = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x).agg(F.sum(F.col(y).cast("double")).alias("tp"), F.count("*").alias("n"))

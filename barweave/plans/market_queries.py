@@ -391,3 +391,48 @@ def entry_signals(spark, sf_dir):
     bars = signalled(spark, sf_dir)
     met = bt.rules_met({"z": ("<", -1.0), "volume": (">=", 5.0)}, "count", 2)
     return bars.select("symbol", "ts", *(c.alias(n) for n, c in rounded({"signal": "signal", "stop": F.when(F.col("z") < -1, bt.stop_from_close(F.lit(1), "close", F.lit(-50.0))), "rules": met.cast("int")}).items()))
+
+
+@query(
+    "strategy_returns",
+    f"WITH {q.BARS}, {_HITS} SELECT symbol, ts, {q.rounded({'ret': f'CASE WHEN uf OR tie THEN {UP} WHEN df THEN -{DOWN} WHEN full_ THEN c12 / close - 1 END'})} FROM named",
+)
+def strategy_returns(spark, sf_dir):
+    p = panel(spark, sf_dir)
+    return p.select(**rounded({"ret": tg.strategy_return(p, tg.Hits(p, H, UP, DOWN))}))
+
+
+@query(
+    "rolling_evaluation",
+    q.staged(
+        {"auc": "CASE WHEN len(a) + len(z) >= 30 AND len(a) > 0 AND len(z) > 0 THEN list_sum(list_transform(a, lambda v: len(list_filter(z, lambda w: w < v)) + 0.5 * len(list_filter(z, lambda w: w = v)))) / (len(a) * len(z)) END", "corr_48": q.corr("premium", "close", 48, 20), "up_share": q.mean("(CASE WHEN close > open THEN 100.0 ELSE 0 END)", 48, 1)},
+        {"y": "(close > open)::INT"}, {"a": f"coalesce(list(premium) FILTER (y = 1) {q.over(-47)}, [])", "z": f"coalesce(list(premium) FILTER (y = 0) {q.over(-47)}, [])"},
+    ),
+)
+def rolling_evaluation(spark, sf_dir):
+    p = Panel(hourly(spark, sf_dir).withColumn("y", (F.col("close") > F.col("open")).cast("int")))
+    return p.select(**rounded({"auc": ev.rolling_auc(p, "y", "premium", 48, 30), "corr_48": p.corr("premium", "close", 48, 20), "up_share": p.mean(F.col("y") * 100.0, 48, 1)}))
+
+
+_LIVE = """longer AS (SELECT symbol, time_bucket(INTERVAL '4 hours', ts) AS s, arg_max(close, ts) AS c FROM bars GROUP BY 1, 2),
+closed AS (SELECT symbol, s, list(c) OVER (PARTITION BY symbol ORDER BY s ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING) AS cs FROM longer),
+moved AS (SELECT b.symbol, b.ts, list_transform(range(1, 15), lambda i: (list_append(cs, b.close))[i + 1] - cs[i]) AS m FROM bars b JOIN closed k ON b.symbol = k.symbol AND k.s = time_bucket(INTERVAL '4 hours', b.ts) WHERE len(cs) = 14),
+sums AS (SELECT symbol, ts, list_sum(list_transform(m, lambda x: greatest(x, 0))) AS g, list_sum(list_transform(m, lambda x: greatest(-x, 0))) AS l FROM moved)"""
+
+
+@query("live_rsi", f"WITH {q.BARS}, {_LIVE} SELECT b.symbol, b.ts, {q.rounded({'live_rsi_4H': 'CASE WHEN l = 0 THEN 100.0 ELSE 100 - 100 / (1 + g / nullif(l, 0)) END'})} FROM bars b LEFT JOIN sums USING (symbol, ts)")
+def live_rsi(spark, sf_dir):
+    from ..operators.bars import live_rsi as live
+
+    found = live(hourly(spark, sf_dir), "4H")
+    return found.select("symbol", "ts", *(c.alias(n) for n, c in rounded({"live_rsi_4H": "live_rsi_4H"}).items()))
+
+
+@query(
+    "joint_signal",
+    f"WITH {q.BARS}, s AS (SELECT *, least(greatest(0.5 + premium * 5, 0), 1) AS p FROM bars WHERE symbol = 'click') SELECT ts, CASE WHEN p >= 0.55 AND close > 40 AND premium > 0 THEN 1 WHEN p <= 0.45 AND close < 40 AND premium < 0 THEN -1 ELSE 0 END AS signal FROM s",
+)
+def joint_signal(spark, sf_dir):
+    bars = hourly(spark, sf_dir).where("symbol = 'click'")
+    signals = bars.select("ts", F.least(F.greatest(0.5 + F.col("premium") * 5, F.lit(0.0)), F.lit(1.0)).alias("prob_up"), (F.col("close") - 40).alias("exp_ret_avg"))
+    return si.joint_indicator(signals, bars.select("ts", F.col("premium").alias("pred_q50")), out="signal").select("ts", "signal")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import SparkSession, Window, functions as F
 
 from ..frames import Panel, log, ratio
 from ..functions import primitives as pr, sessions as se
