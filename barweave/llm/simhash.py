@@ -11,6 +11,12 @@ are dealt by the 65 values within one bit of them, and members that share a valu
 member. Two fingerprints share such a value just when they differ in at most two bits, so both ways keep every
 connection (for t > 2 the members are paired whatever their number).
 
+With ``similarity`` also texts whose sets of shingles have at least that Jaccard similarity link, however far apart
+their fingerprints are. Distinct texts (equal words) are keyed by ``BANDS`` bands of ``ROWS`` minima of their shingles'
+hashes: a pair of similarity s shares no key with probability (1 - s^6)^45, 1e-6 at 0.8. All pairs in a bucket whose
+sizes allow the similarity are confirmed on the exact sets; buckets of more than ``crowd`` texts are paired block by
+block, each pair of blocks a key of its own.
+
 Defined cases: null and empty texts and texts of white space have fingerprint zero and link like any other; fewer words
 than a shingle has are one shingle; repeated rows stay; rows with a null id get the class of their text, whose number
 comes from the ids that are not null; an empty table gives no rows; other columns are kept.
@@ -29,20 +35,32 @@ from .common import written
 from .components import connected_components
 
 SEED = 42
+#: Bands of minima for ``similarity``; the hashes of a shingle are its XXH64 times an odd number, plus another.
+BANDS, ROWS = 45, 6
+_FACTORS, _OFFSETS = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.uint64) * np.array([[2], [1]], np.uint64) + np.array([[1], [0]], np.uint64)
 LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if b in (9, 10, 11, 12, 13) else b for b in range(256))
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The signed 64-bit SimHash of a whole text."""
+def shingles(text: str | None, width: int = 3) -> list[int]:
+    """The hashes of the word shingles in order; none for a text without words."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split(b" ")
     words = [w for w in words if w]
     if not words:
-        return 0
+        return []
     digest, join = xxhash.xxh64_intdigest, b" ".join
     if len(words) < width:
-        hashes = [digest(join(words), SEED)]
-    else:
-        hashes = [digest(join(s), SEED) for s in zip(*(words[i:] for i in range(width)))]
+        return [digest(join(words), SEED)]
+    return [digest(join(s), SEED) for s in zip(*(words[i:] for i in range(width)))]
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The signed 64-bit SimHash of a whole text."""
+    return _majority(shingles(text, width))
+
+
+def _majority(hashes: list[int]) -> int:
+    if not hashes:
+        return 0
     total = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65280):
         part = np.array(hashes[at : at + 65280], dtype="<u8")
@@ -66,6 +84,86 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", column: str = "sim
     return docs.mapInArrow(run, schema)
 
 
+def _node(hashes: list[int]) -> int:
+    """The number of a text: of its shingles in order."""
+    return int(np.array(xxhash.xxh3_64_intdigest(np.array(hashes, dtype="<u8").tobytes()), np.uint64).view(np.int64))
+
+
+def band_keys(distinct: np.ndarray) -> np.ndarray:
+    """The ``BANDS`` keys of a set of shingle hashes, signed."""
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(distinct), 1024):
+        least = np.minimum(least, (distinct[at : at + 1024, None] * _FACTORS + _OFFSETS).min(axis=0))
+    rows = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh3_64_intdigest(row.tobytes(), seed=i) for i, row in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def _with_bands(docs: DataFrame, width: int) -> DataFrame:
+    """``docs`` with the fingerprint, the text's number, its distinct shingles and its band keys instead of the text."""
+    own = [c for c in docs.columns if c != "text"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t.as_py(), width) for t in batch.column(batch.schema.get_field_index("text"))]
+            sets = [np.unique(np.array(h, np.uint64)) for h in found]
+            made = [
+                pa.array((_majority(h) for h in found), pa.int64()),
+                pa.array((_node(h) for h in found), pa.int64()),
+                pa.array((len(s) for s in sets), pa.int32()),
+                pa.array((band_keys(s) if len(s) else None for s in sets), pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in own), *made], names=[*own, "simhash", "node", "size", "bands"])
+
+    fields = [docs.schema[c] for c in own]
+    fields += [T.StructField("simhash", T.LongType()), T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    return docs.mapInArrow(run, T.StructType(fields))
+
+
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """(node, members): the distinct shingle hashes of each text."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t.as_py(), width) for t in batch.column(batch.schema.get_field_index("text"))]
+            sets = pa.array((np.unique(np.array(h, np.uint64)).view(np.int64) for h in found), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array((_node(h) for h in found), pa.int64()), sets], names=["node", "members"])
+
+    return docs.select("text").mapInArrow(run, "node long, members array<long>")
+
+
+def similar_pairs(docs: DataFrame, banded: DataFrame, id_col: str, similarity: float, width: int, crowd: int = 64) -> DataFrame:
+    """Edges (a, b) between the fingerprints of texts whose shingle sets have a Jaccard similarity of ``similarity``.
+
+    ``banded`` is what ``_with_bands`` made of ``docs``; the texts of candidates alone are read again.
+    """
+    keyed = banded.where("bands IS NOT NULL").select("node", "size", F.explode("bands").alias("key")).distinct()
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = written(keyed.join(counts, "key"), "similar-buckets")
+    blocks = F.ceil(F.col("n") / crowd).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("blocks")).cast("int"))
+    # a block meets itself and every other block once, under the key (key, lower block, higher block)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "size")
+    a, b = dealt.select("key", "low", "high", F.col("block").alias("block_a"), F.col("node").alias("a"), F.col("size").alias("size_a")), dealt.withColumnsRenamed({"node": "b", "size": "size_b"})
+    apart = (F.col("low") == F.col("high")) & (F.col("a") < F.col("b")) | (F.col("block_a") < F.col("block"))
+    sizes = F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b") - 1e-6
+    pairs = a.join(b, ["key", "low", "high"]).where(apart & sizes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = written(pairs, "similar-candidates")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = banded.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(id_col).alias("least"), F.min("simhash").alias("fp"))
+    asked = written(asked, "similar-nodes")
+    texts = docs.select(F.col(id_col).alias("_bw_id"), "text")
+    named = texts.join(asked.select(F.col("least").alias("_bw_id")).distinct(), "_bw_id", "left_semi").unionByName(texts.where("_bw_id IS NULL"))
+    sets = written(_sets(named, width).join(asked, "node", "left_semi").dropDuplicates(["node"]), "similar-sets")
+    first = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("set_a")), "a")
+    both = first.join(sets.select(F.col("node").alias("b"), F.col("members").alias("set_b")), "b")
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    near = both.where(shared >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - shared) - 1e-6).select("a", "b")
+    prints = asked.select("node", "fp")
+    ends = near.join(prints.withColumnsRenamed({"node": "a", "fp": "fp_a"}), "a").join(prints.withColumnsRenamed({"node": "b", "fp": "fp_b"}), "b")
+    return ends.where("fp_a != fp_b").select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b")).distinct()
+
+
 def _pieces(segments: int) -> list[tuple[int, int]]:
     """Offset and width of each piece of the ring."""
     ends = [64 * i // segments for i in range(segments + 1)]
@@ -128,15 +226,23 @@ def close_pairs(prints: DataFrame, distance: int = 2, segments: int = 5, crowd:
     return near.unionByName(linked).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, width: int = 3, segments: int = 5, crowd: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, width: int = 3, segments: int = 5, crowd: int = 64, similarity: float | None = None) -> DataFrame:
     """``docs`` with ``simhash`` (long) and ``component_id``: the smallest id reachable over fingerprints that link.
 
-    The text column is dropped before anything is shuffled; join by id, or see ``keep_first``, where it is needed.
+    With ``similarity`` texts of that Jaccard similarity (shingles of ``width`` words) link too. The text column is dropped before anything is shuffled; join by id, or see ``keep_first``, where it is needed.
     """
     narrow = docs.drop("component_id").select(*(c for c in docs.columns if c not in ("component_id", "simhash")))
-    marked = written(with_fingerprint(narrow, text_col, "simhash", width).drop(text_col), "simhash")
+    if similarity is None:
+        marked = written(with_fingerprint(narrow, text_col, "simhash", width).drop(text_col), "simhash")
+    else:
+        slim = docs.select(F.struct(*(c for c in narrow.columns if c != text_col)).alias("own"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        banded = written(_with_bands(slim, width), "simhash")
+        marked = banded.select("own.*", "simhash")
     prints = written(marked.groupBy(F.col("simhash").alias("fp")).agg(F.min(id_col).alias("least")), "simhash-distinct")
-    edges = written(close_pairs(prints.select("fp"), distance, segments, crowd), "simhash-edges")
+    edges = close_pairs(prints.select("fp"), distance, segments, crowd)
+    if similarity is not None:
+        edges = edges.unionByName(similar_pairs(slim, banded, "id", similarity, width, crowd)).distinct()
+    edges = written(edges, "simhash-edges")
     roots = connected_components(edges, "a", "b")
     classed = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = classed.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -18,8 +18,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies (shingles of five words, two bits) the document with the smallest id stays."""
-    return simhash.keep_first(docs, width=5)
+    """Of each class of near copies (shingles of five words; two bits or a Jaccard similarity of 0.8) the smallest id stays."""
+    return simhash.keep_first(docs, width=5, similarity=0.8)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,8 @@
 """The pipeline's stages against what each operator's brute force says of its own input."""
 
+import itertools
+import random
+
 import corpus_pipeline
 from .test_operators import counts, plain_components, plain_hits, plain_print, plain_spans
 
@@ -58,3 +61,37 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_near_copies_go(spark):
+    """Copies with a few words changed, too far apart for two bits, go; texts below the bound stay."""
+    rnd = random.Random(7)
+    vocabulary = ["".join(rnd.choices("abcdefghijklmnop", k=6)) for _ in range(5000)]
+    rows = []
+    for i in range(40):
+        words = rnd.choices(vocabulary, k=rnd.randint(60, 300))
+        rows.append((10 * i, " ".join(words), "en", "web"))
+        for copy in range(1, 4):
+            changed = list(words)
+            for at in rnd.sample(range(len(words)), max(1, len(words) * copy // 60)):
+                changed[at] = "other"
+            rows.append((10 * i + copy, " ".join(changed), "en", "web"))
+    hub = rnd.choices(vocabulary, k=80)  # a crowded bucket: more than 64 texts
+    rows += [(1000 + i, " ".join([*hub, f"tail{i}"]), "en", "web") for i in range(150)]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t, *_ in rows}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        shared = len(sets[a] & sets[b])
+        if 10 * shared >= 8 * (len(sets[a]) + len(sets[b]) - shared):
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    wanted = {find(i) for i in sets}
+    assert 42 < len(wanted) < 150
+    docs = spark.createDataFrame([*rows, (None, rows[0][1] + " end", "en", "web")], "doc_id long, text string, lang string, source string")
+    assert {r.doc_id for r in corpus_pipeline.without_near_copies(spark, docs, SF).collect()} == wanted
