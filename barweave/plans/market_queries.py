@@ -155,13 +155,22 @@ def betting(spark, sf_dir):
 
 @query("bet_probability")
 def bet_probability(spark, sf_dir):
-    """Probability of a price over the strike, by the normal law and by samples of the week before; range of the price."""
+    """Probability of a price over the strike, by the normal law and by samples of the week before; range of the price.
+
+    The samples of a day are those from seven days before it on whose six bars ahead have closed when it begins.
+    """
     p = panel(spark, sf_dir)
     sigma = p.ready(se.sigma_from_mar(p.mean(F.abs(p.log_return("close")), 24), F.lit(6.0)))
     low, high = se.terminal_range_normal("close", sigma)
     z = p.ready(ratio(log(ratio(p.lead("close", 6), "close")), sigma))
-    found = p.select(prob_normal=se.prob_yes_normal("close", F.col("open"), sigma), low=low, high=high, z=z, threshold=ratio(log(ratio("open", "close")), sigma))
-    return se.ecdf_greater(found.select("symbol", "z"), found, "symbol").select("symbol", "ts", *(c.alias(n) for n, c in rounded({n: n for n in ("prob_normal", "low", "high", "prob_greater")}).items()))
+    found = p.select(prob_normal=se.prob_yes_normal("close", F.col("open"), sigma), low=low, high=high, z=z, threshold=ratio(log(ratio("open", "close")), sigma), known=p.lead("ts", 6))
+    asked = found.drop("z", "known").withColumn("score_date", F.to_date("ts"))
+    sample = F.struct("symbol", "z", "known")
+    pool = se.z_pool(found.where(F.col("z").isNotNull() & ~F.isnan("z") & (F.abs("z") < float("inf"))).select("ts", sample.alias("z")), asked.select("score_date").distinct(), group_minutes=6 * 60)
+    pool = pool.where(F.col("z.known") < F.col("score_date").cast("timestamp_ntz"))  # six bars are more than six hours where bars are missing
+    day = F.struct("symbol", "score_date").alias("day")
+    samples = pool.select("z.symbol", "score_date", "z.z").select(day, "z")
+    return se.ecdf_greater(samples, asked.select("*", day), "day").select("symbol", "ts", *(c.alias(n) for n, c in rounded({n: n for n in ("prob_normal", "low", "high", "prob_greater")}).items()))
 
 
 # -- signals from quantiles: a part's prices as the predicted distribution
