@@ -4,7 +4,11 @@ Everything is DataFrame operations. The three base patterns give the spans ``ass
 runs of at least 20 characters of [A-Za-z0-9+/_=-] are candidates if their encoding can be inferred:
 
 * hex: digits and letters of one case up to f, both present; base32: A-Z and 2-7, both present;
-* base64: any other with a lower-case letter, a capital and a digit.
+* lower and upper: letters of one case, with or without digits;
+* base64: any other with a lower-case letter and a capital.
+
+The parts of a run between the characters /, =, _ and - are candidates too if they have 20 characters, as a secret may
+be glued to readable text. Of candidates that pass, those inside another one that passes are dropped.
 
 A candidate must look random: the chi-squared statistic of its characters against a uniform alphabet, the runs test of
 its values about the alphabet's middle, and their lag-1 serial correlation, each as a normal deviate, may not be
@@ -30,9 +34,11 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+PART = r"[A-Za-z0-9+]{20,}"
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Alphabet of each encoding in the order of its values, and the share of equal pairs in readable strings.
 ENCODINGS = {"hex": (DIGITS + "abcdef", 0.105), "base32": (UPPER + "234567", 0.065), "base64": (UPPER + LOWER + DIGITS + "+/", 0.045)}
+ENCODINGS |= {f"{case}{kind}": (letters + digits, 0.065) for case, letters in (("lower", LOWER), ("upper", UPPER)) for kind, digits in (("36", DIGITS), ("26", ""))}
 #: Classes of length: from so many characters on.
 CLASSES = (64, 32, 20)
 LEVELS = 60
@@ -71,13 +77,21 @@ def _encoding(token: Column) -> Column:
     return (
         F.when((token.rlike("^[0-9a-f]+$") | token.rlike("^[0-9A-F]+$")) & has("[0-9]") & has("[A-Fa-f]"), "hex")
         .when(token.rlike("^[A-Z2-7]+=*$") & has("[A-Z]") & has("[2-7]"), "base32")
-        .when(has("[a-z]") & has("[A-Z]") & has("[0-9]"), "base64")
+        .when(token.rlike("^[a-z]+=*$"), "lower26")
+        .when(token.rlike("^[A-Z]+=*$"), "upper26")
+        .when(token.rlike("^[a-z0-9]+=*$") & has("[a-z]"), "lower36")
+        .when(token.rlike("^[A-Z0-9]+=*$") & has("[A-Z]"), "upper36")
+        .when(has("[a-z]") & has("[A-Z]"), "base64")
     )
 
 
 def candidates(text: Column) -> Column:
-    """Array of (start, end, token, encoding) of the runs whose encoding can be inferred."""
-    whole = rf"\G(?s:.*?)({CANDIDATE})"
+    """Array of (start, end, token, encoding) of the runs and their parts whose encoding can be inferred."""
+    return F.when(text.rlike(CANDIDATE), F.array_distinct(F.concat(_runs(text, CANDIDATE), _runs(text, PART)))).otherwise(F.array().cast("array<struct<start:int,end:int,token:string,encoding:string>>"))
+
+
+def _runs(text: Column, pattern: str) -> Column:
+    whole = rf"\G(?s:.*?)({pattern})"
     pieces, tokens = (F.regexp_extract_all(text, F.lit(whole), F.lit(i)) for i in (0, 1))
     empty = F.array().cast("array<struct<start:int,end:int,token:string,encoding:string>>")
     first = F.struct(F.lit(0).alias("at"), empty.alias("out"))
@@ -88,7 +102,7 @@ def candidates(text: Column) -> Column:
         return F.struct(end.alias("at"), F.when(found["encoding"].isNotNull(), F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"))
 
     pairs = F.zip_with(pieces, tokens, lambda p, t: F.struct(p.alias("p"), t.alias("t")))
-    return F.when(text.rlike(CANDIDATE), F.aggregate(pairs, first, step)["out"]).otherwise(empty)
+    return F.when(text.rlike(pattern), F.aggregate(pairs, first, step)["out"]).otherwise(empty)
 
 
 def _statistics(found: Column) -> Column:
@@ -173,8 +187,8 @@ def scan(docs: DataFrame, text_col: str = "text", keep_text: bool = True, batter
     found = found.withColumn("base_spans", F.array_sort(F.concat("_bw_assign", "_bw_access", "_bw_hex"))).drop("_bw_assign", "_bw_access", "_bw_hex")
     alone = F.filter("_bw_candidates", lambda c: ~F.exists("base_spans", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     found = found.withColumn("_bw_candidates", F.when(F.size("_bw_candidates") > 0, alone).otherwise(F.col("_bw_candidates")))
-    for step in (_statistics, _values, _sums, _deviates, _level):
-        found = found.withColumn("_bw_candidates", F.transform("_bw_candidates", step))
+    for stage in (_statistics, _values, _sums, _deviates, _level):
+        found = found.withColumn("_bw_candidates", F.transform("_bw_candidates", stage))
     found = written(found, "secret-candidates")
     levels = (
         found.select(F.explode("_bw_candidates").alias("c"))
@@ -189,7 +203,17 @@ def scan(docs: DataFrame, text_col: str = "text", keep_text: bool = True, batter
         F.filter("_bw_candidates", lambda c: (c["worst"] >= battery / 3) & (c["level"] >= F.get(cut, c["size"]))),
         lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")),
     )
-    return found.withColumn("spans", F.array_sort(F.concat("base_spans", random))).drop("_bw_candidates")
+    ordered = F.array_sort(F.transform(random, lambda c: F.struct(c["start"].alias("start"), (-c["end"]).alias("back"))))
+    found = found.withColumn("_bw_random", random).withColumn("_bw_ordered", F.when(F.size("_bw_random") > 1, ordered))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out"))
+
+    def step(acc: Column, c: Column) -> Column:  # runs do not overlap: what starts before the last end is a part of it
+        span = F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), (-c["back"]).alias("end"))
+        fresh = c["start"] >= acc["at"]
+        return F.struct(F.greatest(acc["at"], -c["back"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+    outer = F.when(F.size("_bw_random") > 1, F.aggregate("_bw_ordered", first, step)["out"]).otherwise(F.col("_bw_random"))
+    return found.withColumn("spans", F.array_sort(F.concat("base_spans", outer))).drop("_bw_candidates", "_bw_random", "_bw_ordered")
 
 
 def cut_level(counts: dict[int, int], discovery: float) -> int:

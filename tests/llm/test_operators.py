@@ -351,6 +351,21 @@ def test_random_strings_are_found_and_words_are_not(spark):
     assert not any(rows[i].spans for i in range(len(secrets), len(rows)))
 
 
+def test_secrets_of_other_alphabets_and_parts_of_runs(spark):
+    rng = random.Random(8)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = {"lower36": lower + digits, "upper36": (lower + digits).upper(), "letters": lower + lower.upper()}
+    for name, alphabet in kinds.items():
+        secrets = ["".join(rng.choice(alphabet) for _ in range(80)) for _ in range(30)]
+        texts = [f"see {s} there" for s in secrets] + [f"see https://example.org/path/to/index/page/{s} there" for s in secrets]
+        rows = {r.doc_id: r for r in secret_scan.scan(docs_of(spark, texts)).collect()}
+        places = [(i, texts[i].index(s), s) for i, s in enumerate(secrets * 2)]
+        found = [any(x.kind == 3 and x.start <= at and at + len(s) <= x.end for x in rows[i].spans) for i, at, s in places]
+        assert sum(found[:30]) >= 27 and sum(found[30:]) >= 27, name
+    written = ["donaudampfschifffahrtsgesellschaftskapitaen", "GetTheReadableNameOfEveryElementInTheDocument", "some_readable_name_of_an_option_2024"]
+    assert not any(r.spans for r in secret_scan.scan(docs_of(spark, written)).collect())
+
+
 def test_cut_level():
     assert secret_scan.cut_level({}, 0.01) > secret_scan.LEVELS
     assert secret_scan.cut_level({60: 10}, 0.01) < 60 and secret_scan.cut_level({1: 100}, 0.01) > secret_scan.LEVELS
