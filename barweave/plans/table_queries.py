@@ -356,12 +356,16 @@ def market_cleaning(spark, sf_dir):
 
 @query("trained_trees")
 def trained_trees(spark, sf_dir):
-    """Boosted trees on window features of the bars, split by time, with the metrics of the last part."""
+    """Boosted trees on window features of the bars, a model for each symbol, split by time; metrics of the last parts."""
     p = panel(spark, sf_dir)
     made = p.select(z=pr.zscore(p, "close", 24), vol=pr.parkinson_volatility(p, 24), share=ratio("taker_buy", "volume"), y=log(ratio(p.lead("close", 6), "close"))).dropna()
-    split = st.time_split(made.where(F.col("symbol") == "click"), 0.7, 0.15)
-    fitted = mo.fit_trees(split.where("split = 'train'"), ["z", "vol", "share"], "y", maxIter=5, maxDepth=3)
-    return mo.metrics(mo.predict(fitted, split.where("split = 'test'")), "y").select(*(c.alias(n) for n, c in rounded({n: n for n in ("rmse", "mae", "corr", "pinball")}, 4).items()))
+    scored = None
+    for (symbol,) in made.select("symbol").distinct().orderBy("symbol").collect():
+        split = st.time_split(made.where(F.col("symbol") == symbol), 0.7, 0.15)
+        fitted = mo.fit_trees(split.where("split = 'train'"), ["z", "vol", "share"], "y")
+        found = mo.metrics(mo.predict(fitted, split.where("split = 'test'")), "y").withColumn("symbol", F.lit(symbol))
+        scored = found if scored is None else scored.unionByName(found)
+    return scored.select("symbol", *(c.alias(n) for n, c in rounded({n: n for n in ("rmse", "mae", "corr", "pinball")}, 4).items()))
 
 
 @query("regimes")
