@@ -9,16 +9,20 @@ chain have a budget below one and are equal: they are the key of an equi-join, w
 and the full Hamming distance as its condition. A bucket of more than ``crowd`` fingerprints is not paired: its members
 are dealt by the 65 values within one bit of them, and members that share a value are linked to the smallest such
 member. Two fingerprints share such a value just when they differ in at most two bits, so both ways keep every
-connection (for t > 2 the members are paired whatever their number).
+connection. For t = 1 they are dealt by their values without one of the bits, which two share just when they differ in
+no other. For t > 2 the members of a crowded bucket are paired block by block, with the square of their number.
 
 With ``similarity`` also texts whose sets of shingles have at least that Jaccard similarity link, however far apart
-their fingerprints are. Distinct texts (equal words) are keyed by ``BANDS`` bands of ``ROWS`` minima of their shingles'
-hashes: a pair of similarity s shares no key with probability (1 - s^6)^45, 1e-6 at 0.8. All pairs in a bucket whose
-sizes allow the similarity are confirmed on the exact sets; buckets of more than ``crowd`` texts are paired block by
-block, each pair of blocks a key of its own.
+their fingerprints are (at 0.8 they lie 10 bits apart on average and up to 20, where pigeonring is left with pieces of 3
+bits as keys). Distinct texts are keyed by ``BANDS`` bands of ``ROWS`` minima of their shingles' hashes: a pair of
+similarity s shares no key with probability (1 - s^5)^32, 3e-6 at 0.8. First each key's texts meet its hub alone (the text
+with the most company, then others by hash) until rounds link little, so a group of copies needs no pairs within it. What
+is left in different classes meets in blocks, where pairs whose bytes of all minima agree too rarely (5.5 standard
+deviations below the similarity) are dropped. Every link is confirmed on the exact sets. Texts of one key that are alike
+but below the similarity are all compared, in numpy: that work grows with the square of their number, its rows don't.
 
 Defined cases: null and empty texts and texts of white space have fingerprint zero and link like any other; fewer words
-than a shingle has are one shingle; repeated rows stay; rows with a null id get the class of their text, whose number
+than a shingle has are one shingle; very long texts are read whole; repeated rows stay; rows with a null id get the class of their text, whose number
 comes from the ids that are not null; an empty table gives no rows; other columns are kept.
 """
 
@@ -36,8 +40,12 @@ from .components import connected_components
 
 SEED = 42
 #: Bands of minima for ``similarity``; the hashes of a shingle are its XXH64 times an odd number, plus another.
-BANDS, ROWS = 45, 6
+BANDS, ROWS = 32, 5
 _FACTORS, _OFFSETS = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.uint64) * np.array([[2], [1]], np.uint64) + np.array([[1], [0]], np.uint64)
+#: Rounds of hubs go on while they link this share of the pairs that they test.
+HUB_ROUNDS, HUB_SHARE = 6, 0.05
+#: Texts of a block, and pairs that numpy compares at once.
+BLOCK, AT_ONCE = 1024, 50_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if b in (9, 10, 11, 12, 13) else b for b in range(256))
 
 
@@ -89,33 +97,40 @@ def _node(hashes: list[int]) -> int:
     return int(np.array(xxhash.xxh3_64_intdigest(np.array(hashes, dtype="<u8").tobytes()), np.uint64).view(np.int64))
 
 
-def band_keys(distinct: np.ndarray) -> np.ndarray:
-    """The ``BANDS`` keys of a set of shingle hashes, signed."""
+def minima(distinct: np.ndarray) -> np.ndarray:
+    """The least value of each of the ``BANDS * ROWS`` hashes over a set of shingles."""
     least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
     for at in range(0, len(distinct), 1024):
         least = np.minimum(least, (distinct[at : at + 1024, None] * _FACTORS + _OFFSETS).min(axis=0))
-    rows = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh3_64_intdigest(row.tobytes(), seed=i) for i, row in enumerate(rows)], np.uint64).view(np.int64)
+    return least
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """The ``BANDS`` keys of the minima, signed."""
+    return np.array([xxhash.xxh3_64_intdigest(row.tobytes(), seed=i) for i, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
 
 
 def _with_bands(docs: DataFrame, width: int) -> DataFrame:
-    """``docs`` with the fingerprint, the text's number, its distinct shingles and its band keys instead of the text."""
+    """``docs`` with the fingerprint, the text's number and number of distinct shingles, the band keys and a byte of each minimum instead of the text."""
     own = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t.as_py(), width) for t in batch.column(batch.schema.get_field_index("text"))]
-            sets = [np.unique(np.array(h, np.uint64)) for h in found]
-            made = [
-                pa.array((_majority(h) for h in found), pa.int64()),
-                pa.array((_node(h) for h in found), pa.int64()),
-                pa.array((len(s) for s in sets), pa.int32()),
-                pa.array((band_keys(s) if len(s) else None for s in sets), pa.list_(pa.int64())),
-            ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in own), *made], names=[*own, "simhash", "node", "size", "bands"])
+            prints, nodes, sizes, bands, sketches = [], [], [], [], []
+            for text in batch.column(batch.schema.get_field_index("text")):
+                hashes = shingles(text.as_py(), width)
+                distinct = np.unique(np.array(hashes, np.uint64))
+                least = minima(distinct) if hashes else None
+                prints.append(_majority(hashes))
+                nodes.append(_node(hashes))
+                sizes.append(len(distinct))
+                bands.append(band_keys(least) if hashes else None)
+                sketches.append(least.astype(np.uint8).tobytes() if hashes else None)
+            made = [pa.array(prints, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in own), *made], names=[*own, "simhash", "node", "size", "bands", "sketch"])
 
     fields = [docs.schema[c] for c in own]
-    fields += [T.StructField("simhash", T.LongType()), T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    fields += [T.StructField("simhash", T.LongType()), T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]
     return docs.mapInArrow(run, T.StructType(fields))
 
 
@@ -131,36 +146,127 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, members array<long>")
 
 
-def similar_pairs(docs: DataFrame, banded: DataFrame, id_col: str, similarity: float, width: int, crowd: int = 64) -> DataFrame:
-    """Edges (a, b) between the fingerprints of texts whose shingle sets have a Jaccard similarity of ``similarity``.
+def in_blocks(members: DataFrame, keys: list[str], name: str, size: int) -> DataFrame:
+    """``members`` (with n, the rows of their key) dealt into blocks of about ``size``: ``side`` 0 and 1 of (keys, low, high).
 
-    ``banded`` is what ``_with_bands`` made of ``docs``; the texts of candidates alone are read again.
+    Each block meets itself (low = high, side 0) and every other block once.
     """
-    keyed = banded.where("bands IS NOT NULL").select("node", "size", F.explode("bands").alias("key")).distinct()
-    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(keyed.join(counts, "key"), "similar-buckets")
-    blocks = F.ceil(F.col("n") / crowd).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("blocks")).cast("int"))
-    # a block meets itself and every other block once, under the key (key, lower block, higher block)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "size")
-    a, b = dealt.select("key", "low", "high", F.col("block").alias("block_a"), F.col("node").alias("a"), F.col("size").alias("size_a")), dealt.withColumnsRenamed({"node": "b", "size": "size_b"})
-    apart = (F.col("low") == F.col("high")) & (F.col("a") < F.col("b")) | (F.col("block_a") < F.col("block"))
-    sizes = F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b") - 1e-6
-    pairs = a.join(b, ["key", "low", "high"]).where(apart & sizes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = written(pairs, "similar-candidates")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = banded.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(id_col).alias("least"), F.min("simhash").alias("fp"))
-    asked = written(asked, "similar-nodes")
-    texts = docs.select(F.col(id_col).alias("_bw_id"), "text")
-    named = texts.join(asked.select(F.col("least").alias("_bw_id")).distinct(), "_bw_id", "left_semi").unionByName(texts.where("_bw_id IS NULL"))
-    sets = written(_sets(named, width).join(asked, "node", "left_semi").dropDuplicates(["node"]), "similar-sets")
+    cut = members.withColumn("blocks", F.ceil(F.col("n") / size).cast("int"))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64(name, F.lit(SEED)), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = (F.col("block") > F.col("other")).cast("int").alias("side")
+    return cut.select(*(c for c in members.columns if c not in ("n", *keys)), *keys, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), side)
+
+
+def _least_agreeing(similarity: float) -> int:
+    """How many of the minima agree at least, but for a chance of about 1e-7, at this similarity."""
+    n = BANDS * ROWS
+    return int(n * similarity - 5.5 * (n * similarity * (1 - similarity)) ** 0.5)
+
+
+def likely_pairs(dealt: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of ``in_blocks``' (key, low, high) from different classes whose sizes and sketches allow the similarity."""
+    need = _least_agreeing(similarity)
+
+    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        group = np.stack([rows[c].to_numpy() for c in ("key", "low", "high")], axis=1)
+        side, node, comp, size = (rows[c].to_numpy() for c in ("side", "node", "comp", "size"))
+        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(len(node), -1)
+        starts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(axis=1)])
+        sizes = np.diff(np.r_[starts, len(node)])
+        start, end = np.repeat(starts, sizes), np.repeat(starts + sizes, sizes)
+        # rows of side 0 come first: in a group of two blocks they meet side 1, in one of a block what comes after
+        second = np.add.reduceat(side == 0, starts)
+        first = np.where(group[:, 1] == group[:, 2], np.arange(len(node)) + 1, start + np.repeat(second, sizes))
+        many = np.where(side == 0, np.maximum(end - first, 0), 0)
+        edges = np.r_[0, np.cumsum(many)]
+        at = 0
+        while at < len(node):
+            to = max(at + 1, int(np.searchsorted(edges, edges[at] + AT_ONCE, side="right")) - 1)
+            a = np.repeat(np.arange(at, to), many[at:to])
+            b = np.arange(len(a)) - np.repeat(edges[at:to] - edges[at], many[at:to]) + first[a]
+            at = to
+            fits = (comp[a] != comp[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-6)
+            a, b = a[fits], b[fits]
+            alike = (sketch[a] == sketch[b]).sum(axis=1) >= need
+            x, y = node[a[alike]], node[b[alike]]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last group, of at most about two blocks, may go on in the next batch
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+            if not len(rows):
+                continue
+            differs = np.zeros(len(rows), bool)
+            for c in ("key", "low", "high"):
+                values = rows[c].to_numpy()
+                differs |= values != values[-1]
+            cut = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
+            if cut:
+                yield from compare(rows[:cut])
+            held = rows[cut:]
+        if held is not None and len(held):
+            yield from compare(held)
+
+    narrow = dealt.select("key", "low", "high", "side", "node", "comp", "size", "sketch")
+    return narrow.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "side").mapInArrow(run, "a long, b long").distinct()
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of nodes whose sets have the similarity."""
     first = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("set_a")), "a")
     both = first.join(sets.select(F.col("node").alias("b"), F.col("members").alias("set_b")), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    near = both.where(shared >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - shared) - 1e-6).select("a", "b")
+    return both.where(shared >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - shared) - 1e-6).select("a", "b")
+
+
+def similar_links(docs: DataFrame, banded: DataFrame, id_col: str, similarity: float, width: int) -> DataFrame:
+    """Edges (a, b) between the fingerprints of texts whose shingle sets have a Jaccard similarity of ``similarity``.
+
+    They connect what links; within a class not every such pair has an edge of its own. ``banded`` is what
+    ``_with_bands`` made of ``docs``; the texts of candidates alone are read again.
+    """
+    texts = written(banded.where("bands IS NOT NULL").groupBy("node").agg(F.min(id_col).alias("least"), F.min("simhash").alias("fp"), *(F.first(c).alias(c) for c in ("size", "bands", "sketch"))), "similar-texts")
+    keyed = texts.select("node", "size", F.explode("bands").alias("key"))
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(keyed.join(counts, "key"), "similar-keys")
+    company = written(shared.groupBy("node").agg(F.sum("n").alias("company")), "similar-company")
+    members = written(shared.join(company, "node").withColumn("comp", F.col("node")), "similar-members")
+    asked = written(texts.drop("bands").join(company.select("node"), "node"), "similar-asked")
+    own = docs.select(F.col(id_col).alias("_bw_id"), "text")
+    named = own.join(asked.select(F.col("least").alias("_bw_id")).distinct(), "_bw_id", "left_semi").unionByName(own.where("_bw_id IS NULL"))
+    sets = written(_sets(named, width).join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"]), "similar-sets")
+    links = tested = None
+
+    def fresh(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.where("a != b").distinct()
+        return written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "similar-candidates")
+
+    for turn in range(HUB_ROUNDS):
+        order = F.col("company") if turn == 0 else F.xxhash64("node", F.lit(turn))
+        hubs = members.groupBy("key").agg(F.max(F.struct(order.alias("order"), "node", "size", "comp")).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+        hubs = written(hubs.select("key", "hub"), "similar-hubs")
+        sizes = F.least("size", "hub.size") >= F.lit(similarity) * F.greatest("size", "hub.size") - 1e-6
+        met = members.join(hubs, "key").where((F.col("comp") != F.col("hub.comp")) & sizes)
+        pairs = fresh(met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")))
+        found = written(_confirmed(pairs, sets, similarity), "similar-links")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        n_found, n_tested = found.count(), pairs.count()
+        if n_found:
+            roots = connected_components(links, "a", "b")
+            members = written(members.drop("comp").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"), "similar-members")
+        if n_found <= HUB_SHARE * n_tested:
+            break
+    apart = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    left = members.join(written(apart, "similar-apart"), "key", "left_semi").join(asked.select("node", "sketch"), "node")
+    pairs = fresh(likely_pairs(in_blocks(left, ["key"], "node", BLOCK), similarity))
+    links = links.unionByName(_confirmed(pairs, sets, similarity))
     prints = asked.select("node", "fp")
-    ends = near.join(prints.withColumnsRenamed({"node": "a", "fp": "fp_a"}), "a").join(prints.withColumnsRenamed({"node": "b", "fp": "fp_b"}), "b")
+    ends = links.join(prints.withColumnsRenamed({"node": "a", "fp": "fp_a"}), "a").join(prints.withColumnsRenamed({"node": "b", "fp": "fp_b"}), "b")
     return ends.where("fp_a != fp_b").select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b")).distinct()
 
 
@@ -195,6 +301,8 @@ def close_pairs(prints: DataFrame, distance: int = 2, segments: int = 5, crowd:
 
     They connect what is that near; inside crowded buckets not every near pair has an edge of its own.
     """
+    if distance == 0:  # distinct fingerprints differ
+        return prints.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where(F.lit(False))
     ring = _pieces(segments)
     exact = next(n for n in range(segments, 0, -1) if n * distance < segments)  # pieces that must be equal
     keys = []
@@ -209,20 +317,28 @@ def close_pairs(prints: DataFrame, distance: int = 2, segments: int = 5, crowd:
     keyed = prints.select("fp", F.inline(F.array(*keys)))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = written(keyed.join(sizes, "key"), "simhash-buckets")
-    few = members.where(F.col("n") <= crowd) if distance <= 2 else members
-    a, b = few.select("key", "at", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
+    few = members.where(F.col("n") <= crowd).select("key", "at", "fp", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("side"))
+    if distance > 2:
+        few = few.unionByName(in_blocks(members.where(F.col("n") > crowd), ["key", "at"], "fp", crowd))
+    a = few.where("side = 0").select("key", "low", "high", "at", F.col("fp").alias("a"))
+    b = few.where("low = high OR side = 1").select("key", "low", "high", F.col("fp").alias("b"))
     differing = F.col("a").bitwiseXOR(F.col("b"))
-    near = a.join(
-        b.withColumnRenamed("key", "key_b"),
-        (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & _fits(differing, F.col("at"), segments, distance) & (F.bit_count(differing) <= distance),
-    ).select("a", "b")
+    b = b.withColumnsRenamed({c: f"{c}_b" for c in ("key", "low", "high")})
+    met = (F.col("key") == F.col("key_b")) & (F.col("low") == F.col("low_b")) & (F.col("high") == F.col("high_b"))
+    once = (F.col("a") < F.col("b")) | (F.col("low") < F.col("high"))
+    near = a.join(b, met & once & _fits(differing, F.col("at"), segments, distance) & (F.bit_count(differing) <= distance))
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     if distance > 2:
         return near.distinct()
     many = members.where(F.col("n") > crowd).select("fp").distinct()
-    flips = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64 if distance == 2 else 0)]
-    dealt = many.select("fp", F.explode(F.array(*flips)).alias("value"))
-    hubs = dealt.groupBy("value").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    linked = dealt.join(hubs, "value").where("hub < fp").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
+    bits = [F.lit(1 << i if i < 63 else -(1 << 63)) for i in range(64)]
+    if distance == 2:
+        values = [F.struct(F.lit(0).alias("bit"), v.alias("value")) for v in (F.col("fp"), *(F.col("fp").bitwiseXOR(bit) for bit in bits))]
+    else:
+        values = [F.struct(F.lit(i).alias("bit"), F.col("fp").bitwiseAND(F.bitwise_not(bit)).alias("value")) for i, bit in enumerate(bits)]
+    dealt = many.select("fp", F.inline(F.array(*values)))
+    hubs = dealt.groupBy("bit", "value").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    linked = dealt.join(hubs, ["bit", "value"]).where("hub < fp").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
     return near.unionByName(linked).distinct()
 
 
@@ -241,7 +357,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = written(marked.groupBy(F.col("simhash").alias("fp")).agg(F.min(id_col).alias("least")), "simhash-distinct")
     edges = close_pairs(prints.select("fp"), distance, segments, crowd)
     if similarity is not None:
-        edges = edges.unionByName(similar_pairs(slim, banded, "id", similarity, width, crowd)).distinct()
+        edges = edges.unionByName(similar_links(slim, banded, "id", similarity, width)).distinct()
     edges = written(edges, "simhash-edges")
     roots = connected_components(edges, "a", "b")
     classed = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))

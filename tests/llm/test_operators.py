@@ -467,8 +467,8 @@ def test_fingerprints(spark, odd):
         assert r.simhash & (2**64 - 1) == plain_print(r.text)
 
 
-@pytest.mark.parametrize("crowd, segments", [(64, 5), (1, 5), (4, 7), (64, 3)])
-def test_links_of_fingerprints(spark, crowd, segments):
+@pytest.mark.parametrize("crowd, segments, distance", [(64, 5, 2), (1, 5, 2), (4, 7, 2), (64, 3, 2), (1, 3, 0), (4, 3, 1), (1, 5, 1), (64, 5, 1), (64, 7, 3), (4, 7, 3)])
+def test_links_of_fingerprints(spark, crowd, segments, distance):
     rng = random.Random(segments + crowd)
     prints = {rng.getrandbits(64) for _ in range(60)}
     for p in list(prints)[:20]:
@@ -476,9 +476,9 @@ def test_links_of_fingerprints(spark, crowd, segments):
             p ^= sum(1 << b for b in rng.sample(range(64), rng.choice([1, 2, 3])))
             prints.add(p)
     signed = {p: p - (1 << 64) if p >> 63 else p for p in prints}
-    edges = simhash.close_pairs(spark.createDataFrame([(s,) for s in signed.values()], "fp long"), segments=segments, crowd=crowd)
+    edges = simhash.close_pairs(spark.createDataFrame([(s,) for s in signed.values()], "fp long"), distance, segments, crowd)
     roots = {r.node: r.root for r in components.connected_components(edges, "a", "b").collect()}
-    wanted = plain_components(prints)
+    wanted = plain_components(prints, distance)
     groups = defaultdict(set)
     for p in prints:
         groups[roots.get(signed[p], signed[p])].add(p)
@@ -488,6 +488,63 @@ def test_links_of_fingerprints(spark, crowd, segments):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, plain.values()))
 
 
+def plain_similar(texts, similarity=0.8, width=5):
+    """Root of each id of (id, text): the least id over links of that Jaccard similarity or of two bits."""
+    sets, prints = {}, {}
+    for i, text in texts:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if x]
+        sets[i] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
+        prints[i] = plain_print(text, width)
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    ordered = sorted(sets)
+    for n, a in enumerate(ordered):
+        for b in ordered[n + 1 :]:
+            shared = len(sets[a] & sets[b])
+            if (prints[a] ^ prints[b]).bit_count() <= 2 or shared >= similarity * (len(sets[a]) + len(sets[b]) - shared) > 0:
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {i: find(i) for i in ordered}
+
+
+def edited(rng, words, n, mark):
+    words = list(words)
+    for at in rng.sample(range(len(words)), n):
+        words[at] = f"{mark}{rng.randrange(10**9)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("block", [3, 1024])
+def test_similar_texts(spark, monkeypatch, block):
+    """Stars (copies like the middle but not each other), chains, groups just below the bound, exact copies, short texts."""
+    rng = random.Random(block)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    texts = []
+    for _ in range(3):
+        base = [word() for _ in range(100)]
+        texts += [" ".join(base), " ".join(base).upper()] + [edited(rng, base, 2, "s") for _ in range(25)]  # star
+        texts += [edited(rng, base, rng.randint(3, 9), "f") for _ in range(25)]  # about and below the bound
+    chain = [word() for _ in range(90)]
+    for _ in range(30):
+        chain = edited(rng, chain, 1, "c").split()
+        texts.append(" ".join(chain))
+    texts += ["", None, " \n", "one", "One", "a b c d e f", "a b c d e f g"] + ["lone " + " ".join(word() for _ in range(60)) for _ in range(20)]
+    wanted = plain_similar(list(enumerate(texts)))
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "AT_ONCE", 50)
+    monkeypatch.setattr(simhash, "HUB_ROUNDS", 1 if block == 3 else 6)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, width=5, similarity=0.8).collect()}
+    assert found == wanted and 20 < len(set(wanted.values())) < len(texts) - 60
+    assert simhash.near_duplicates(docs.limit(0), width=5, similarity=0.8).count() == 0
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = random.Random(seed)

@@ -4,7 +4,7 @@ import itertools
 import random
 
 import corpus_pipeline
-from .test_operators import counts, plain_components, plain_hits, plain_print, plain_spans
+from .test_operators import counts, plain_hits, plain_similar, plain_spans
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,13 +32,9 @@ def test_stages(spark):
         elif labels.get(i) == 1:
             assert i in kept
 
-    prints = {i: plain_print(r.text, 5) for i, r in kept.items()}
-    roots = plain_components(set(prints.values()))
-    least = {}
-    for i, p in prints.items():
-        least[roots[p]] = min(i, least.get(roots[p], i))
+    roots = plain_similar([(i, r.text) for i, r in kept.items()])
     single, df = step("near_dedup", df)
-    assert set(single) == set(least.values())
+    assert set(single) == set(roots.values())
 
     clean, df = step("decontamination", df)
     assert set(clean) == {i for i, r in single.items() if not plain_hits(r.text, benchmark)[1]}
