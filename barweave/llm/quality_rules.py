@@ -2,17 +2,21 @@
 
 Everything is DataFrame operations. Each document gets its counts once. The sketch of a metric is a histogram over
 integers cut to their six leading bits (so a quantile is off by 3 % at most); it is a table of counts, and sketches
-merge by adding: (language, source) sketches give those of a language and of all documents. A group of fewer than
-``least_docs`` documents uses its language's sketch, a small language the one of all.
-
-From the quartiles q25 and q75 of its group a document's metric may rise to q75 + reach * (q75 - q25), and the mean
-word length may fall as far below q25. A fence is never tighter than the metric's slack, so that a uniform group does
-not reject documents for a trifle. Base rules (word count, repeated 3-word windows) come first; documents that fail
-them neither enter the sketches nor are kept.
-
-Defined cases: null and empty texts have no words and fail the base rules; null language or source is the empty
-string; ties and repeated rows count as rows; other columns are kept, those with the names of results replaced; an
-empty table gives an empty result.
+merge by adding: (language, source) sketches give those of a language and of all documents. Most documents have no
+repeated line or window at all, so the sketches of these two metrics hold only the documents that have one.
+
+A group's sketch is topped up with its language's, scaled to ``prior`` documents, and a language's with that of all
+documents: small groups lean on what is around them, without a switch at some size. From the quartiles q25 and q75 of
+the topped-up sketch a document's metric may rise to q75 + reach * spread, and the mean word length may fall as far
+below q25. The spread is q75 - q25 of the group or the median of that over its language's groups, whichever is more (a
+group of copies has none of its own), or over all groups where both are zero; where that is zero too the metric decides
+nothing. No fence is a constant.
+Base rules (word count, repeated 3-word windows) come first; documents that fail them neither enter the sketches nor
+are kept. ``failed_rules`` names what a document fails.
+
+Defined cases: null and empty texts have no words and fail the base rules; very long texts are counted whole; null
+language or source is the empty string; ties and repeated rows count as rows; other columns are kept, those with the
+names of results replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,10 +26,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import UPPER, words_of, written
 
 SYMBOLS = "#*$%&|<>"
-#: Integer metrics and their slack: the upper fence is at least this (the word length's fences are this far out at least).
-SLACK = {"symbols_per_mille": 150, "capitals_per_mille": 300, "dup_lines_per_mille": 400, "repeats_per_mille": 400}
-LENGTH, LENGTH_SLACK = "word_length_percent", 200
-METRICS = (*SLACK, LENGTH)
+#: ASCII characters that are neither letters, digits nor white space.
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+#: Integer metrics with upper fences, those of them whose sketch leaves zeros out, and the one with fences on both sides.
+UPPER_FENCE, NO_ZEROS, LENGTH = ("marks_per_mille", "capitals_per_mille", "dup_lines_per_mille", "repeats_per_mille"), ("dup_lines_per_mille", "repeats_per_mille"), "word_length_percent"
+METRICS = (*UPPER_FENCE, LENGTH)
+#: Counts in a sketch are weights: a document has this much.
+WEIGHT = 1000
 #: Thresholds of up to this many groups are broadcast (about 100 bytes each); more are joined by a salted shuffle.
 BROADCAST_GROUPS = 20_000
 SALTS = 32
@@ -42,6 +49,7 @@ def document_counts(docs: DataFrame, text_col: str = "text", keep_text: bool = T
             "n_words": F.size("_bw_words").cast("long"),
             "word_chars": F.length(F.translate("_bw_text", " \t\n\x0b\x0c\r", "")).cast("long"),
             "n_symbols": (F.length("_bw_text") - F.length(F.translate("_bw_text", SYMBOLS, ""))).cast("long"),
+            "_bw_marks": (F.length("_bw_text") - F.length(F.translate("_bw_text", MARKS, ""))).cast("long"),
             "_bw_capitals": (F.length("_bw_text") - F.length(F.translate("_bw_text", UPPER + "!", ""))).cast("long"),
             "_bw_n_lines": F.size("_bw_lines"),
             "n_dup_lines": (F.size("_bw_lines") - F.size(F.array_distinct("_bw_lines"))).cast("long"),
@@ -67,18 +75,18 @@ def document_counts(docs: DataFrame, text_col: str = "text", keep_text: bool = T
 
     found = found.withColumns(
         {
-            "symbols_per_mille": ratio(F.col("n_symbols"), F.col("n_words"), 1000),
+            "marks_per_mille": ratio(F.col("_bw_marks"), F.col("word_chars"), 1000),
             "capitals_per_mille": ratio(F.col("_bw_capitals"), F.col("word_chars"), 1000),
             "dup_lines_per_mille": ratio(F.col("n_dup_lines"), F.col("_bw_n_lines"), 1000),
             "repeats_per_mille": ratio(F.col("n_repeat_words"), F.col("n_words"), 1000),
             LENGTH: ratio(F.col("word_chars"), F.col("n_words"), 100),
             "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
         }
-    ).drop("_bw_capitals", "_bw_n_lines")
+    ).drop("_bw_marks", "_bw_capitals", "_bw_n_lines")
     return found if keep_text else found.drop(text_col)
 
 
-RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *METRICS, "base_failed", "kept")
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *METRICS, "base_failed", "kept", "failed_rules")
 
 
 def sketches(counted: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -87,10 +95,10 @@ def sketches(counted: DataFrame, lang_col: str = "lang", source_col: str = "sour
         F.coalesce(lang_col, F.lit("")).alias("lang"),
         F.coalesce(source_col, F.lit("")).alias("source"),
         F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS))),
-    )
+    ).where((F.col("value") > 0) | ~F.col("metric").isin(*NO_ZEROS))
     dropped = F.greatest(F.length(F.bin("value")) - 6, F.lit(0))
     bucket = F.expr("shiftleft(shiftright(value, shift), shift)")
-    return each.withColumn("shift", dropped).withColumn("bucket", bucket).groupBy("lang", "source", "metric", "bucket").agg(F.count("*").alias("n"))
+    return each.withColumn("shift", dropped).withColumn("bucket", bucket).groupBy("lang", "source", "metric", "bucket").agg((F.count("*") * WEIGHT).alias("n"))
 
 
 def merged(sketch: DataFrame, *keys: str) -> DataFrame:
@@ -98,8 +106,17 @@ def merged(sketch: DataFrame, *keys: str) -> DataFrame:
     return sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
+def topped_up(sketch: DataFrame, keys: list[str], around: DataFrame, shared: list[str], prior: int) -> DataFrame:
+    """Each group's sketch plus that of the coarser group around it (equal in ``shared``), scaled to ``prior`` documents."""
+    total = around.groupBy(*shared, "metric").agg(F.sum("n").alias("total"))
+    scaled = around.join(total, [*shared, "metric"]).withColumn("n", F.expr(f"n * {prior * WEIGHT} div total")).drop("total")
+    groups = sketch.select(*keys).distinct()
+    extra = groups.join(scaled, shared) if shared else groups.crossJoin(F.broadcast(scaled))  # at most some thousand buckets
+    return merged(sketch.unionByName(extra.select(*keys, "metric", "bucket", "n")), *keys)
+
+
 def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
-    """Per group a row with n (documents) and the quartiles of each metric."""
+    """Per group a row with the quartiles of each metric; NULL where no document has the metric."""
     # the histogram of a group and metric has at most 32 buckets for each power of two
     points = sketch.groupBy(*keys, "metric").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("points"))
 
@@ -111,46 +128,39 @@ def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
         )
         return F.aggregate("points", start, step)["value"]
 
-    found = points.select(*keys, "metric", "total", at(1).alias("q25"), at(3).alias("q75"))
+    found = points.select(*keys, "metric", at(1).alias("q25"), at(3).alias("q75"))
     picked = [F.max(F.when(F.col("metric") == m, F.col(q))).alias(f"{m}_{q}") for m in METRICS for q in ("q25", "q75")]
-    return found.groupBy(*keys).agg(F.max("total").alias("n"), *picked)
-
-
-def thresholds(sketch: DataFrame, least_docs: int = 200, reach: int = 3) -> DataFrame:
-    """(lang, source) with the fences of each metric, from the finest sketch that has enough documents."""
-    sketch = written(sketch, "quality-sketches")
-    marks = [f"{m}_{q}" for m in METRICS for q in ("q25", "q75")]
-
-    def named(df: DataFrame, tag: str) -> DataFrame:
-        return df.withColumnsRenamed({c: f"{tag}_{c}" for c in ("n", *marks)})
-
-    fine = named(quartiles(sketch, "lang", "source"), "f")
-    wide = named(quartiles(merged(sketch, "lang"), "lang"), "w")
-    whole = named(quartiles(merged(sketch.withColumn("every", F.lit(1)), "every"), "every"), "a")
-    joined = fine.join(wide, "lang").withColumn("every", F.lit(1)).join(F.broadcast(whole), "every")  # one row
-    best = {m: F.when(F.col("f_n") >= least_docs, F.col(f"f_{m}")).when(F.col("w_n") >= least_docs, F.col(f"w_{m}")).otherwise(F.col(f"a_{m}")) for m in marks}
-    joined = joined.select("lang", "source", *(c.alias(m) for m, c in best.items()))
-    spread = lambda m: (F.col(f"{m}_q75") - F.col(f"{m}_q25")) * reach
-    fences = [F.greatest(F.col(f"{m}_q75") + spread(m), F.lit(s)).alias(f"most_{m}") for m, s in SLACK.items()]
-    fences += [(F.col(f"{LENGTH}_q75") + F.greatest(spread(LENGTH), F.lit(LENGTH_SLACK))).alias(f"most_{LENGTH}"), (F.col(f"{LENGTH}_q25") - F.greatest(spread(LENGTH), F.lit(LENGTH_SLACK))).alias(f"least_{LENGTH}")]
+    return found.groupBy(*keys).agg(*picked)
+
+
+def thresholds(sketch: DataFrame, prior: int = 100, reach: int = 5) -> DataFrame:
+    """(_bw_lang, _bw_source) with the fences of each metric: see the module."""
+    sketch = written(sketch, "quality-sketches").withColumn("every", F.lit(1))
+    wide, whole = merged(sketch, "lang", "every"), merged(sketch, "every")
+    wide = written(topped_up(wide, ["lang", "every"], whole, ["every"], prior), "quality-languages")
+    own = quartiles(topped_up(sketch, ["lang", "source", "every"], wide, ["lang", "every"], prior), "lang", "source")
+    own = written(own.withColumns({f"{m}_width": F.col(f"{m}_q75") - F.col(f"{m}_q25") for m in METRICS}), "quality-quartiles")
+    typical = lambda tag: [F.percentile(f"{m}_width", F.lit(0.5)).alias(f"{m}_{tag}") for m in METRICS]
+    joined = own.join(own.groupBy("lang").agg(*typical("lang")), "lang").crossJoin(F.broadcast(own.agg(*typical("all"))))  # one row
+    spread = {m: F.coalesce(F.nullif(F.greatest(f"{m}_width", f"{m}_lang"), F.lit(0)), F.nullif(f"{m}_all", F.lit(0))) * reach for m in METRICS}
+    fences = [(F.col(f"{m}_q75") + spread[m]).alias(f"most_{m}") for m in METRICS] + [(F.col(f"{LENGTH}_q25") - spread[LENGTH]).alias(f"least_{LENGTH}")]
     return joined.select(F.col("lang").alias("_bw_lang"), F.col("source").alias("_bw_source"), *fences)
 
 
-def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep_text: bool = True, least_docs: int = 200, reach: int = 3) -> DataFrame:
-    """``docs`` with the counts, the metrics, base_failed and kept."""
+def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep_text: bool = True, prior: int = 100, reach: int = 5) -> DataFrame:
+    """``docs`` with the counts, the metrics, base_failed, kept and failed_rules (``base`` or names of metrics)."""
     counted = written(document_counts(docs, text_col, keep_text), "quality-counts")
-    limits = written(thresholds(sketches(counted, lang_col, source_col), least_docs, reach), "quality-limits")
+    limits = written(thresholds(sketches(counted, lang_col, source_col), prior, reach), "quality-limits")
     marked = counted.withColumns({"_bw_lang": F.coalesce(lang_col, F.lit("")), "_bw_source": F.coalesce(source_col, F.lit(""))})
     if limits.count() <= BROADCAST_GROUPS:
         joined = marked.join(F.broadcast(limits), ["_bw_lang", "_bw_source"], "left")
     else:
         limits = limits.withColumn("_bw_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = marked.withColumn("_bw_salt", F.pmod(F.xxhash64(*counted.columns), F.lit(SALTS)).cast("int")).join(limits, ["_bw_lang", "_bw_source", "_bw_salt"], "left")
-    fine = F.lit(True)
-    for m in METRICS:
-        fine = fine & (F.col(m) <= F.col(f"most_{m}"))
-    fine = fine & (F.col(LENGTH) >= F.col(f"least_{LENGTH}"))
-    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(fine, F.lit(True))).select(*counted.columns, "kept")
+        joined = marked.withColumn("_bw_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(limits, ["_bw_lang", "_bw_source", "_bw_salt"], "left")
+    out = {m: F.col(m) > F.col(f"most_{m}") for m in METRICS}
+    out[LENGTH] = out[LENGTH] | (F.col(LENGTH) < F.col(f"least_{LENGTH}"))
+    failed = F.array_compact(F.array(F.when(F.col("base_failed"), "base"), *(F.when(~F.col("base_failed") & wrong, m) for m, wrong in out.items())))
+    return joined.withColumn("failed_rules", failed).withColumn("kept", F.size("failed_rules") == 0).select(*counted.columns, "kept", "failed_rules")
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -11,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from barweave.llm import chat, components, decontaminate, language_id, packing, quality_model, quality_rules, queries, secret_scan, simhash, url_filter, warc
+from barweave.llm import chat, common, components, decontaminate, language_id, packing, quality_model, quality_rules, queries, secret_scan, simhash, url_filter, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -116,6 +117,29 @@ def test_pack_whole_table(spark, odd):
         texts[r.doc_id] += len(WORD.findall(r.text or ""))
     assert total == texts and sum(1 for r in rows if r.doc_id == 5 and r.piece == 0) == 2
     assert packing.pack(empty(spark)).count() == 0
+    facts = {r.doc_id: (r.source, " ".join(WORD.findall((r.text or "").lower()))) for r in odd.collect()}
+    for parts in bins.values():
+        own = [facts[r.doc_id] for r in parts]
+        assert len(own) == len({x[1] for x in own}) and len([x for x in own if x[0]]) == len({x[0] for x in own if x[0]})
+
+
+def test_pieces_have_the_texts(spark, odd):
+    """The pieces of a document, joined in order, are its text with every space; the pieces of a bin fill it."""
+    more = docs_of(spark, [" \n a  b\tc " * 40, "\x0b" + "w " * 300 + " \n", "é" * 10 + " x" * 99, " ".join("abc" for _ in range(100)), " lead"], True).withColumn("doc_id", F.col("doc_id") + 100)
+    docs = odd.unionByName(more).coalesce(1)
+    rows = packing.pack_texts(docs, capacity=100, shard_docs=4).collect()
+    texts = defaultdict(list)
+    for r in docs.collect():
+        texts[r.doc_id].append(r.text)
+    for i, own in texts.items():
+        parts = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.piece)
+        assert all(r.text is None or len(WORD.findall(r.text)) == r.n_units for r in parts)
+        for n, text in enumerate(own):
+            mine = parts[n :: len(own)]
+            assert "".join(r.text or "" for r in mine) == (text or "")
+    given = packing.pack_texts(docs, cluster=F.lit(1).cast("long"), capacity=100).where("n_units < 100 and bin_id is not null")
+    assert given.groupBy("bin_id").count().where("count > 1").count() == 0
+    assert packing.pack_texts(empty(spark)).count() == 0
 
 
 # -- 3 quality rules
@@ -134,7 +158,7 @@ def test_quality_counts_and_thresholds(spark, odd):
     word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(1, 7)))
     texts = ["\n".join(" ".join(word() for _ in range(rng.randint(0, 30))) for _ in range(8)) + rng.choice(["", "\nsame\nsame", " #| $" * 20]) for _ in range(80)]
     for df in (odd, docs_of(spark, texts)):
-        for r in quality_rules.judge(df, least_docs=10).collect():
+        for r in quality_rules.judge(df, prior=10).collect():
             n = (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)
             assert n == counts(r.text) and r.base_failed == (n[0] < 50 or 100 * n[4] > 50 * n[0])
             assert not (r.base_failed and r.kept)
@@ -143,24 +167,98 @@ def test_quality_counts_and_thresholds(spark, odd):
     assert kept.columns == odd.columns and all(r.kept == "own kept" for r in kept.collect())
 
 
-def test_quality_quantiles_and_fallback(spark):
-    rng = np.random.default_rng(0)
-    rows = [("en", "a" if i % 2 else "b", int(v)) for i, v in enumerate(rng.gamma(2, 100, 3000))] + [("en", "tiny", 5)] * 3
+def plain_verdicts(rows, prior, reach):
+    """kept of each of (lang, source, text), from sorted lists of values cut like the sketches' buckets."""
+    names = ("marks", "capitals", "dups", "repeats", "length")
+    found = []
+    for lang, source, text in rows:
+        n, chars, _, dups, repeats = counts(text)
+        lines = sum(1 for x in (text or "").split("\n") if WORD.search(x))
+        marks = sum(33 <= ord(c) < 127 and not c.isalnum() for c in text or "")
+        capitals = sum("A" <= c <= "Z" or c == "!" for c in text or "")
+        values = (1000 * marks // max(chars, 1), 1000 * capitals // max(chars, 1), 1000 * dups // max(lines, 1), 1000 * repeats // max(n, 1), 100 * chars // max(n, 1))
+        found.append((lang or "", source or "", n < 50 or 2 * repeats > n, dict(zip(names, values))))
+    cut = lambda v: v >> max(v.bit_length() - 6, 0) << max(v.bit_length() - 6, 0)
+
+    def held(m, *key):
+        return Counter(cut(v[m]) for lang, source, failed, v in found if not failed and key == (lang, source)[: len(key)] and (v[m] or m not in ("dups", "repeats")))
+
+    def topped(own, around):
+        total, out = sum(around.values()), Counter(own)
+        for b, n in around.items():
+            out[b] += n * prior * 1000 // total
+        return out
+
+    def quartile(sketch, k):
+        at, total = 0, sum(sketch.values())
+        for b in sorted(sketch):
+            at += sketch[b]
+            if 4 * at >= k * total:
+                return b
+
+    groups = sorted({(lang, source) for lang, source, failed, _ in found if not failed})
+    quarters = {}
+    for m in names:
+        whole = Counter({b: 1000 * n for b, n in held(m).items()})
+        for g in groups if whole else ():
+            wide = topped({b: 1000 * n for b, n in held(m, g[0]).items()}, whole)
+            own = topped({b: 1000 * n for b, n in held(m, *g).items()}, wide)
+            quarters[m, g] = quartile(own, 1), quartile(own, 3)
+    width = {k: b - a for k, (a, b) in quarters.items()}
+    verdicts = []
+    for lang, source, failed, values in found:
+        fine = not failed
+        for m in names if fine else ():
+            if (m, (lang, source)) in width:
+                near = np.median([w for (x, g), w in width.items() if x == m and g[0] == lang])
+                spread = max(width[m, (lang, source)], near) or np.median([w for (x, g), w in width.items() if x == m])
+                low, high = quarters[m, (lang, source)]
+                if spread:
+                    fine &= bool(values[m] <= high + reach * spread and (m != "length" or values[m] >= low - reach * spread))
+        verdicts.append(fine)
+    return verdicts
+
+
+def test_quality_verdicts_by_brute_force(spark):
+    """Groups with other habits have other fences, and one text has another verdict in each; a group of copies rejects nothing for a trifle."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(2, 8)))
+
+    def text(commas, tail=""):
+        return "\n".join(" ".join(word() + ("," if rng.random() < commas else "") for _ in range(12)) for _ in range(8)) + tail
+
+    rows = [("en", "plain", text(0.05)) for _ in range(60)] + [("en", "code", text(0.9)) for _ in range(60)] + [("de", None, text(0.1)) for _ in range(5)] + [(None, "x", text(0.1, "\nsame\nsame")) for _ in range(5)]
+    same = text(0.05)
+    rows += [("fr", "copies", same)] * 40 + [("fr", "copies", text(0.06)) for _ in range(3)]
+    shown = text(0.9)
+    rows += [("en", "plain", shown), ("en", "code", shown), ("fr", "copies", text(0.1, " ### $$$" * 60)), ("de", "y", ""), ("de", "y", None)]
+    df = spark.createDataFrame([(i, t, lang, s) for i, (lang, s, t) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    for prior, reach in ((5, 3), (100, 5)):
+        found = {r.doc_id: r for r in quality_rules.judge(df, prior=prior, reach=reach).collect()}
+        assert [found[i].kept for i in range(len(rows))] == plain_verdicts(rows, prior, reach)
+        assert all(r.kept == (not r.failed_rules) and r.base_failed == (r.failed_rules == ["base"]) for r in found.values())
+        if prior == 5:
+            at = len(rows) - 5
+            assert not found[at].kept and found[at + 1].kept and not found[at + 2].kept and all(found[i].kept for i in range(at - 3, at))
+    limits = quality_rules.thresholds(quality_rules.sketches(quality_rules.document_counts(df))).collect()
+    assert len({r.most_marks_per_mille for r in limits}) > 2
+
+
+def test_quality_quantiles(spark):
+    rng = np.random.default_rng(2)
+    rows = [("en", s, int(v)) for s, n in (("a", 900), ("b", 500), ("tiny", 5)) for v in rng.gamma(2, 60 if s == "a" else 15, n)]
     df = spark.createDataFrame(rows, "lang string, source string, v long")
     df = df.select("lang", "source", F.lit(False).alias("base_failed"), *(F.col("v").alias(m) for m in quality_rules.METRICS))
     sketch = quality_rules.sketches(df)
     found = {r.source: r for r in quality_rules.quartiles(sketch, "lang", "source").collect()}
     for s in ("a", "b"):
         values = np.array([v for _, x, v in rows if x == s])
-        for share, got in ((0.25, found[s].symbols_per_mille_q25), (0.75, found[s].symbols_per_mille_q75)):
+        for share, got in ((0.25, found[s].marks_per_mille_q25), (0.75, found[s].marks_per_mille_q75)):
             exact = np.quantile(values, share, method="inverted_cdf")
             assert exact * 31 / 32 - 1 <= got <= exact
     merged = quality_rules.quartiles(quality_rules.merged(sketch, "lang"), "lang").first()
     exact = np.quantile([v for *_, v in rows], 0.75, method="inverted_cdf")
-    assert exact * 31 / 32 - 1 <= merged.symbols_per_mille_q75 <= exact
-    limits = {r._bw_source: r for r in quality_rules.thresholds(sketch).collect()}
-    wide = merged.symbols_per_mille_q75 + 3 * (merged.symbols_per_mille_q75 - merged.symbols_per_mille_q25)
-    assert limits["tiny"].most_symbols_per_mille == max(150, wide)
+    assert exact * 31 / 32 - 1 <= merged.marks_per_mille_q75 <= exact
 
 
 def test_quality_salted_join_is_the_broadcast_join(spark, monkeypatch):
@@ -189,6 +287,45 @@ def test_gradients_by_differences():
             assert (up - down) / 2e-2 == pytest.approx(g[place], rel=0.05, abs=2e-4)
 
 
+def plain_probabilities(network, data, window):
+    """Mean over the bytes of a text of the label probabilities, each byte read in its window, by loops over gates."""
+    h = network.hidden
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    total = np.zeros(len(network.labels))
+    for start in range(0, len(data), window):
+        begin = min(start, max(len(data) - window, 0))  # the last window reaches back
+        read = list(data[begin : begin + window])
+        read += [0] * (window - len(read))
+        states = []
+        for side in (0, 1):
+            state, kept = [0.0] * h, {}
+            for t in range(window) if side == 0 else reversed(range(window)):
+                x, new = network.embed[side][read[t]], []
+                inner = [sum(state[i] * float(network.turn[side][i][j]) for i in range(h)) for j in range(3 * h)]
+                for j in range(h):
+                    keep, reset = sigmoid(x[j] + inner[j]), sigmoid(x[h + j] + inner[h + j])
+                    fresh = math.tanh(x[2 * h + j] + reset * inner[2 * h + j])
+                    new.append(keep * state[j] + (1 - keep) * fresh)
+                state = new
+                kept[t] = state
+            states.append(kept)
+        for t in range(start - begin, min(window, len(data) - begin)):
+            both = states[0][t] + states[1][t]
+            scores = [sum(both[i] * float(network.out[i][k]) for i in range(2 * h)) + float(network.bias[k]) for k in range(len(network.labels))]
+            weights = [math.exp(x - max(scores)) for x in scores]
+            total += np.array(weights) / sum(weights)
+    return total / max(len(data), 1)
+
+
+def test_forward_pass_and_pooling_by_loops(spark):
+    network = language_id.Network.fresh(["a", "b", "c"], 3, 4)
+    texts = ["a", "short text", "exactly16letters", "Ünï – a text that takes more than one window of sixteen bytes", "x" * 33]
+    rows = language_id.label_languages(docs_of(spark, texts), network, window=16).collect()
+    for r in rows:
+        wanted = plain_probabilities(network, r.text.encode(), 16)
+        assert r.lang_pred == network.labels[int(wanted.argmax())] and r.score == pytest.approx(wanted.max(), abs=1e-5)
+
+
 def test_windows_cover_every_byte_once():
     texts = [b"", b"a", b"x" * 10, b"y" * 11, b"z" * 25, bytes(range(97, 107)) * 3]
     windows, owner, first, last = language_id.cut(texts, 10)
@@ -286,6 +423,43 @@ def test_quality_model_held_out(spark):
     assert np.mean([a > b for a in good for b in bad]) > 0.95 and all((r.score >= 0.3) == r.predicted for r in rows)
 
 
+def plain_statistics(text):
+    data = (text or "").encode()
+    words = [w for w in re.split(rb"[ \t\n\x0b\x0c\r]+", data) if w]
+    lines = [x for x in data.split(b"\n") if x.strip()]
+    n, rows, size = max(len(words), 1), max(len(lines), 1), max(len(data), 1)
+    share = lambda keep: sum(1 for b in data if keep(b)) / size
+    among = lambda characters: share(lambda b: b in characters)
+    return dict(
+        log_bytes=math.log1p(len(data)), log_words=math.log1p(len(words)), word_length=sum(map(len, words)) / n, longest_word=max(map(len, words), default=0), unique_words=len(set(words)) / n, top_word=max((words.count(w) for w in set(words)), default=0) / n,
+        lower=share(lambda b: 97 <= b <= 122), upper=share(lambda b: 65 <= b <= 90), digits=share(lambda b: 48 <= b <= 57), spaces=among(b" \t\n\x0b\x0c\r"), sentence_marks=among(b".,;:?"), other_marks=among(b"\"'()[]{}/\\-_=+"),
+        symbols=among(b"#*$%&|<>^~@"), exclamations=among(b"!"), bars=among(b"|"), non_ascii=share(lambda b: b >= 128), lines=math.log1p(len(lines)), line_length=len(data) / rows, repeated_lines=1 - len(set(lines)) / rows,
+        ended_lines=sum(x.rstrip().endswith((b".", b"!", b"?")) for x in lines) / rows,
+    )
+
+
+def test_statistics_by_loops():
+    for text in (None, "", " \n\t", "One two. TWO three!\nOne two.\n\nno end ~@ |x| 12,5 \"q\" é", "a\x0bb\x0cc\r\nd ?\n" * 3):
+        assert quality_model.statistics(text) == pytest.approx([plain_statistics(text)[k] for k in quality_model.STATISTICS])
+
+
+def test_splits_by_brute_force():
+    """The first tree's first split has the best gain over all cuts between values, and the leaves have their step."""
+    rng = np.random.default_rng(3)
+    rows = rng.integers(0, 12, (300, 4)).astype(float)
+    labels = (rows[:, 2] + rng.normal(0, 2, 300) > 6).astype(float)
+    forest = quality_model.fit(rows, labels, trees=1, depth=1, rate=0.3, shrink=1.0)
+    p = (labels.sum() + 0.5) / 301
+    slope, bend = labels - p, np.full(300, p * (1 - p))
+    score = lambda side: slope[side].sum() ** 2 / (bend[side].sum() + 1)
+    best = max((score(rows[:, f] <= x) + score(rows[:, f] > x), f, x) for f in range(4) for x in range(11))
+    left = rows[:, best[1]] <= best[2]
+    assert forest.feature[0, 0] == best[1] and ((rows[:, best[1]] <= forest.threshold[0, 0]) == left).all()
+    step = lambda side: 0.3 * slope[side].sum() / (bend[side].sum() + 1)
+    wanted = 1 / (1 + np.exp(-(np.log(p / (1 - p)) + np.where(left, step(left), step(~left)))))
+    assert np.allclose(forest.score(rows), wanted)
+
+
 def test_flat_trees_walk_like_a_loop():
     rng = np.random.default_rng(0)
     rows = rng.normal(size=(500, 4))
@@ -366,6 +540,100 @@ def test_secrets_of_other_alphabets_and_parts_of_runs(spark):
     assert not any(r.spans for r in secret_scan.scan(docs_of(spark, written)).collect())
 
 
+def plain_encoding(token):
+    for name, pattern, *needs in (("hex", "[0-9a-f]+|[0-9A-F]+", "[0-9]", "[A-Fa-f]"), ("base32", "[A-Z2-7]+=*", "[A-Z]", "[2-7]"), ("lower26", "[a-z]+=*"), ("upper26", "[A-Z]+=*"), ("lower36", "[a-z0-9]+=*", "[a-z]"), ("upper36", "[A-Z0-9]+=*", "[A-Z]"), ("base64", ".*", "[a-z]", "[A-Z]")):
+        if re.fullmatch(pattern, token) and all(re.search(n, token) for n in needs):
+            return name
+    return None
+
+
+def plain_battery(token, encoding):
+    """(worst of the tests' probabilities, evidence against writing, length) by loops."""
+    body = (token.lower() if encoding == "hex" else token.replace("-", "+").replace("_", "/")).replace("=", "")
+    alphabet, n = secret_scan.ENCODINGS[encoding], len(body)
+    k, v = len(alphabet), [alphabet.index(c) + 1 for c in body]
+    tail = lambda z: math.erfc(abs(z) / math.sqrt(2))
+    chi = k / n * sum(x * x for x in Counter(body).values()) - n
+    worst = tail((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n))
+    high = [x > k / 2 for x in v]
+    ones, zeros = sum(high), n - sum(high)
+    mid = 2 * ones * zeros / n + 1
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
+    worst = min(worst, tail((runs - mid) / math.sqrt((mid - 1) * (mid - 2) / (n - 1))) if ones > 1 and zeros > 1 else 0)
+    mean = sum(v) / n
+    around = sum((x - mean) ** 2 for x in v)
+    worst = min(worst, tail(sum((a - mean) * (b - mean) for a, b in zip(v, v[1:])) / around * math.sqrt(n)) if around else 0)
+    kind = lambda c: "l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "o"
+    sizes = Counter(map(kind, alphabet))
+    evidence = 0
+    for a, b in zip(map(kind, body), map(kind, body[1:])):
+        row = secret_scan.FOLLOWS[a]
+        evidence += math.log(sizes[b] / k) - math.log(row[b] / sum(row[c] for c in sizes))
+    before = ""
+    for c in body.lower() if encoding != "hex" else "":
+        if "a" <= c <= "z":
+            vowel = c in "aeiou"
+            chance = (0.2 if before in "aeiou" else 0.5) if before.isalpha() else 0.4
+            rate = secret_scan.LETTER_RATES[c] / sum(r for x, r in secret_scan.LETTER_RATES.items() if (x in "aeiou") == vowel)
+            evidence -= math.log(26 * rate * (chance if vowel else 1 - chance))
+        before = c
+    return worst, evidence, n
+
+
+def plain_random_spans(texts, battery=0.001, discovery=0.01):
+    """The added spans of every text, with all candidates in lists."""
+    held = []
+    for i, text in enumerate(texts):
+        base = plain_spans(text or "")
+        runs = {m.span() for p in (r"[A-Za-z0-9+/_=-]{20,}", r"[A-Za-z0-9+]{20,}") for m in re.finditer(p, text or "")}
+        for a, b in sorted(runs):
+            encoding = plain_encoding(text[a:b])
+            if encoding and not any(x < b and a < y for x, _, y in base):
+                worst, evidence, n = plain_battery(text[a:b], encoding)
+                held.append((i, a, b, sum(n >= x for x in (24, 32, 48)), worst >= battery / 3, min(math.floor(4 * max(evidence, 0)), 120)))
+    spans = defaultdict(list)
+    for size in range(4):
+        own = [h for h in held if h[3] == size]
+        for h in own:
+            # passes if the expected false finds are few at its level or at a lower one
+            levels = [level for level in range(h[5] + 1) if (n := sum(x[4] and x[5] >= level for x in own)) and len(own) * math.exp(-level / 4) <= discovery * n]
+            if h[4] and levels:
+                spans[h[0]].append((h[1], h[2]))
+    return {i: sorted(x for x in s if not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in s)) for i, s in spans.items()}
+
+
+TOKENS = {"base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "lower36": "abcdefghijklmnopqrstuvwxyz0123456789", "upper36": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "lower26": "abcdefghijklmnopqrstuvwxyz", "hex": "0123456789abcdef"}
+
+
+def test_random_spans_by_brute_force(spark):
+    rng = random.Random(11)
+    words = ["read", "Name", "value", "index", "Of", "element", "option", "2024", "User", "path", "to", "DATA", "v2"]
+    texts = [None, "", "plain words only"]
+    for alphabet in TOKENS.values():
+        texts += [f"see {''.join(rng.choices(alphabet, k=rng.choice([20, 22, 24, 28, 31, 40, 50, 70])))} there" for _ in range(25)]
+    texts += ["".join(rng.choices(words, k=6)) + rng.choice(["", "=", "/x"]) for _ in range(150)]
+    texts += [f"é 𝒳 a/{''.join(rng.choices(TOKENS['base62'], k=30))}/{'_'.join(rng.choices(words, k=5))}={'7' * 25} token={'k' * 30}" for _ in range(20)]
+    texts += ["=" * 30 + "a", "_" * 25, "A" * 40, "0" * 25 + "f", "x" * 100_000]
+    wanted = plain_random_spans(texts)
+    assert 50 < sum(map(len, wanted.values())) < 220
+    for r in secret_scan.scan(docs_of(spark, texts)).collect():
+        assert [(s.start, s.end) for s in r.spans if s.kind == 3] == wanted.get(r.doc_id, []), r.text
+
+
+def test_short_secrets_among_readable_runs(spark):
+    """A tenth of the candidates are secrets of 20 to 40 characters: most are found, and what reads is left alone."""
+    rng = random.Random(13)
+    words = ["read", "Name", "value", "index", "Of", "element", "option", "2024", "User", "path", "to", "DATA", "config", "Http", "x86"]
+    glue = ["", "_", "-", "/"]
+    written = [rng.choice(glue).join(rng.sample(words, 7)) for _ in range(2700)]
+    made = [(name, n, "".join(rng.choices(alphabet, k=n))) for name, alphabet in TOKENS.items() for n in (20, 24, 32, 40) for _ in range(12)]
+    texts = [f"see {x} there" for x in written] + [f"see {x} there" for *_, x in made]
+    found = {r.doc_id: r.n for r in secret_scan.scan(docs_of(spark, texts)).select("doc_id", F.size("spans").alias("n")).collect()}
+    assert sum(found[i] for i in range(len(written))) <= 5
+    recall = lambda names, least: np.mean([found[len(written) + i] > 0 for i, (name, n, _) in enumerate(made) if name in names and n >= least])
+    assert recall(("base62",), 24) >= 0.85 and recall(("base62", "lower36", "upper36", "base32"), 20) >= 0.75 and recall(TOKENS, 20) >= 0.7
+
+
 def test_cut_level():
     assert secret_scan.cut_level({}, 0.01) > secret_scan.LEVELS
     assert secret_scan.cut_level({60: 10}, 0.01) < 60 and secret_scan.cut_level({1: 100}, 0.01) > secret_scan.LEVELS
@@ -429,6 +697,9 @@ def test_chat_round_trip(spark):
         learnt = "".join(t[3] or "" for t in turns if t[2] == "assistant")
         assert (r.loss_chars, r.loss_sha256) == (len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
         assert r.formatted_chars == len(whole[conv])
+    folder = common.new_folder(spark, "test-chat")
+    segments.repartition(7, F.rand(3)).write.parquet(folder)  # in any order
+    assert {r.conv_id: r for r in chat.read_back(spark.read.parquet(folder)).collect()} == found
     assert found[0].valid and found[53].valid and not any(found[c].valid for c in (50, 51, 52, 54, None))
     assert chat.read_back(chat.format_chat(df.limit(0))).count() == 0
 
@@ -579,3 +850,21 @@ def test_near_duplicates_and_keep_first(spark, odd):
     alone = odd.where("doc_id is null")
     assert simhash.keep_first(alone.unionByName(alone)).count() == 1
     assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.keep_first(empty(spark)).count() == 0
+
+
+# -- shared
+
+
+def test_scratch_belongs_to_its_run(spark):
+    import os
+
+    with common.Scratch(spark) as used:
+        inner = common.written(spark.range(3), "test-a")
+        with common.Scratch(spark) as other:
+            common.new_folder(spark, "test-b")
+        assert len(used.paths) == 1 and len(other.paths) == 1
+    outer = common.written(spark.range(3), "test-c")
+    path = used.paths[0].removeprefix("file://")
+    assert inner.count() == 3 and os.path.isdir(path)
+    used.drop()
+    assert not os.path.isdir(path) and outer.count() == 3 and not used.paths

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import corpus_pipeline
+from barweave.llm.common import written
 from .test_operators import counts, plain_hits, plain_similar, plain_spans
 
 SF = "/root/testdata/sf0.001"
@@ -50,6 +51,27 @@ def test_stages(spark):
     assert {p.doc_id for p in pieces} == set(masked) and sum(p.n_units for p in pieces) == sum(counts(r.text)[0] for r in masked.values())
     whole = corpus_pipeline.run(spark, SF)
     assert whole.count() == len(pieces)
+    texts = {}
+    for r in sorted(whole.collect(), key=lambda r: r.piece):
+        texts[r.doc_id] = texts.get(r.doc_id, "") + r.text
+    assert texts == {i: r.text for i, r in masked.items()}
+
+
+def test_odd_documents(spark):
+    """Nulls, empty and long texts, repeated rows, ties and columns with the stages' own names."""
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(n)) + "."
+    long, copy, secret = prose(30_000), prose(80), prose(60) + " password = abcdefgh12 " + prose(60)
+    rows = [(1, long), (2, copy), (2, copy), (3, copy.upper()), (4, None), (5, ""), (6, secret), (None, copy), (None, prose(70)), (None, None), (7, prose(90)), (8, " \n ")]
+    docs = spark.createDataFrame([(i, t, None if (i or 0) % 2 else "en", None if i == 6 else "web", f"own {n}", f"own {n}") for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, kept string, component_id string")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, SF), "test-odd")
+        assert name == "packing" or docs.columns == columns
+    texts = {}
+    for r in sorted(docs.collect(), key=lambda r: r.piece):
+        texts[r.doc_id] = texts.get(r.doc_id, "") + r.text
+    assert set(texts) == {1, 2, 6, 7, None} and texts[1] == long and texts[6] == secret.replace("password = abcdefgh12", "[SECRET]")
 
 
 def test_empty_documents(spark):
