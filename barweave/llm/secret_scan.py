@@ -12,11 +12,13 @@ be glued to readable text. Of candidates that pass, those inside another one tha
 
 A candidate must look random: the chi-squared statistic of its characters against a uniform alphabet, the runs test of
 its values about the alphabet's middle, and their lag-1 serial correlation, each as a normal deviate, may not be
-extreme (together ``battery`` false alarms). And it must not look written: readable strings repeat characters at a
-known rate, and the number of equal pairs in the candidate gives the probability of so few of them in readable text.
-These probabilities, which fall with length, are put under the step-up rule of Benjamini and Hochberg within three
-classes of length at the rate ``discovery``; the rule reads a histogram of at most 61 levels for each class, so that
-no candidate is sorted or gathered. Candidates that pass are spans of the kind ``random`` unless a base span overlaps.
+extreme (together ``battery`` false alarms). And it must not look written, by the same three sides of a string: how
+often each letter stands (frequencies), how often the class of characters changes (runs), and how vowels and consonants
+follow each other (serial dependence). Each gives the logarithm of its likelihood as a random string of the encoding
+over that as written text; exp(-sum) bounds the probability of so much evidence in written text, whatever the length,
+and so is its p-value. These p-values are put under the step-up rule of Benjamini and Hochberg within four classes of
+length at the rate ``discovery``; the rule reads a histogram of at most 121 levels for each class, so that no candidate
+is sorted or gathered. Candidates that pass are spans of the kind ``random`` unless a base span overlaps.
 
 Defined cases: a null text is empty and has no spans; texts of any length are searched whole; repeated rows and null
 ids stay as they are; other columns are kept, those with the names of results replaced; an empty table gives none.
@@ -24,6 +26,9 @@ ids stay as they are; other columns are kept, those with the names of results re
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import written
@@ -36,12 +41,36 @@ HEX = r"[0-9a-f]{32,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 PART = r"[A-Za-z0-9+]{20,}"
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-#: Alphabet of each encoding in the order of its values, and the share of equal pairs in readable strings.
-ENCODINGS = {"hex": (DIGITS + "abcdef", 0.105), "base32": (UPPER + "234567", 0.065), "base64": (UPPER + LOWER + DIGITS + "+/", 0.045)}
-ENCODINGS |= {f"{case}{kind}": (letters + digits, 0.065) for case, letters in (("lower", LOWER), ("upper", UPPER)) for kind, digits in (("36", DIGITS), ("26", ""))}
+#: Alphabet of each encoding in the order of its values.
+ENCODINGS = {"hex": DIGITS + "abcdef", "base32": UPPER + "234567", "base64": UPPER + LOWER + DIGITS + "+/"}
+ENCODINGS |= {f"{case}{kind}": letters + digits for case, letters in (("lower", LOWER), ("upper", UPPER)) for kind, digits in (("36", DIGITS), ("26", ""))}
+#: Fixed values, rough means over European languages: each letter's rate in written text (no rate below 4 per mille),
+#: the chance of a vowel at a start, after a vowel and after a consonant, and what class of character follows which
+#: (l: lower case, u: upper case, d: digit, o: + or /) in names, paths and identifiers.
+LETTER_RATES = dict(a=75, b=15, c=32, d=42, e=140, f=15, g=17, h=30, i=70, j=4, k=6, l=48, m=28, n=75, o=62, p=24, q=6, r=68, s=70, t=68, u=42, v=14, w=10, x=4, y=10, z=6)
+VOWELS, VOWEL_CHANCE = "aeiou", (0.4, 0.2, 0.5)
+FOLLOWS = {"l": dict(l=0.80, u=0.12, d=0.05, o=0.03), "u": dict(l=0.60, u=0.30, d=0.07, o=0.03), "d": dict(l=0.20, u=0.15, d=0.60, o=0.05), "o": dict(l=0.55, u=0.25, d=0.15, o=0.05)}
 #: Classes of length: from so many characters on.
-CLASSES = (64, 32, 20)
-LEVELS = 60
+CLASSES = (48, 32, 24, 20)
+LEVELS = 120
+
+
+def char_class(char: str) -> str:
+    return "l" if char in LOWER else "u" if char in UPPER else "d" if char in DIGITS else "o"
+
+
+def class_evidence(encoding: str) -> dict[str, float]:
+    """For each pair of neighbouring classes: log likelihood of the second in the random encoding over that in written text."""
+    classes = Counter(map(char_class, ENCODINGS[encoding]))
+    share = {c: n / classes.total() for c, n in classes.items()}
+    return {a + b: math.log(share[b] / (FOLLOWS[a][b] / sum(FOLLOWS[a][c] for c in classes))) for a in classes for b in classes}
+
+
+def letter_evidence() -> list[float]:
+    """The same for each letter a to z at a start, after a vowel, and after a consonant."""
+    group = {c: sum(n for x, n in LETTER_RATES.items() if (x in VOWELS) == (c in VOWELS)) for c in LOWER}
+    written_rate = lambda c, chance: (chance if c in VOWELS else 1 - chance) * LETTER_RATES[c] / group[c]
+    return [math.log(1 / 26 / written_rate(c, chance)) for chance in VOWEL_CHANCE for c in LOWER]
 
 
 def _spans(text: Column, pattern: str, kind: int, value_group: int, least: int) -> Column:
@@ -106,27 +135,50 @@ def _runs(text: Column, pattern: str) -> Column:
 
 
 def _statistics(found: Column) -> Column:
-    """The candidate's characters with the alphabet of its encoding and the rate of equal pairs in readable strings."""
+    """The candidate's characters with the alphabet of its encoding and its table of class evidence."""
     normal = F.when(found["encoding"] == "hex", F.lower(found["token"])).otherwise(F.translate(found["token"], "-_", "+/"))
     body = F.translate(normal, "=", "")
-    alphabet, rate = F.lit(""), F.lit(0.0)
-    for name, (letters, share) in ENCODINGS.items():
+    alphabet, evidence = F.lit(""), F.lit(None).cast("map<string,double>")
+    for name, letters in ENCODINGS.items():
         alphabet = F.when(found["encoding"] == name, F.lit(letters)).otherwise(alphabet)
-        rate = F.when(found["encoding"] == name, F.lit(share)).otherwise(rate)
-    return F.struct(found["start"].alias("start"), found["end"].alias("end"), body.alias("body"), alphabet.alias("alphabet"), rate.alias("rate"))
+        table = F.create_map(*(F.lit(x) for pair in class_evidence(name).items() for x in pair))
+        evidence = F.when(found["encoding"] == name, table).otherwise(evidence)
+    # in hex the letters are no writing
+    letters = F.when(found["encoding"] == "hex", F.lit("")).otherwise(F.lower(body))
+    return F.struct(found["start"].alias("start"), found["end"].alias("end"), body.alias("body"), letters.alias("letters"), alphabet.alias("alphabet"), evidence.alias("evidence"))
 
 
 def _values(found: Column) -> Column:
     chars = F.split(found["body"], "(?!$)")
+    classes = F.split(F.translate(found["body"], LOWER + UPPER + DIGITS + "+/", "l" * 26 + "u" * 26 + "d" * 10 + "oo"), "(?!$)")
+    letters = F.transform(F.split(found["letters"], "(?!$)"), lambda c: F.when(c == "", 0).otherwise(F.instr(F.lit(LOWER), c)))
     return F.struct(
-        *(found[c].alias(c) for c in ("start", "end", "rate")),
+        *(found[c].alias(c) for c in ("start", "end", "evidence")),
         F.length(found["body"]).cast("double").alias("n"),
         F.length(found["alphabet"]).cast("double").alias("k"),
         F.transform(chars, lambda c: F.instr(found["alphabet"], c).cast("double")).alias("v"),
         F.transform(F.array_distinct(chars), lambda c: (F.length(found["body"]) - F.length(F.replace(found["body"], c, F.lit("")))).cast("double")).alias("counts"),
+        classes.alias("classes"),
+        letters.alias("letters"),
     )
 
 
+def _neighbours(values: Column, of) -> Column:
+    """What ``of`` gives for each value and the next one."""
+    n = F.size(values)
+    return F.zip_with(F.slice(values, F.lit(1), n - 1), F.slice(values, F.lit(2), n - 1), of)
+
+
+def _evidence(found: Column) -> Column:
+    """Log likelihood as a random string over that as written text."""
+    classes = _neighbours(found["classes"], lambda a, b: F.element_at(found["evidence"], F.concat(a, b)))
+    kinds = F.array(*(F.lit(k) for k in (0, *(1 if c in VOWELS else 2 for c in LOWER))))
+    table = F.array(*map(F.lit, letter_evidence()))
+    at = lambda a, b: F.when(b > 0, F.get(table, F.get(kinds, a) * 26 + b - 1)).otherwise(0.0)
+    letters = _neighbours(F.concat(F.array(F.lit(0)), found["letters"]), at)
+    return _sum(classes) + _sum(letters)
+
+
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
@@ -135,7 +187,8 @@ def _sums(found: Column) -> Column:
     mean = _sum(found["v"]) / found["n"]
     high = F.transform(found["v"], lambda v: F.when(v > found["k"] / 2, 1.0).otherwise(0.0))
     return F.struct(
-        *(found[c].alias(c) for c in ("start", "end", "rate", "n", "k")),
+        *(found[c].alias(c) for c in ("start", "end", "n", "k")),
+        _evidence(found).alias("written"),
         _sum(F.transform(found["counts"], lambda c: c * c)).alias("squares"),
         mean.alias("mean"),
         found["v"].alias("v"),
@@ -156,9 +209,7 @@ def _deviates(found: Column) -> Column:
     moved = F.zip_with(F.slice(found["v"], F.lit(1), F.size(found["v"]) - 1), F.slice(found["v"], F.lit(2), F.size(found["v"])), lambda a, b: (a - mean) * (b - mean))
     around = _sum(F.transform(found["v"], lambda v: (v - mean) * (v - mean)))
     z_serial = F.when(around > 0, _sum(moved) / around * F.sqrt(n)).otherwise(F.lit(99.0))
-    pairs, wanted = found["squares"] - n, n * (n - 1) * found["rate"]
-    z_read = (wanted - pairs) / F.sqrt(2 * wanted)
-    return F.struct(found["start"].alias("start"), found["end"].alias("end"), n.alias("n"), z_chi.alias("chi"), F.abs(z_runs).alias("runs"), F.abs(z_serial).alias("serial"), z_read.alias("read"))
+    return F.struct(found["start"].alias("start"), found["end"].alias("end"), n.alias("n"), z_chi.alias("chi"), F.abs(z_runs).alias("runs"), F.abs(z_serial).alias("serial"), found["written"].alias("written"))
 
 
 def _level(found: Column) -> Column:
@@ -167,7 +218,7 @@ def _level(found: Column) -> Column:
         size = F.when(found["n"] >= least, F.lit(n)).otherwise(size)
     size = F.coalesce(size, F.lit(0))
     worst = F.least(2 * _tail(F.abs(found["runs"])), 2 * _tail(F.abs(found["serial"])), 2 * _tail(F.abs(found["chi"])))
-    level = F.least(F.floor(-4 * F.log(F.greatest(_tail(found["read"]), F.lit(1e-9)))), F.lit(LEVELS)).cast("int")
+    level = F.least(F.floor(4 * F.greatest(found["written"], F.lit(0.0))), F.lit(LEVELS)).cast("int")
     return F.struct(found["start"].alias("start"), found["end"].alias("end"), size.alias("size"), worst.alias("worst"), level.alias("level"))
 
 
@@ -195,7 +246,7 @@ def scan(docs: DataFrame, text_col: str = "text", keep_text: bool = True, batter
         .select("c.size", F.when(F.col("c.worst") >= battery / 3, F.col("c.level")).otherwise(-1).alias("level"))
         .groupBy("size", "level")
         .count()
-        .collect()  # at most three classes with LEVELS + 2 levels
+        .collect()  # four classes with at most LEVELS + 2 levels
     )
     cuts = [cut_level({r.level: r["count"] for r in levels if r.size == size}, discovery) for size in range(len(CLASSES))]
     cut = F.array(*map(F.lit, cuts))
@@ -221,7 +272,7 @@ def cut_level(counts: dict[int, int], discovery: float) -> int:
     total, held, cut = sum(counts.values()), 0, LEVELS + 1
     for level in range(LEVELS, -1, -1):
         held += counts.get(level, 0)
-        if held and total * 2.718281828459045 ** (-level / 4) <= discovery * held:
+        if held and total * math.exp(-level / 4) <= discovery * held:
             cut = level
     return cut
 
