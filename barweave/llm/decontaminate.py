@@ -9,8 +9,9 @@ places. An occurrence never crosses documents, so shards need no exchange and th
 A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window. A document
 word inside any occurrence of a window is hit; a document with a hit is contaminated.
 
-The benchmark is the stated query set: its items come to the driver in blocks of ``block_mb`` of text at most, and each
-block is broadcast. Defined cases: null and empty texts have no words; a null item id is written as the empty string;
+The benchmark is the stated query set: its items come to the driver in blocks of about ``block_mb`` of text, one after
+another, and each block is broadcast and dropped again before the next; so the memory is that of one block, and a
+benchmark of several blocks takes several passes. Defined cases: null and empty texts have no words; a null item id is written as the empty string;
 repeated items count once; documents of any length are searched whole; repeated rows and null ids of documents stay as
 they are; empty tables give no rows or no hits; other columns are kept, those with the names of results replaced.
 """
@@ -26,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import written
+
 #: Bytes of words stay (A-Z in lower case), all others become a space; in UTF-8 every byte of a non-ASCII letter stays.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -144,15 +147,13 @@ class Shard:
         return numbers[index], places[index], suffix_array(numbers[index], items.deepest)
 
 
-def scan(texts: list[list[bytes]], blocks: list[Items]) -> tuple[np.ndarray, list[set[str]]]:
-    """Per document of a shard: the number of hit words and the ids of the items with occurring windows."""
+def scan(texts: list[list[bytes]], items: Items) -> tuple[np.ndarray, list[set[str]]]:
+    """Which words of a shard are hit, and per document the ids of the items with occurring windows."""
     shard = Shard(texts)
     cover = np.zeros(int(shard.first[-1]) + 1, np.int64)
     named: list[set[str]] = [set() for _ in texts]
-    for items in blocks:
-        text, places, order = shard.look(items)
-        if not len(order):
-            continue
+    text, places, order = shard.look(items)
+    if len(order):
         _, _, _, low, high = search(text, order, items)
         some = np.flatnonzero(high > low)
         # equal windows have equal intervals: the places of each are taken once, and each keeps its items
@@ -169,21 +170,41 @@ def scan(texts: list[list[bytes]], blocks: list[Items]) -> tuple[np.ndarray, lis
             owners[kind].add(items.names[item])
         for d, kind in np.unique(np.stack([doc, which], axis=1), axis=0) if len(doc) else ():
             named[d] |= owners[kind]
-    hit = np.concatenate([[0], np.cumsum(np.cumsum(cover)[:-1] > 0)])
-    return hit[shard.first[1:]] - hit[shard.first[:-1]], named
+    return np.cumsum(cover)[:-1] > 0, named
+
+
+def stretches(hit: np.ndarray) -> list[tuple[int, int]]:
+    """First and last (exclusive) of each stretch of hit words."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+
 
+class ItemBlocks:
+    """The distinct items as blocks of about ``block_mb`` of text; the driver and each worker hold one block at a time."""
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_mb: float) -> list:
-    """The items as broadcasts of at most about ``block_mb`` of text each."""
-    spark = benchmark.sparkSession
-    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"), F.coalesce(text_col, F.lit("")).alias("text")).distinct()
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = max(1, int(np.ceil(size / (block_mb * 1e6))))
-    out = []
-    for n in range(count):
-        block = rows.where(F.pmod(F.xxhash64("name", "text"), F.lit(count)) == n).collect()
-        out.append(spark.sparkContext.broadcast(Items([r.name for r in block], [r.text for r in block], window)))
-    return out
+    def __init__(self, benchmark: DataFrame, id_col: str, text_col: str, window: int, block_mb: float) -> None:
+        self.spark, self.window = benchmark.sparkSession, window
+        rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"), F.coalesce(text_col, F.lit("")).alias("text")).distinct()
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.count = max(1, int(np.ceil(size / (block_mb * 1e6))))
+        self.rows = written(rows, "benchmark-items") if self.count > 1 else rows
+
+    def block(self, n: int):
+        """A broadcast."""
+        rows = self.rows.where(F.pmod(F.xxhash64("name", "text"), F.lit(self.count)) == n).collect()
+        return self.spark.sparkContext.broadcast(Items([r.name for r in rows], [r.text for r in rows], self.window))
+
+    def each(self, of) -> DataFrame:
+        """The rows that ``of`` (broadcast, number) gives for all blocks; with several, those of a block are written before the next one."""
+        if self.count == 1:
+            return of(self.block(0), 0)
+        found = None
+        for n in range(self.count):
+            block = self.block(n)
+            part = written(of(block, n), "benchmark-block")
+            block.destroy()
+            found = part if found is None else found.unionByName(part)
+        return found
 
 
 RESULTS = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType())]
@@ -204,19 +225,26 @@ def _shards(batch: pa.RecordBatch, text_col: str, shard_words: int) -> Iterator[
 
 
 def mark_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keep_text: bool = True, window: int = 10, shard_words: int = 1_000_000, block_mb: float = 32) -> DataFrame:
-    """``docs`` with n_words, n_hit, n_items, items_sha256 (of the sorted ids, comma-joined) and contaminated."""
-    blocks = item_blocks(benchmark, item_id, item_text, window, block_mb)
+    """``docs`` with n_words, n_hit, n_items, items_sha256 (of the sorted ids, comma-joined) and contaminated.
+
+    A benchmark of several blocks takes a pass over the documents (a copy of them is written) for each.
+    """
+    blocks = ItemBlocks(benchmark, item_id, item_text, window, block_mb)
     docs = docs.drop(*(c for c, _ in RESULTS))
     kept = [f for f in docs.schema.fields if keep_text or f.name != text_col]
+    if blocks.count > 1:
+        return _mark_by_blocks(docs, blocks, text_col, kept, shard_words)
+    block = blocks.block(0)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = [b.value for b in blocks]
         for batch in batches:
             n_words, n_hit, named = [], [], []
             for _, texts in _shards(batch, text_col, shard_words):
-                hit, names = scan(texts, items)
-                n_words += [len(t) for t in texts]
-                n_hit += hit.tolist()
+                hit, names = scan(texts, block.value)
+                sizes = np.array([len(t) for t in texts])
+                sums = np.concatenate([[0], np.cumsum(hit)])[np.concatenate([[0], np.cumsum(sizes)])]
+                n_words += sizes.tolist()
+                n_hit += np.diff(sums).tolist()
                 named += names
             digests = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in named]
             columns = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in named], pa.int64()), pa.array(digests, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_())]
@@ -226,21 +254,50 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     return docs.mapInArrow(run, T.StructType(kept + [T.StructField(*r) for r in RESULTS]))
 
 
+def _mark_by_blocks(docs: DataFrame, blocks: ItemBlocks, text_col: str, kept: list[T.StructField], shard_words: int) -> DataFrame:
+    """``mark_contaminated`` with a pass for each block: stretches of hit words and ids meet by the document's row number."""
+    numbered = written(docs.select(F.struct(*(f.name for f in kept)).alias("doc"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")), "decontamination-docs")
+
+    def hits(block, n: int) -> DataFrame:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows, found = batch.column(1).to_pylist(), []
+                for first, texts in _shards(batch, "text", shard_words):
+                    hit, named = scan(texts, block.value)
+                    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+                    # the first block's pass counts the words of every document
+                    found += [(rows[first + i], len(t), [{"first": a, "last": b} for a, b in stretches(hit[at[i] : at[i + 1]])], sorted(named[i])) for i, t in enumerate(texts) if named[i] or n == 0]
+                columns = list(zip(*found)) or [()] * 4
+                kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["row", "n_words", "hit", "named"])
+
+        return numbered.select("text", "row").mapInArrow(run, "row long, n_words long, hit array<struct<first:long,last:long>>, named array<string>")
+
+    # a row for each block that hits the document, so at most one for each block
+    met = blocks.each(hits).groupBy("row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hit"))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("named")))).alias("named"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("n"))
+    step = lambda acc, x: F.struct(F.greatest(acc["at"], x["last"]).alias("at"), (acc["n"] + F.greatest(x["last"] - F.greatest(acc["at"], x["first"]), F.lit(0))).alias("n"))
+    n_hit = F.aggregate("hit", start, step)["n"]
+    counts = met.select("row", "n_words", n_hit.alias("n_hit"), F.size("named").cast("long").alias("n_items"), F.sha2(F.array_join("named", ","), 256).alias("items_sha256"))
+    return numbered.select("row", "doc").join(counts, "row").select("doc.*", *(c for c, _ in RESULTS[:-1]), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, shard_words: int = 1_000_000, block_mb: float = 32) -> DataFrame:
     """The longest verbatim matches that cannot be extended to the left: document and item, first word in each, words.
 
     One row for each place of a longest match of an item's suffix that has at least a window's words.
     """
-    blocks = item_blocks(benchmark, item_id, item_text, window, block_mb)
+    blocks = ItemBlocks(benchmark, item_id, item_text, window, block_mb)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = T.StructType([T.StructField("id", source.schema["id"].dataType)] + [T.StructField(c, t) for c, t in (("item_id", T.StringType()), ("doc_word", T.LongType()), ("item_word", T.LongType()), ("n_words", T.LongType()))])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0)
-            for first, texts in _shards(batch, "text", shard_words):
-                shard = Shard(texts)
-                for items in (b.value for b in blocks):
+    def matches(block, n: int) -> DataFrame:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(0)
+                for first, texts in _shards(batch, "text", shard_words):
+                    shard = Shard(texts)
+                    items = block.value
                     text, places, order = shard.look(items)
                     longest, low, high, _, _ = search(text, order, items)
                     some = np.flatnonzero((longest >= items.need) & (longest > 0))
@@ -257,7 +314,9 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
                         names=schema.names,
                     )
 
-    return source.mapInArrow(run, schema)
+        return source.mapInArrow(run, schema)
+
+    return blocks.each(matches)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
