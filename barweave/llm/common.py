@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -29,28 +30,43 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
-    """A path for one table or set of files in the shared folder; it is deleted when the application ends."""
+    """A path for one table or set of files in the shared folder; it is deleted when the application ends, or by the ``Scratch`` around the call."""
     path = f"{shared_folder(spark)}/barweave/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     _forget_on_exit(spark, path)
-    _made.append(path)
+    if (scratch := _scratch.get()) is not None:
+        scratch.paths.append(path)
     return path
 
 
-_made: list[str] = []
+_scratch: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
 
 
-def scratch_mark() -> int:
-    """A place in the list of folders made so far, for ``drop_scratch``."""
-    return len(_made)
+class Scratch:
+    """The folders made within ``with Scratch(spark) as used:`` by this thread; ``used.drop()`` deletes them.
 
+    Results are lazy: write what is built on these folders before dropping them.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        self._token = _scratch.set(self)
+        return self
 
-def drop_scratch(spark: SparkSession, mark: int, keep: int = 1) -> None:
-    """Deletes the folders made since the mark but for the last ``keep`` ones."""
-    end = len(_made) - keep
-    for path in _made[mark:end]:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    del _made[mark:end]
+    def __exit__(self, *error: object) -> None:
+        _scratch.reset(self._token)
+
+    def drop(self) -> None:
+        for path in self.paths:
+            delete(self.spark, path)
+        self.paths.clear()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _forget_on_exit(spark: SparkSession, path: str) -> None:
@@ -60,7 +76,10 @@ def _forget_on_exit(spark: SparkSession, path: str) -> None:
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage and survives the loss of executors."""
-    path = new_folder(df.sparkSession, tag)
+    return written_to(df, new_folder(df.sparkSession, tag))
+
+
+def written_to(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import chat, decontaminate, language_id, packing, quality_model, quality_rules, secret_scan, simhash, url_filter, warc
-from .common import table
+from .common import table, words_of
 
 #: Rules of the URL query: host, path, action.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -77,7 +77,8 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", F.size(words_of(F.col("text"))).alias("n_units"))
+    return packing.pack(simhash.near_duplicates(docs), length=F.col("n_units"), cluster=F.col("component_id"))
 
 
 def held_out(divisor: int, rest: int):
