@@ -5,7 +5,8 @@ time, so that a very long conversation needs no more memory than its longest tur
 
 Defined cases: a null or empty text gives an empty segment; a null role is the empty role; an unknown role is written
 under the template's ``other`` heading and is a fault of the order; a null conversation id is a conversation of its
-own; repeated turn numbers keep all rows, ordered by turn, role and text (nulls first); an empty table gives none.
+own; repeated turn numbers keep all rows, ordered by turn, role and text (nulls first); very long texts are formatted
+whole; other columns, whatever their names, are left out; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -106,8 +107,9 @@ DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, los
 def read_back(segments: DataFrame, template: Template = Template()) -> DataFrame:
     """Per conversation, from the formatted segments alone: the turns' digest, the text under the loss mask, lengths, validity.
 
-    ``segments`` has the rows of each conversation together and in order, as ``format_chat`` gives them.
+    The rows of ``segments`` may come in any order, as from files.
     """
+    together = segments.withColumn("conv", F.col("conv_id").cast("string")).repartition("conv_id").sortWithinPartitions("conv_id", "turn_no", "part")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now: dict | None = None
@@ -139,4 +141,4 @@ def read_back(segments: DataFrame, template: Template = Template()) -> DataFrame
         if now is not None:
             yield pd.DataFrame([done()], columns=[c.split()[0] for c in DIGESTS.split(", ")]).astype({"conv_id": "Int64"})
 
-    return segments.withColumn("conv", F.col("conv_id").cast("string")).mapInPandas(run, DIGESTS)
+    return together.mapInPandas(run, DIGESTS)

@@ -177,8 +177,9 @@ def cut(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return windows, owner, first, last
 
 
-def pooled(network: Network, texts: list[bytes], window: int, block: int = 1024) -> np.ndarray:
-    """Mean probabilities over all positions of each text."""
+def pooled(network: Network, texts: list[bytes], window: int, cells: int = 4096) -> np.ndarray:
+    """Mean probabilities over all positions of each text; about ``cells`` windows times labels are held at once."""
+    block = max(1, cells // max(4, len(network.labels)))
     total = np.zeros((len(texts), len(network.labels)))
     step = max(1, (8 << 20) // window)  # windows that are cut at a time
     held, size, first = [], 0, 0

@@ -133,7 +133,7 @@ def learn(described: DataFrame, labels: DataFrame, teaches: Column, id_col: str
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(teaches).select(id_col, F.col(label_col).cast("int").alias("label"))
     count = known.count()
     if count > sample_rows:
-        drawn = F.pmod(F.xxhash64(F.col(id_col), F.lit("draw")), F.lit(1_000_000)) < int(1e6 * sample_rows / count)
+        drawn = F.xxhash64(F.col(id_col), F.lit("draw")).cast("double") / 2.0**64 + 0.5 <= sample_rows / count
         known, described = known.where(drawn), described.where(drawn)
     rows = known.join(described.select(id_col, "statistics").where(teaches), id_col).select(id_col, "label", "statistics").collect()
     rows.sort(key=lambda r: (r[0], r[1]))

@@ -11,17 +11,19 @@ partial sums on the map side. So no key holds more than the distinct URLs: a fre
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and fits no rule (an empty host has no
 suffix); a null host, path or action in the rules drops that rule; an empty rule table gives every URL the default;
-repeated rules count once; repeated rows of pages stay repeated.
+repeated rules count once; repeated rows of pages stay repeated; very long URLs are judged whole; other columns are
+kept, those with the names of results replaced.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, written
 
-#: Rules up to this many are broadcast (about 100 bytes each); more are joined by a shuffle.
+#: Rules, or URLs that some rule fits, up to this many are broadcast; more are joined by a shuffle.
 BROADCAST_RULES = 50_000
+SALTS = 1024
 
 
 def host_of(url: Column) -> Column:
@@ -73,8 +75,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
         "_bw_url", F.sha2("expression", 256).alias("digest")
     )
     hits = asked.withColumn("prefix", F.substring("digest", 1, 8)).join(known, "prefix").where(asked["digest"] == known["digest"])
-    best = hits.groupBy("_bw_url").agg(F.max("found").alias("_bw_found"))
-    judged = pages.withColumn("_bw_url", F.col(url_col)).join(best, "_bw_url", "left")
+    best = written(hits.groupBy("_bw_url").agg(F.max("found").alias("_bw_found")).withColumn("_bw_salt", F.lit(0)), "url-verdicts")
+    if best.count() <= broadcast_rules:
+        best = F.broadcast(best)
+    # NULL meets nothing; salted, such rows don't gather in one task
+    salt = F.when(F.col(url_col).isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(0)
+    judged = pages.withColumns({"_bw_url": F.col(url_col), "_bw_salt": salt}).join(best, ["_bw_url", "_bw_salt"], "left")
     return judged.withColumns(
         {
             "host": host_of(F.col("_bw_url")),
@@ -82,4 +88,4 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
             "rule": F.col("_bw_found.rule"),
             "verdict": F.coalesce("_bw_found.action", F.lit(default)),
         }
-    ).drop("_bw_url", "_bw_found")
+    ).drop("_bw_url", "_bw_salt", "_bw_found")

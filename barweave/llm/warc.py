@@ -10,7 +10,7 @@ once; bundles of lost or repeated attempts are in no index and are never read.
 
 Payloads are UTF-8. Of pages with equal payloads (of ``least_bytes`` at least) the one with the smallest page id is a
 response and the others are revisits that refer to it, without a payload of their own. Defined cases: a null payload
-is empty; a null URL has no target header; control characters of a URL are percent-encoded in its header; repeated
+is empty; very long payloads are a frame of their own; other columns are left out; a null URL has no target header; control characters of a URL are percent-encoded in its header; repeated
 pages with the smallest id are all responses; a null page id is written as such and refers to its group's smallest id,
 or is a response where there is none; an empty table gives no bundles.
 """
@@ -37,6 +37,7 @@ SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Revisits up to this many are broadcast to the writers (about 100 bytes each); more are joined by a shuffle.
 BROADCAST_REVISITS = 100_000
+SALTS = 16
 INDEX = "record_id string, path string, frame int, at long, length long"
 
 
@@ -136,7 +137,10 @@ def revisits(pages: DataFrame, id_col: str, payload_col: str, least_bytes: int)
     payload = F.coalesce(payload_col, F.lit(""))
     narrow = pages.where(F.octet_length(payload) >= least_bytes).select(F.col(id_col).alias("page"), F.sha1(payload.cast("binary")).alias("digest"))
     first = narrow.groupBy("digest").agg(F.min("page").alias("refers_to"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL")
-    return narrow.join(first, "digest").where("NOT page <=> refers_to").select("page", "digest", "refers_to").distinct()
+    # a payload may be on most pages (the empty one): its pages meet their first one in SALTS tasks
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = narrow.withColumn("salt", F.pmod(F.xxhash64("page"), F.lit(SALTS)).cast("int"))
+    return salted.join(first, ["digest", "salt"]).where("NOT page <=> refers_to").select("page", "digest", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, frame_bytes: int = 1 << 20, bundle_bytes: int = 256 << 20, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
