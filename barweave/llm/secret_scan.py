@@ -285,8 +285,8 @@ def listed(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", **options) -> DataFrame:
     """``docs`` with every span of their texts, overlapping ones together, replaced by the mask."""
-    found = scan(docs.select(F.struct("*").alias("doc"), F.col(text_col).alias("text")), **options)
-    text = F.col("text")
+    found = scan(docs.select(F.struct("*").alias("doc"), F.col(text_col).alias("text")), keep_text=False, **options)
+    text = F.col("doc")[text_col]
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
