@@ -15,11 +15,12 @@ no other. For t > 2 the members of a crowded bucket are paired block by block, w
 With ``similarity`` also texts whose sets of shingles have at least that Jaccard similarity link, however far apart
 their fingerprints are (at 0.8 they lie 10 bits apart on average and up to 20, where pigeonring is left with pieces of 3
 bits as keys). Distinct texts are keyed by ``BANDS`` bands of ``ROWS`` minima of their shingles' hashes: a pair of
-similarity s shares no key with probability (1 - s^5)^32, 3e-6 at 0.8. First each key's texts meet its hub alone (the text
-with the most company, then others by hash) until rounds link little, so a group of copies needs no pairs within it. What
-is left in different classes meets in blocks, where pairs whose bytes of all minima agree too rarely (5.5 standard
-deviations below the similarity) are dropped. Every link is confirmed on the exact sets. Texts of one key that are alike
-but below the similarity are all compared, in numpy: that work grows with the square of their number, its rows don't.
+similarity s shares no key with probability (1 - s^5)^32, 3e-6 at 0.8. First each key's texts meet its hub alone (the
+text with the most company, then others by hash) until rounds link little, so a group of copies needs no pairs within
+it. What is left in different classes meets in blocks. A pair whose bytes of all 160 minima agree too rarely (4.7
+standard deviations below the similarity, a chance of 1e-6) is dropped; every other one is confirmed on the exact sets.
+Texts of one key that are alike but below the similarity are all compared, in numpy: that work grows with the square of
+their number.
 
 Defined cases: null and empty texts and texts of white space have fingerprint zero and link like any other; fewer words
 than a shingle has are one shingle; very long texts are read whole; repeated rows stay; rows with a null id get the class of their text, whose number
@@ -35,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import written
+from .common import Scratch, written
 from .components import connected_components
 
 SEED = 42
@@ -159,19 +160,44 @@ def in_blocks(members: DataFrame, keys: list[str], name: str, size: int) -> Data
 
 
 def _least_agreeing(similarity: float) -> int:
-    """How many of the minima agree at least, but for a chance of about 1e-7, at this similarity."""
+    """How many of the minima agree at least, but for a chance of about 1e-6, at this similarity."""
     n = BANDS * ROWS
-    return int(n * similarity - 5.5 * (n * similarity * (1 - similarity)) ** 0.5)
+    return int(n * similarity - 4.7 * (n * similarity * (1 - similarity)) ** 0.5)
+
+
+def _agreeing(a: np.ndarray, b: np.ndarray, need: int) -> np.ndarray:
+    """Whether rows of two tables of sketches agree in so many bytes."""
+    return (a == b).sum(axis=1) >= need
+
+
+def _sketches(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), BANDS * ROWS)
+
+
+def plausible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sketches (node, sketch) allow the similarity."""
+    need = _least_agreeing(similarity)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = _agreeing(_sketches(batch.column(2)), _sketches(batch.column(3)), need)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    joined = pairs.join(sketches.withColumnsRenamed({"node": "a", "sketch": "sketch_a"}), "a").join(sketches.withColumnsRenamed({"node": "b", "sketch": "sketch_b"}), "b")
+    return joined.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
 def likely_pairs(dealt: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of ``in_blocks``' (key, low, high) from different classes whose sizes and sketches allow the similarity."""
+    """Pairs (a, b) of ``in_blocks``' (key, low, high) from different classes whose sizes and sketches allow the similarity.
+
+    A pair comes from its first common band alone: the first whose bytes of the sketches are equal.
+    """
     need = _least_agreeing(similarity)
 
     def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         group = np.stack([rows[c].to_numpy() for c in ("key", "low", "high")], axis=1)
-        side, node, comp, size = (rows[c].to_numpy() for c in ("side", "node", "comp", "size"))
-        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(len(node), -1)
+        side, node, comp, size, band = (rows[c].to_numpy() for c in ("side", "node", "comp", "size", "band"))
+        sketch = _sketches(rows["sketch"])
         starts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(axis=1)])
         sizes = np.diff(np.r_[starts, len(node)])
         start, end = np.repeat(starts, sizes), np.repeat(starts + sizes, sizes)
@@ -188,8 +214,11 @@ def likely_pairs(dealt: DataFrame, similarity: float) -> DataFrame:
             at = to
             fits = (comp[a] != comp[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-6)
             a, b = a[fits], b[fits]
-            alike = (sketch[a] == sketch[b]).sum(axis=1) >= need
-            x, y = node[a[alike]], node[b[alike]]
+            alike = _agreeing(sketch[a], sketch[b], need)
+            a, b = a[alike], b[alike]
+            common = (sketch[a] == sketch[b]).reshape(-1, BANDS, ROWS).all(axis=2)
+            here = common.argmax(axis=1) == band[a]
+            x, y = node[a[here]], node[b[here]]
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
@@ -211,8 +240,8 @@ def likely_pairs(dealt: DataFrame, similarity: float) -> DataFrame:
         if held is not None and len(held):
             yield from compare(held)
 
-    narrow = dealt.select("key", "low", "high", "side", "node", "comp", "size", "sketch")
-    return narrow.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "side").mapInArrow(run, "a long, b long").distinct()
+    narrow = dealt.select("key", "low", "high", "side", "band", "node", "comp", "size", "sketch")
+    return narrow.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "side").mapInArrow(run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -230,7 +259,7 @@ def similar_links(docs: DataFrame, banded: DataFrame, id_col: str, similarity: f
     ``_with_bands`` made of ``docs``; the texts of candidates alone are read again.
     """
     texts = written(banded.where("bands IS NOT NULL").groupBy("node").agg(F.min(id_col).alias("least"), F.min("simhash").alias("fp"), *(F.first(c).alias(c) for c in ("size", "bands", "sketch"))), "similar-texts")
-    keyed = texts.select("node", "size", F.explode("bands").alias("key"))
+    keyed = texts.select("node", "size", F.posexplode("bands").alias("band", "key"))
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(keyed.join(counts, "key"), "similar-keys")
     company = written(shared.groupBy("node").agg(F.sum("n").alias("company")), "similar-company")
@@ -243,7 +272,7 @@ def similar_links(docs: DataFrame, banded: DataFrame, id_col: str, similarity: f
 
     def fresh(pairs: DataFrame) -> DataFrame:
         pairs = pairs.where("a != b").distinct()
-        return written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "similar-candidates")
+        return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
 
     for turn in range(HUB_ROUNDS):
         order = F.col("company") if turn == 0 else F.xxhash64("node", F.lit(turn))
@@ -251,7 +280,8 @@ def similar_links(docs: DataFrame, banded: DataFrame, id_col: str, similarity: f
         hubs = written(hubs.select("key", "hub"), "similar-hubs")
         sizes = F.least("size", "hub.size") >= F.lit(similarity) * F.greatest("size", "hub.size") - 1e-6
         met = members.join(hubs, "key").where((F.col("comp") != F.col("hub.comp")) & sizes)
-        pairs = fresh(met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")))
+        pairs = written(fresh(met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))), "similar-candidates")
+        pairs = written(plausible(pairs, asked.select("node", "sketch"), similarity), "similar-candidates")
         found = written(_confirmed(pairs, sets, similarity), "similar-links")
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
@@ -263,7 +293,7 @@ def similar_links(docs: DataFrame, banded: DataFrame, id_col: str, similarity: f
             break
     apart = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
     left = members.join(written(apart, "similar-apart"), "key", "left_semi").join(asked.select("node", "sketch"), "node")
-    pairs = fresh(likely_pairs(in_blocks(left, ["key"], "node", BLOCK), similarity))
+    pairs = written(fresh(likely_pairs(in_blocks(left, ["key"], "node", BLOCK), similarity)), "similar-candidates")
     links = links.unionByName(_confirmed(pairs, sets, similarity))
     prints = asked.select("node", "fp")
     ends = links.join(prints.withColumnsRenamed({"node": "a", "fp": "fp_a"}), "a").join(prints.withColumnsRenamed({"node": "b", "fp": "fp_b"}), "b")
@@ -354,15 +384,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         slim = docs.select(F.struct(*(c for c in narrow.columns if c != text_col)).alias("own"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         banded = written(_with_bands(slim, width), "simhash")
         marked = banded.select("own.*", "simhash")
-    prints = written(marked.groupBy(F.col("simhash").alias("fp")).agg(F.min(id_col).alias("least")), "simhash-distinct")
-    edges = close_pairs(prints.select("fp"), distance, segments, crowd)
-    if similarity is not None:
-        edges = edges.unionByName(similar_links(slim, banded, "id", similarity, width)).distinct()
-    edges = written(edges, "simhash-edges")
-    roots = connected_components(edges, "a", "b")
-    classed = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = classed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = classed.join(least, "root").select(F.col("fp").alias("simhash"), "component_id")
+    with Scratch(docs.sparkSession) as used:
+        prints = written(marked.groupBy(F.col("simhash").alias("fp")).agg(F.min(id_col).alias("least")), "simhash-distinct")
+        edges = close_pairs(prints.select("fp"), distance, segments, crowd)
+        if similarity is not None:
+            edges = edges.unionByName(similar_links(slim, banded, "id", similarity, width)).distinct()
+        roots = connected_components(written(edges, "simhash-edges"), "a", "b")
+        classed = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        least = classed.groupBy("root").agg(F.min("least").alias("component_id"))
+        of_print = classed.join(least, "root").select(F.col("fp").alias("simhash"), "component_id")
+    of_print = written(of_print, "simhash-classes")
+    used.drop()
     return marked.join(of_print, "simhash")
 
 
@@ -372,13 +404,15 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows with a null id are kept where their class has no other id, once for each fingerprint; of repeated rows with
     the same id one stays.
     """
-    classed = near_duplicates(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", **options)
-    named = classed.where("id = component_id").select("id").distinct()
+    with Scratch(docs.sparkSession) as used:
+        classed = near_duplicates(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", **options)
+    named = written(classed.where("id = component_id").select("id").distinct(), "simhash-kept")
+    alone = written(classed.where("component_id IS NULL").select("simhash").distinct(), "simhash-nameless")
+    used.drop()
     held = docs.select(F.col(id_col).alias("id"), F.struct("*").alias("doc"))
     kept = held.join(named, "id", "left_semi").dropDuplicates(["id"]).select("doc.*")
     nameless = docs.where(F.col(id_col).isNull())
     if nameless.limit(1).count() == 0:
         return kept
-    alone = classed.where("component_id IS NULL").select("simhash").distinct()
     spare = with_fingerprint(nameless.select(F.struct("*").alias("doc"), F.col(text_col).alias("text")), "text", "simhash", options.get("width", 3))
     return kept.unionByName(spare.join(alone, "simhash", "left_semi").dropDuplicates(["simhash"]).select("doc.*"))
