@@ -78,12 +78,12 @@ def basic_signals(expected="exp_ret_avg", band: float = 1e-6, probability=(0.55,
     }
 
 
-def joint_indicator(signals: DataFrame, original: DataFrame, long: float = 0.55, short: float = 0.45, expected: str = "exp_ret_avg", out: str = "signal_prob_exp_q50") -> DataFrame:
-    """1 or -1 where probability, expectation and the original median agree; ``original`` is joined by time."""
-    median = original.select("ts", F.col("pred_q50").alias("_median"))
+def joint_indicator(signals: DataFrame, original: DataFrame, long: float = 0.55, short: float = 0.45, expected: str = "exp_ret_avg", out: str = "signal_prob_exp_q50", keys: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """1 or -1 where probability, expectation and the original median agree; ``original`` is joined by time (or ``keys``)."""
+    median = original.select(*keys, F.col("pred_q50").alias("_median"))
     up = (F.col("prob_up") >= long) & (F.col(expected) > 0) & (F.col("_median") > 0)
     down = (F.col("prob_up") <= short) & (F.col(expected) < 0) & (F.col("_median") < 0)
-    return signals.join(median, "ts", "left").withColumn(out, F.when(up, 1).when(down, -1).otherwise(0)).drop("_median")
+    return signals.join(median, list(keys), "left").withColumn(out, F.when(up, 1).when(down, -1).otherwise(0)).drop("_median")
 
 
 def merge_quantile_runs(runs: dict[str, DataFrame]) -> DataFrame:

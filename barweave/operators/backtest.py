@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..frames import col, flag, ratio
 from .recursive import _stretches
@@ -145,6 +145,19 @@ def trade_stats(trades: DataFrame, *by: str, start: float = 1000.0, most: float
     )
 
 
+def rolling_trade_stats(trades: DataFrame, gain: str, days: int, by: list[str] = (), ts: str = "ts") -> DataFrame:
+    """Each realised trade (or bar) with the win rate, mean and sum of gains and their number over the days before it.
+
+    The window is open on the left: a trade exactly ``days`` before is out, one of the same time is in. Without ``by``
+    all trades are one sequence.
+    """
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    frame = Window.partitionBy(*(by or [F.lit(1)])).orderBy(micros).rangeBetween(-(max(1, days) * 86_400_000_000 - 1), 0)
+    win = (F.col(gain) > 0).cast("double")
+    realised = trades.where(F.col(gain).isNotNull())
+    return realised.select(*by, ts, F.avg(win).over(frame).alias("win_rate"), F.avg(gain).over(frame).alias("avg_return"), F.sum(gain).over(frame).alias("total_return"), F.count(F.lit(1)).over(frame).alias("n_trades"))
+
+
 def threshold_strategy(df: DataFrame, prices: DataFrame, signal: str, threshold: float, mode: str = "symmetric") -> DataFrame:
     """Yes above the threshold and no below its complement, at the price one minute later; gain at settlement."""
     later = prices.select(F.col("ts").alias("_later"), F.col("market_prob").alias("next_prob"))

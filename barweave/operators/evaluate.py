@@ -213,12 +213,12 @@ def correlation_matrix(df: DataFrame, row_key: str, features: list[str], method:
     return wide.select(F.inline(pairs)).groupBy("a", "b").agg(safe_corr("x", "y").alias("rho"), F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("overlap"))
 
 
-def greedy_select(matrix: DataFrame, ordered: list[str], most: float, family_cap: int | None = None, family=lambda name: name, keep: list[str] = (), total: int | None = None) -> list[str]:
+def greedy_select(matrix: DataFrame, ordered: list[str], most: float, family_cap: int | None = None, family=lambda name: name, keep: list[str] = (), total: int | None = None, least_overlap: int = 200) -> list[str]:
     """Features in the given order that are not too close to one kept before, with a cap for each family.
 
-    The matrix has a row for each pair of features and is as large as their number squared, whatever the data.
+    A pair with fewer common rows than ``least_overlap`` counts as far apart. The matrix has a row for each pair of features and is as large as their number squared, whatever the data.
     """
-    rho = {(r.a, r.b): abs(r.rho or 0.0) for r in matrix.collect()}
+    rho = {(r.a, r.b): abs(r.rho or 0.0) if r.overlap >= least_overlap else 0.0 for r in matrix.collect()}
     kept, counts = list(keep), {}
     for name in kept:
         counts[family(name)] = counts.get(family(name), 0) + 1
@@ -233,6 +233,42 @@ def greedy_select(matrix: DataFrame, ordered: list[str], most: float, family_cap
     return kept
 
 
+def cluster_order(matrix: DataFrame, features: list[str]) -> list[str]:
+    """The features in the order of an average-linkage tree on 1 - |rho|, so that close ones stand together.
+
+    Like ``greedy_select`` it works on the matrix of feature pairs alone. Of equally close pairs the first by place merges.
+    """
+    far = {frozenset((r.a, r.b)): 1 - abs(r.rho or 0.0) for r in matrix.collect()}
+    groups = [[f] for f in features]
+    distance = lambda x, y: sum(far.get(frozenset((a, b)), 1.0) for a in x for b in y) / (len(x) * len(y))
+    while len(groups) > 1:
+        _, i, j = min((distance(groups[i], groups[j]), i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)))
+        groups[i] += groups.pop(j)
+    return groups[0] if groups else []
+
+
+def index_distribution(df: DataFrame, columns: dict[str, str], by: list[str] = ("symbol",), width: float = 5.0) -> DataFrame:
+    """(by..., timeframe, bin, n, share): histograms of an index from 0 to 100; ``columns`` names the column of each timeframe."""
+    long = df.select(*by, F.inline(F.array(*(F.struct(F.lit(t).alias("timeframe"), F.col(c).cast("double").alias("x")) for t, c in columns.items()))))
+    place = F.least(F.floor(F.col("x") / width) * width, F.lit(100 - width))
+    counts = long.where(F.col("x").isNotNull()).groupBy(*by, "timeframe", place.alias("bin")).agg(F.count("*").alias("n"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by, "timeframe")))
+
+
+def index_levels(df: DataFrame, columns: dict[str, str], by: list[str] = ("symbol",), low: float = 30.0, high: float = 70.0) -> DataFrame:
+    """(by..., timeframe): rows, mean, deviation, quantiles, and the shares below and above the usual levels of an index."""
+    long = df.select(*by, F.inline(F.array(*(F.struct(F.lit(t).alias("timeframe"), F.col(c).cast("double").alias("x")) for t, c in columns.items()))))
+    valid = long.where(F.col("x").isNotNull()).groupBy(*by, "timeframe")
+    return valid.agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), *(c.alias(n) for n, c in quantiles("x", [0.05, 0.25, 0.5, 0.75, 0.95]).items()), F.avg((F.col("x") <= low).cast("double")).alias("low_share"), F.avg((F.col("x") >= high).cast("double")).alias("high_share"))
+
+
+def with_attributions(features: DataFrame, attributions: DataFrame, names: list[str], keys: list[str] = ("ts",), prefix: str = "shap_") -> DataFrame:
+    """(keys..., feature, x, attribution): each feature's value beside what a model made of it; rows that both tables have."""
+    parts = attributions.select(*keys, *(F.col(f"{prefix}{n}" if f"{prefix}{n}" in attributions.columns else n).alias(f"_a_{n}") for n in names))
+    both = features.select(*keys, *names).join(parts, list(keys))
+    return both.select(*keys, F.inline(F.array(*(F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("x"), F.col(f"_a_{n}").cast("double").alias("attribution")) for n in names))))
+
+
 def missingness(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, percent missing), rounded to two places."""
     shares = df.agg(*(F.round(100 * F.avg(F.col(c).isNull().cast("double")), 2).alias(c) for c in columns))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 from dataclasses import dataclass
 from itertools import product
 
@@ -13,7 +14,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from .evaluate import regression_metrics
+from .evaluate import rank_auc, regression_metrics
 from .store import time_folds
 
 
@@ -36,10 +37,22 @@ def metrics(df: DataFrame, target: str, prediction: str = "y_pred", alpha: float
 
 def grid_search(df: DataFrame, features: list[str], target: str, space: dict[str, list], n_folds: int = 3, fold_size: int = 100, gap: int = 0) -> tuple[dict, list[tuple[dict, float]]]:
     """Settings with the least mean RMSE over time-ordered folds; ``df`` has ``_row`` (1, 2, ... by time)."""
+    return _search(df, features, target, [dict(zip(space, values)) for values in product(*space.values())], n_folds, fold_size, gap)
+
+
+def random_search(df: DataFrame, features: list[str], target: str, space: dict[str, list], trials: int = 50, seed: int = 7, n_folds: int = 3, fold_size: int = 100, gap: int = 0) -> tuple[dict, list[tuple[dict, float]]]:
+    """``grid_search`` over at most ``trials`` different settings drawn at random; over all of them where there are no more."""
+    settings = [dict(zip(space, values)) for values in product(*space.values())]
+    if len(settings) > trials:
+        settings = random.Random(seed).sample(settings, trials)
+    return _search(df, features, target, settings, n_folds, fold_size, gap)
+
+
+def _search(df: DataFrame, features: list[str], target: str, candidates: list[dict], n_folds: int, fold_size: int, gap: int) -> tuple[dict, list[tuple[dict, float]]]:
     folds = time_folds(df.count(), n_folds, fold_size, gap)
     found = []
-    for values in product(*space.values()):
-        settings, errors = dict(zip(space, values)), []
+    for settings in candidates:
+        errors = []
         for a, b, c, d in folds:
             fitted = fit_trees(df.where((F.col("_row") > a) & (F.col("_row") <= b)), features, target, **settings)
             errors.append(metrics(predict(fitted, df.where((F.col("_row") > c) & (F.col("_row") <= d))), target).first().rmse)
@@ -47,6 +60,33 @@ def grid_search(df: DataFrame, features: list[str], target: str, space: dict[str
     return min(found, key=lambda x: x[1])[0], found
 
 
+def forward_selection(train: DataFrame, test: DataFrame, base: list[str], candidates: list[str], label: str, least_gain: float = 0.0, most: int | None = None, **settings) -> tuple[list[str], list[dict]]:
+    """Adds the candidate whose model has the best area under the curve on ``test``, round after round, and all trials.
+
+    A round whose best falls below the best before it by more than ``least_gain`` ends the search; the first round is
+    compared with the model of ``base`` alone (0.5 where it is empty). ``label`` is 0 or 1.
+    """
+
+    def area(features: list[str]) -> float:
+        if not features:
+            return 0.5
+        scored = predict(fit_trees(train, features, label, **settings), test)
+        return rank_auc(scored.withColumn("_one", F.lit(1)), label, "y_pred", ["_one"], 2, 1).first().auc
+
+    chosen, left, trials = list(base), [c for c in candidates if c not in base], []
+    best = area(chosen)
+    while left and (most is None or len(chosen) < most):
+        found = [{"round": len(chosen) - len(base) + 1, "candidate": c, "auc": area([*chosen, c]), "before": best} for c in left]
+        trials += found
+        top = max(found, key=lambda t: t["auc"])
+        if top["auc"] < best - least_gain:
+            break
+        chosen.append(top["candidate"])
+        left.remove(top["candidate"])
+        best = top["auc"]
+    return chosen, trials
+
+
 @dataclass
 class Hmm:
     """Start and move probabilities, and the mean and variance of each observation in each state."""

@@ -167,6 +167,12 @@ def time_split(df: DataFrame, train: float, val: float, ts: str = "ts") -> DataF
     return numbered(df, ts).withColumn("split", split).drop("_row", "_total")
 
 
+def split_by_times(df: DataFrame, times: DataFrame, ts: str = "ts") -> DataFrame:
+    """``df`` with ``split``, as stored: ``times`` has ``time`` (text, with or without an offset) and ``split``; rows of no list go."""
+    listed = times.select(F.to_utc_timestamp(F.expr("try_to_timestamp(time)"), F.current_timezone()).cast("timestamp_ntz").alias("_time"), "split").dropna().distinct()
+    return df.join(listed, F.col(ts).cast("timestamp_ntz") == F.col("_time")).drop("_time")
+
+
 def time_folds(n_rows: int, n_folds: int, size: int, gap: int = 0, method: str = "expanding") -> list[tuple[int, int, int, int]]:
     """(train from, train to, validation from, validation to), ends exclusive; the last fold ends with the rows."""
     found = []
@@ -211,7 +217,7 @@ def na_report(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def hit_summary(df: DataFrame, flags: list[str]) -> DataFrame:
-    long = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("flag"), F.col(c).cast("double").alias("x")) for c in flags))))
+    long = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("flag"), F.col(f"`{c}`").cast("double").alias("x")) for c in flags))))
     return long.groupBy("flag").agg(F.count("x").alias("n"), F.avg("x").alias("rate"), F.stddev_samp("x").alias("std"))
 
 

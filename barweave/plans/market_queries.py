@@ -439,9 +439,9 @@ def live_rsi(spark, sf_dir):
 
 @query(
     "joint_signal",
-    f"WITH {q.BARS}, s AS (SELECT *, least(greatest(0.5 + premium * 5, 0), 1) AS p FROM bars WHERE symbol = 'click') SELECT ts, CASE WHEN p >= 0.55 AND close > 40 AND premium > 0 THEN 1 WHEN p <= 0.45 AND close < 40 AND premium < 0 THEN -1 ELSE 0 END AS signal FROM s",
+    f"WITH {q.BARS}, s AS (SELECT *, least(greatest(0.5 + premium * 5, 0), 1) AS p FROM bars) SELECT symbol, ts, CASE WHEN p >= 0.55 AND close > 40 AND premium > 0 THEN 1 WHEN p <= 0.45 AND close < 40 AND premium < 0 THEN -1 ELSE 0 END AS signal FROM s",
 )
 def joint_signal(spark, sf_dir):
-    bars = hourly(spark, sf_dir).where("symbol = 'click'")
-    signals = bars.select("ts", F.least(F.greatest(0.5 + F.col("premium") * 5, F.lit(0.0)), F.lit(1.0)).alias("prob_up"), (F.col("close") - 40).alias("exp_ret_avg"))
-    return si.joint_indicator(signals, bars.select("ts", F.col("premium").alias("pred_q50")), out="signal").select("ts", "signal")
+    bars = hourly(spark, sf_dir)
+    signals = bars.select("symbol", "ts", F.least(F.greatest(0.5 + F.col("premium") * 5, F.lit(0.0)), F.lit(1.0)).alias("prob_up"), (F.col("close") - 40).alias("exp_ret_avg"))
+    return si.joint_indicator(signals, bars.select("symbol", "ts", F.col("premium").alias("pred_q50")), out="signal", keys=("symbol", "ts")).select("symbol", "ts", "signal")

@@ -92,11 +92,11 @@ def join_range_buckets(spark, sf_dir):
     return jo.range_join(table(spark, sf_dir, "orders").select("o_orderkey"), ranges, "o_orderkey", "lo", "hi", 50).select("o_orderkey", "p_partkey")
 
 
-@query("join_on_hour", "WITH a AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS m FROM events WHERE event_type = 'view' GROUP BY 1) SELECT hour, n, m FROM a JOIN b USING (hour)")
+@query("join_on_hour", f"WITH {q.BARS} SELECT symbol, close, date_trunc('hour', e.ts) AS hour, e.ts, b.ts AS ts_b, event_id, value FROM events e JOIN bars b ON date_trunc('hour', e.ts) = date_trunc('hour', b.ts) WHERE event_type = 'purchase' AND symbol = 'click'")
 def join_on_hour(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    hourly_count = lambda kind, name: jo.on_hour(events.where(F.col("event_type") == kind).select("ts"), events.limit(0).select("ts"), "left").groupBy("hour").agg(F.count("*").alias(name))
-    return hourly_count("click", "n").join(hourly_count("view", "m"), "hour")
+    """Each purchase beside the bar of clicks of its hour."""
+    events = table(spark, sf_dir, "events").where("event_type = 'purchase'").select("event_id", "ts", "value")
+    return jo.on_hour(events, hourly(spark, sf_dir).where("symbol = 'click'").select("symbol", "ts", "close"))
 
 
 @query("join_by_place", "WITH a AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS p FROM orders), b AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS p FROM customer) SELECT o_orderkey, c_custkey FROM a JOIN b USING (p)")

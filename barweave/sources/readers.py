@@ -76,7 +76,8 @@ def read_kline_csv(spark: SparkSession, path: str, encoding: str = "utf-8") -> D
 
 
 def is_header(first: Column) -> Column:
-    return F.coalesce(~first.rlike(r"^\s*[0-9.]+\s*$"), F.lit(True))
+    """Whether a row's first field is a name: it begins with a letter. Broken rows of data are no headers and stay."""
+    return F.coalesce(first.rlike(r"^\s*[A-Za-z_]"), F.lit(False))
 
 
 def read_csv_any_encoding(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
