@@ -19,6 +19,22 @@ def average_rank(x: Column | str, by: list[str]) -> Column:
     return F.when(x.isNotNull(), F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
 
 
+def with_average_rank(df: DataFrame, x: str, by: list[str], name: str, pieces: int = 200) -> DataFrame:
+    """``df`` with ``average_rank`` as a column, by counts: no task holds all rows or all values of a group.
+
+    The distinct values of a group are counted, cut at about ``pieces`` split points, numbered within a piece from the
+    piece's first place on, and joined back.
+    """
+    values = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("_n"))
+    splits = values.groupBy(*by).agg(F.percentile_approx(x, F.array(*(F.lit(i / pieces) for i in range(1, pieces))), F.lit(1000)).alias("_splits"))
+    marked = values.join(splits, by).withColumn("_piece", F.size(F.filter("_splits", lambda s: s <= F.col(x)))).drop("_splits")
+    before = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # a row for each piece
+    first = marked.groupBy(*by, "_piece").agg(F.sum("_n").alias("_all")).select(*by, "_piece", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_first"))
+    inside = Window.partitionBy(*by, "_piece").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = marked.join(first, [*by, "_piece"]).select(*by, x, (F.col("_first") + F.coalesce(F.sum("_n").over(inside), F.lit(0)) + (F.col("_n") + 1) / 2.0).alias(name))
+    return df.join(ranks, [*by, x], "left")
+
+
 def safe_corr(x: str, y: str) -> Column:
     """Pearson over pairs; NULL where one side does not vary."""
     a, b = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
@@ -168,11 +184,20 @@ def rank_auc(df: DataFrame, y: str, x: str, by: list[str], least: int = 20, each
 
 
 def rolling_auc(p: Panel, y: str, x: str, n: int, least: int = 100) -> Column:
-    """Rank AUC of the last n rows, ties by half; both classes and ``least`` valid rows needed. It compares pairs: n small."""
-    seen = p.over(F.collect_list(p.let(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.struct(F.col(y).alias("y"), F.col(x).alias("x"))))), 1 - n, 0)
-    ones, zeros = p.let(F.transform(F.filter(seen, lambda r: r["y"] == 1), lambda r: r["x"])), p.let(F.transform(F.filter(seen, lambda r: r["y"] == 0), lambda r: r["x"]))
-    won = F.aggregate(ones, F.lit(0.0), lambda a, v: a + F.size(F.filter(zeros, lambda z: z < v)) + 0.5 * F.size(F.filter(zeros, lambda z: z == v)))
-    return F.when((F.size(seen) >= max(10, least)) & (F.size(ones) > 0) & (F.size(zeros) > 0), won / (F.size(ones) * F.size(zeros)))
+    """Rank AUC of the last n rows, ties by half; both classes and ``least`` valid rows needed. Each frame is sorted once."""
+    seen = p.over(F.collect_list(p.let(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))))), 1 - n, 0)
+    names = ("x", "below", "zeros", "ones", "n_zeros", "n_ones", "won")  # below: zeros under x; zeros and ones: at x
+    state = lambda *values: F.struct(*(v.alias(n) for n, v in zip(names, values)))
+
+    def step(a: Column, r: Column) -> Column:
+        same = a["x"] == r["x"]
+        below, zeros, ones = F.when(same, a["below"]).otherwise(a["below"] + a["zeros"]), F.when(same, a["zeros"]).otherwise(0.0), F.when(same, a["ones"]).otherwise(0.0)
+        zero, one = F.when(r["y"] == 0, 1.0).otherwise(0.0), F.when(r["y"] == 1, 1.0).otherwise(0.0)
+        return state(r["x"], below, zeros + zero, ones + one, a["n_zeros"] + zero, a["n_ones"] + one, a["won"] + one * (below + 0.5 * zeros) + zero * 0.5 * ones)
+
+    done = p.let(F.aggregate(F.array_sort(seen), state(F.lit(None).cast("double"), *(F.lit(0.0) for _ in names[1:])), step))
+    both = done["n_ones"] * done["n_zeros"]
+    return F.when((F.size(seen) >= max(10, least)) & (both > 0), done["won"] / both)
 
 
 def pr_auc(df: DataFrame, y: str, x: str, by: list[str]) -> DataFrame:
@@ -198,7 +223,7 @@ def feature_target_correlations(df: DataFrame, target: str, features: list[str],
     """Pearson and Spearman of each feature with the target, over valid pairs."""
     keys = [*by, "feature"]
     pairs = unpivoted(df, [*by, target], features).where(F.col("x").isNotNull() & F.col(target).isNotNull())
-    ranked = pairs.withColumn("_rx", average_rank("x", keys)).withColumn("_ry", average_rank(target, keys))
+    ranked = with_average_rank(with_average_rank(pairs, "x", keys, "_rx"), target, keys, "_ry")
     found = ranked.groupBy(*keys).agg(F.count("*").alias("n"), safe_corr("x", target).alias("pearson"), safe_corr("_rx", "_ry").alias("spearman"))
     return found.select(*keys, "n", *(F.when(F.col("n") >= least, F.col(c)).alias(c) for c in ("pearson", "spearman")))
 
@@ -207,7 +232,7 @@ def correlation_matrix(df: DataFrame, row_key: str, features: list[str], method:
     """(a, b, rho) for every pair of features: pairs of columns within each row, then one aggregation."""
     long = unpivoted(df, [row_key], features).where(F.col("x").isNotNull())
     if method == "spearman":
-        long = long.withColumn("x", average_rank("x", ["feature"]))
+        long = with_average_rank(long, "x", ["feature"], "_rank").withColumn("x", F.col("_rank"))
     wide = long.groupBy(row_key).agg(F.map_from_entries(F.collect_list(F.struct("feature", "x"))).alias("m"))
     pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col("m")[a].alias("x"), F.col("m")[b].alias("y")) for i, a in enumerate(features) for b in features[i + 1 :]))
     return wide.select(F.inline(pairs)).groupBy("a", "b").agg(safe_corr("x", "y").alias("rho"), F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("overlap"))
@@ -277,10 +302,8 @@ def missingness(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def quality_score(df: DataFrame, features: list[str], penalty: float = 1.0) -> DataFrame:
     """Spread of a feature's percent ranks times its share of valid values."""
-    long = unpivoted(df, [], features).withColumn("_r", average_rank("x", ["feature"]))
-    whole = Window.partitionBy("feature")
-    ranked = long.withColumn("_r", ratio("_r", F.count("x").over(whole).cast("double")))
-    found = ranked.groupBy("feature").agg(F.stddev_samp("_r").alias("rank_std"), F.avg(F.col("x").isNull().cast("double")).alias("nan_rate"))
+    ranked = with_average_rank(unpivoted(df, [], features), "x", ["feature"], "_r")
+    found = ranked.groupBy("feature").agg(ratio(F.stddev_samp("_r"), F.count("x").cast("double")).alias("rank_std"), F.avg(F.col("x").isNull().cast("double")).alias("nan_rate"))
     return found.withColumn("score", F.coalesce("rank_std", F.lit(0.0)) * F.pow(1 - F.col("nan_rate"), F.lit(penalty)))
 
 

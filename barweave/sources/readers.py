@@ -125,9 +125,11 @@ def synthetic_bars(spark: SparkSession, n: int, seed: int = 0, symbol: str = "S"
     noise = lambda k: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1_000_003)) / 1_000_003.0 - 0.5
     from pyspark.sql import Window
 
-    steps = spark.range(n).select("id", noise(1).alias("step"), F.abs(noise(2)).alias("up"), F.abs(noise(3)).alias("down"), (1000 + 100 * noise(4)).alias("volume"))
-    close = 100 + F.sum("step").over(Window.orderBy("id"))
-    walk = steps.withColumn("close", close).withColumn("open", F.col("close") - F.col("step"))
+    steps = spark.range(n).select("id", F.floor(F.col("id") / 4096).alias("piece"), noise(1).alias("step"), F.abs(noise(2)).alias("up"), F.abs(noise(3)).alias("down"), (1000 + 100 * noise(4)).alias("volume"))
+    before = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)  # a row for each piece
+    starts = steps.groupBy("piece").agg(F.sum("step").alias("moved")).select("piece", F.coalesce(F.sum("moved").over(before), F.lit(0.0)).alias("start"))
+    close = 100 + F.col("start") + F.sum("step").over(Window.partitionBy("piece").orderBy("id"))
+    walk = steps.join(starts, "piece").withColumn("close", close).withColumn("open", F.col("close") - F.col("step"))
     return walk.select(
         F.lit(symbol).alias("symbol"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 3600).cast("timestamp_ntz").alias("ts"), "open",
         (F.greatest("open", "close") + F.col("up")).alias("high"), (F.least("open", "close") - F.col("down")).alias("low"), "close", "volume",
