@@ -14,6 +14,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
+from ..frames import in_chunks
 from .evaluate import rank_auc, regression_metrics
 from .store import time_folds
 
@@ -100,8 +101,8 @@ class Hmm:
         gap = x[:, None, :] - self.mean
         return -0.5 * (np.log(2 * math.pi * self.variance) + gap * gap / self.variance).sum(axis=2)
 
-    def passes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Posterior of each state, expected moves, and the log likelihood of a sequence."""
+    def passes(self, x: np.ndarray, own: slice = slice(None)) -> tuple[np.ndarray, np.ndarray, float]:
+        """Posterior of each state, and the expected moves into the ``own`` rows of a sequence and their log likelihood."""
         logs = self.log_density(x)
         top = logs.max(axis=1, keepdims=True)
         density = np.exp(logs - top)
@@ -115,8 +116,11 @@ class Hmm:
             back[t] = self.move @ (density[t + 1] * back[t + 1]) / scale[t + 1]
         posterior = ahead * back
         posterior /= posterior.sum(axis=1, keepdims=True)
-        moves = self.move * (ahead[:-1].T @ (density[1:] * back[1:] / scale[1:, None]))
-        return posterior, moves, float((np.log(scale) + top[:, 0]).sum())
+        into = np.zeros(n, bool)
+        into[own] = True
+        into = into[1:]
+        moves = self.move * (ahead[:-1][into].T @ (density[1:] * back[1:] / scale[1:, None])[into])
+        return posterior, moves, float((np.log(scale) + top[:, 0])[own].sum())
 
 
 def hmm_parameters(states: int, features: int) -> int:
@@ -130,8 +134,22 @@ def sticky(states: int, weight: float) -> np.ndarray:
     return np.full((states, states), rest) + np.eye(states) * ((weight if states > 1 else 1.0) - rest)
 
 
+#: Rows of a chunk of a long sequence, and of the halo on either side, after which the rows beyond hardly matter.
+CHUNK, HALO = 100_000, 1_000
+
+
+def _chunks(df: DataFrame, columns: list[str], sequence: str) -> DataFrame:
+    return in_chunks(df.dropna(subset=columns), HALO, CHUNK, (sequence,), "ts", HALO)
+
+
+def _own(rows: pd.DataFrame) -> slice:
+    """The rows of a chunk that are not of its halo: they stand together."""
+    own = np.flatnonzero(~rows["_halo"].to_numpy(bool))
+    return slice(int(own[0]), int(own[-1]) + 1) if len(own) else slice(0, 0)
+
+
 def fit_hmm(df: DataFrame, columns: list[str], states: int, sequence: str = "symbol", iterations: int = 20, tolerance: float = 1e-4, stay: float = 0.9, floor: float = 1e-6) -> tuple[Hmm, float]:
-    """The model and its log likelihood. Sequences (cut long ones into chunks) are passed over in parallel.
+    """The model and its log likelihood. Sequences, and chunks of those of more than ``CHUNK`` rows, are passed over in parallel.
 
     Each round sends back sums whose size is that of the model. Means start at spread quantiles of the columns.
     """
@@ -144,13 +162,16 @@ def fit_hmm(df: DataFrame, columns: list[str], states: int, sequence: str = "sym
         now = model
 
         def expect(rows: pd.DataFrame) -> pd.DataFrame:
-            x = rows.sort_values("ts")[columns].to_numpy(float)
-            posterior, moves, score = now.passes(x)
-            sums = [posterior[0], moves.ravel(), posterior.sum(axis=0), (posterior.T @ x).ravel(), (posterior.T @ (x * x)).ravel()]
+            rows = rows.sort_values("ts")
+            own, x = _own(rows), rows[columns].to_numpy(float)
+            posterior, moves, score = now.passes(x, own)
+            begins = posterior[0] * (own.start == 0 and int(rows["_chunk"].iloc[0]) == 0)
+            posterior, x = posterior[own], x[own]
+            sums = [begins, moves.ravel(), posterior.sum(axis=0), (posterior.T @ x).ravel(), (posterior.T @ (x * x)).ravel()]
             return pd.DataFrame({"sums": [np.concatenate(sums).tolist()], "loglik": [score]})
 
         size = states + states * states + states + 2 * states * width
-        parts = df.select(sequence, "ts", *columns).dropna().groupBy(sequence).applyInPandas(expect, schema)
+        parts = _chunks(df.select(sequence, "ts", *columns), columns, sequence).groupBy(sequence, "_chunk").applyInPandas(expect, schema)
         total = parts.agg(*(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(size)), F.sum("loglik").alias("loglik")).first()
         flat = np.array([total[f"s{i}"] for i in range(size)])
         start, moves, weight, first, second = np.split(flat, np.cumsum([states, states * states, states, states * width]))
@@ -178,10 +199,12 @@ def hmm_states(df: DataFrame, model: Hmm, columns: list[str], sequence: str = "s
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ts")
-        posterior, _, _ = model.passes(rows[columns].to_numpy(float))
+        own = _own(rows)
+        posterior = model.passes(rows[columns].to_numpy(float))[0][own]
+        rows = rows.iloc[own].drop(columns=["_chunk", "_halo"])
         return rows.assign(state=posterior.argmax(axis=1).astype("int32"), **{f"p_state_{i}": posterior[:, i] for i in range(k)})
 
-    return df.dropna(subset=columns).groupBy(sequence).applyInPandas(run, schema)
+    return _chunks(df, columns, sequence).groupBy(sequence, "_chunk").applyInPandas(run, schema)
 
 
 def select_states(df: DataFrame, columns: list[str], choices: list[int], criterion: str = "bic") -> tuple[int, list[dict]]:

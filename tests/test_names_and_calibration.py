@@ -89,6 +89,23 @@ def test_searches(spark):
     assert chosen == ["a", "b"] and [t["round"] for t in trials] == [1, 1, 1, 2, 2]
 
 
+def test_chunked_regimes_are_the_whole_ones(spark, monkeypatch):
+    rng = random.Random(6)
+    rows, state = [], 0
+    for i in range(700):
+        state = 1 - state if rng.random() < 0.05 else state
+        rows.append(("a", dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), rng.gauss(3 * state, 1)))
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, x double")
+    whole, score = mo.fit_hmm(df, ["x"], 2, iterations=4)
+    wanted = {r.ts: r.p_state_1 for r in mo.hmm_states(df, whole, ["x"]).collect()}
+    monkeypatch.setattr(mo, "CHUNK", 150)
+    monkeypatch.setattr(mo, "HALO", 60)
+    cut, other = mo.fit_hmm(df, ["x"], 2, iterations=4)
+    assert abs(score - other) < 1e-6 * abs(score) and abs(cut.move - whole.move).max() < 1e-6 and abs(cut.mean - whole.mean).max() < 1e-6
+    found = {r.ts: r.p_state_1 for r in mo.hmm_states(df, whole, ["x"]).collect()}
+    assert set(found) == set(wanted) and max(abs(found[t] - p) for t, p in wanted.items()) < 1e-6
+
+
 def test_clusters_overlap_and_attributions(spark):
     matrix = spark.createDataFrame([("a", "b", 0.1, 500), ("a", "c", -0.9, 500), ("a", "d", 0.2, 500), ("b", "c", 0.1, 500), ("b", "d", 0.8, 50), ("c", "d", 0.1, 500)], "a string, b string, rho double, overlap long")
     assert ev.cluster_order(matrix, ["a", "b", "c", "d"]) == ["a", "c", "b", "d"]
