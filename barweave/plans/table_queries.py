@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..frames import Panel, log, ratio
 from ..functions import primitives as pr, sessions as se
 from ..operators import backtest as bt, bars as ba, evaluate as ev, joins as jo, models as mo, store as st
+from ..sources import readers as rd
 from ..streaming import closed_bars as stream
 from . import sqltext as q
 from .feature_queries import hourly, panel, rounded, table
@@ -351,6 +352,30 @@ def market_cleaning(spark, sf_dir):
     return se.clean_markets(prices)[1].select("market", "n_points")
 
 
+# -- files
+
+
+_SPAN = "symbol = 'click' AND ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20'"
+
+
+def _file_scan(spark: SparkSession, sf_dir: str, ending: str) -> DataFrame:
+    path = f"{_shared(spark)}/bars{ending}"
+    rd.write_table(hourly(spark, sf_dir).where("symbol = 'click'").select("ts", "open", "high", "low", "close", "volume", "trades"), path)
+    return rd.read_table(spark, path, "2024-01-05", "2024-01-20", ["open", "close", "volume"])
+
+
+@query("csv_scan", f"WITH {q.BARS} SELECT ts, open, close, volume FROM bars WHERE {_SPAN}")
+def csv_scan(spark, sf_dir):
+    """Bars written as CSV and read again between two times."""
+    return _file_scan(spark, sf_dir, ".csv")
+
+
+@query("parquet_scan", f"WITH {q.BARS} SELECT ts, open, close, volume FROM bars WHERE {_SPAN}")
+def parquet_scan(spark, sf_dir):
+    """Bars written as Parquet and read again between two times."""
+    return _file_scan(spark, sf_dir, ".parquet")
+
+
 # -- models and streams
 
 

@@ -99,7 +99,7 @@ def read_zip_csv(spark: SparkSession, path: str) -> DataFrame:
                         continue
                     with archive.open(inner) as lines:
                         for rows in pd.read_csv(lines, header=None, names=KLINE_FIELDS, dtype=str, chunksize=50_000):
-                            rows = rows[rows.open_time.map(lambda x: bool(re.fullmatch(r"\s*[0-9.]+\s*", str(x))))]
+                            rows = rows[~rows.open_time.map(lambda x: isinstance(x, str) and bool(re.match(r"\s*[A-Za-z_]", x)))]
                             yield rows.assign(file=name)
 
     schema = ", ".join(f"{c} string" for c in KLINE_FIELDS) + ", file string"
