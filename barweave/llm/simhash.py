@@ -17,7 +17,7 @@ their fingerprints are (at 0.8 they lie 10 bits apart on average and up to 20, w
 bits as keys). Distinct texts are keyed by ``BANDS`` bands of ``ROWS`` minima of their shingles' hashes: a pair of
 similarity s shares no key with probability (1 - s^5)^32, 3e-6 at 0.8. First each key's texts meet its hub alone (the
 text with the most company, then others by hash) until rounds link little, so a group of copies needs no pairs within
-it. What is left in different classes meets in blocks. A pair whose bytes of all 160 minima agree too rarely (4.7
+it. What is left in different classes meets in blocks. A pair whose sketches (bytes of 256 minima) agree too rarely (4.7
 standard deviations below the similarity, a chance of 1e-6) is dropped; every other one is confirmed on the exact sets.
 Texts of one key that are alike but below the similarity are all compared, in numpy: that work grows with the square of
 their number.
@@ -41,8 +41,9 @@ from .components import connected_components
 
 SEED = 42
 #: Bands of minima for ``similarity``; the hashes of a shingle are its XXH64 times an odd number, plus another.
-BANDS, ROWS = 32, 5
-_FACTORS, _OFFSETS = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.uint64) * np.array([[2], [1]], np.uint64) + np.array([[1], [0]], np.uint64)
+#: A sketch has a byte of each minimum of the bands and of as many others as make it ``SKETCH`` bytes.
+BANDS, ROWS, SKETCH = 32, 5, 256
+_FACTORS, _OFFSETS = np.random.default_rng(SEED).integers(0, 2**63, (2, SKETCH), dtype=np.uint64) * np.array([[2], [1]], np.uint64) + np.array([[1], [0]], np.uint64)
 #: Rounds of hubs go on while they link this share of the pairs that they test.
 HUB_ROUNDS, HUB_SHARE = 6, 0.05
 #: Texts of a block, and pairs that numpy compares at once.
@@ -99,8 +100,8 @@ def _node(hashes: list[int]) -> int:
 
 
 def minima(distinct: np.ndarray) -> np.ndarray:
-    """The least value of each of the ``BANDS * ROWS`` hashes over a set of shingles."""
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    """The least value of each of the ``SKETCH`` hashes over a set of shingles."""
+    least = np.full(SKETCH, 2**64 - 1, np.uint64)
     for at in range(0, len(distinct), 1024):
         least = np.minimum(least, (distinct[at : at + 1024, None] * _FACTORS + _OFFSETS).min(axis=0))
     return least
@@ -108,7 +109,7 @@ def minima(distinct: np.ndarray) -> np.ndarray:
 
 def band_keys(least: np.ndarray) -> np.ndarray:
     """The ``BANDS`` keys of the minima, signed."""
-    return np.array([xxhash.xxh3_64_intdigest(row.tobytes(), seed=i) for i, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+    return np.array([xxhash.xxh3_64_intdigest(row.tobytes(), seed=i) for i, row in enumerate(least[: BANDS * ROWS].reshape(BANDS, ROWS))], np.uint64).view(np.int64)
 
 
 def _with_bands(docs: DataFrame, width: int) -> DataFrame:
@@ -161,7 +162,7 @@ def in_blocks(members: DataFrame, keys: list[str], name: str, size: int) -> Data
 
 def _least_agreeing(similarity: float) -> int:
     """How many of the minima agree at least, but for a chance of about 1e-6, at this similarity."""
-    n = BANDS * ROWS
+    n = SKETCH
     return int(n * similarity - 4.7 * (n * similarity * (1 - similarity)) ** 0.5)
 
 
@@ -171,7 +172,7 @@ def _agreeing(a: np.ndarray, b: np.ndarray, need: int) -> np.ndarray:
 
 
 def _sketches(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), BANDS * ROWS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), SKETCH)
 
 
 def plausible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
@@ -216,7 +217,7 @@ def likely_pairs(dealt: DataFrame, similarity: float) -> DataFrame:
             a, b = a[fits], b[fits]
             alike = _agreeing(sketch[a], sketch[b], need)
             a, b = a[alike], b[alike]
-            common = (sketch[a] == sketch[b]).reshape(-1, BANDS, ROWS).all(axis=2)
+            common = (sketch[a] == sketch[b])[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2)
             here = common.argmax(axis=1) == band[a]
             x, y = node[a[here]], node[b[here]]
             if len(x):
