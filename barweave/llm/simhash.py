@@ -46,6 +46,8 @@ BANDS, ROWS, SKETCH = 32, 5, 256
 _FACTORS, _OFFSETS = np.random.default_rng(SEED).integers(0, 2**63, (2, SKETCH), dtype=np.uint64) * np.array([[2], [1]], np.uint64) + np.array([[1], [0]], np.uint64)
 #: Rounds of hubs go on while they link this share of the pairs that they test.
 HUB_ROUNDS, HUB_SHARE = 6, 0.05
+#: Ids up to this many are broadcast (some 30 bytes each).
+BROADCAST_IDS = 2_000_000
 #: Texts of a block, and pairs that numpy compares at once.
 BLOCK, AT_ONCE = 1024, 50_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if b in (9, 10, 11, 12, 13) else b for b in range(256))
@@ -267,7 +269,10 @@ def similar_links(docs: DataFrame, banded: DataFrame, id_col: str, similarity: f
     members = written(shared.join(company, "node").withColumn("comp", F.col("node")), "similar-members")
     asked = written(texts.drop("bands").join(company.select("node"), "node"), "similar-asked")
     own = docs.select(F.col(id_col).alias("_bw_id"), "text")
-    named = own.join(asked.select(F.col("least").alias("_bw_id")).distinct(), "_bw_id", "left_semi").unionByName(own.where("_bw_id IS NULL"))
+    ids = written(asked.select(F.col("least").alias("_bw_id")).distinct(), "similar-ids")
+    if ids.count() <= BROADCAST_IDS:  # else the texts are shuffled once
+        ids = F.broadcast(ids)
+    named = own.join(ids, "_bw_id", "left_semi").unionByName(own.where("_bw_id IS NULL"))
     sets = written(_sets(named, width).join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"]), "similar-sets")
     links = tested = None
 

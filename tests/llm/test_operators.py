@@ -809,6 +809,7 @@ def test_similar_texts(spark, monkeypatch, block):
     wanted = plain_similar(list(enumerate(texts)))
     monkeypatch.setattr(simhash, "BLOCK", block)
     monkeypatch.setattr(simhash, "AT_ONCE", 50)
+    monkeypatch.setattr(simhash, "BROADCAST_IDS", 2_000_000 if block == 3 else 0)
     monkeypatch.setattr(simhash, "HUB_ROUNDS", 1 if block == 3 else 6)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, width=5, similarity=0.8).collect()}
