@@ -17,7 +17,7 @@ their fingerprints are (at 0.8 they lie 10 bits apart on average and up to 20, w
 bits as keys). Distinct texts are keyed by ``BANDS`` bands of ``ROWS`` minima of their shingles' hashes: a pair of
 similarity s shares no key with probability (1 - s^5)^32, 3e-6 at 0.8. First each key's texts meet its hub alone (the
 text with the most company, then others by hash) until rounds link little, so a group of copies needs no pairs within
-it. What is left in different classes meets in blocks. A pair whose sketches (bytes of 256 minima) agree too rarely (4.7
+it. What is left in different classes meets in blocks. A pair whose sketches (bytes of 384 minima) agree too rarely (4.7
 standard deviations below the similarity, a chance of 1e-6) is dropped; every other one is confirmed on the exact sets.
 Texts of one key that are alike but below the similarity are all compared, in numpy: that work grows with the square of
 their number.
@@ -42,7 +42,7 @@ from .components import connected_components
 SEED = 42
 #: Bands of minima for ``similarity``; the hashes of a shingle are its XXH64 times an odd number, plus another.
 #: A sketch has a byte of each minimum of the bands and of as many others as make it ``SKETCH`` bytes.
-BANDS, ROWS, SKETCH = 32, 5, 256
+BANDS, ROWS, SKETCH = 32, 5, 384
 _FACTORS, _OFFSETS = np.random.default_rng(SEED).integers(0, 2**63, (2, SKETCH), dtype=np.uint64) * np.array([[2], [1]], np.uint64) + np.array([[1], [0]], np.uint64)
 #: Rounds of hubs go on while they link this share of the pairs that they test.
 HUB_ROUNDS, HUB_SHARE = 6, 0.05
