@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, language_id, packing, quality_model, quality_rules, secret_scan, simhash, url_filter, warc
+from . import chat, decontaminate, divergence, language_id, packing, quality_model, quality_rules, secret_scan, simhash, url_filter, warc
 from .common import table, words_of
 
 #: Rules of the URL query: host, path, action.
@@ -154,6 +154,50 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+OP12_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), found AS (
+  SELECT d, lang, source, unnest(w) AS term FROM doc
+), grp AS (
+  SELECT DISTINCT lang, source FROM doc
+), vocab AS (
+  SELECT lang, term, count(*) AS lang_n FROM found GROUP BY lang, term HAVING count(DISTINCT d) >= 3
+), counted AS (
+  SELECT lang, source, term, count(*) AS n FROM found JOIN vocab USING (lang, term) GROUP BY ALL
+), sized AS (
+  SELECT lang, count(*) AS v, sum(lang_n)::HUGEINT AS lang_total FROM vocab GROUP BY lang
+), totals AS (
+  SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total FROM grp LEFT JOIN counted USING (lang, source) GROUP BY lang, source
+), dense AS (
+  SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n,
+         (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.total + s.v))::HUGEINT AS p,
+         (1 + (1000000000::HUGEINT * (v.lang_n + 1)) // (s.lang_total + s.v))::HUGEINT AS q
+  FROM totals g JOIN vocab v ON v.lang = g.lang JOIN sized s ON s.lang = g.lang
+  LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p)::HUGEINT AS value
+  FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // q AS value FROM dense WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
@@ -165,5 +209,6 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_chat": op9_chat,
     "op10_simhash": op10_simhash,
+    "op12_divergence": op12_divergence,
 }
-ORACLES = {"op5_decontamination": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_chat": OP9_SQL}
+ORACLES = {"op5_decontamination": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_chat": OP9_SQL, "op12_divergence": OP12_SQL}
