@@ -74,13 +74,13 @@ def _forget_on_exit(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage and survives the loss of executors."""
-    return written_to(df, new_folder(df.sparkSession, tag))
+    return written_to(df, new_folder(df.sparkSession, tag), compression)
 
 
-def written_to(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+def written_to(df: DataFrame, path: str, compression: str | None = None) -> DataFrame:
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

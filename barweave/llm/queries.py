@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, divergence, language_id, packing, quality_model, quality_rules, secret_scan, simhash, url_filter, warc
+from . import chat, decontaminate, divergence, language_id, packing, quality_model, quality_rules, secret_scan, simhash, url_filter, vector_codes, warc
 from .common import table, words_of
 
 #: Rules of the URL query: host, path, action.
@@ -198,6 +200,46 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank F
 """
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, book = vector_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    digest = hashlib.sha256(",".join(map(str, book.ravel().tolist())).encode()).hexdigest()
+    found = vector_codes.with_group_sum(coded, "label", "error", "label_error")
+    return found.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def _op11_sql(rounds: int = 2) -> str:
+    """Every round compares every part with every entry of its codebook, without bounds."""
+    nearest = """
+    SELECT x.id, x.part, min(list_sum(list_transform(list_zip(x.x, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 64 + c.j) AS best
+    FROM part x JOIN book{r} c ON c.part = x.part GROUP BY ALL"""
+    update = """
+    SELECT b.part, b.j, CASE WHEN s.c IS NULL THEN b.c ELSE s.c END AS c FROM book{q} b LEFT JOIN (
+      SELECT part, j, list((total - ((total % n) + n) % n) // n ORDER BY pos) AS c FROM (
+        SELECT x.part, a.best % 64 AS j, u.pos, sum(x.x[u.pos])::BIGINT AS total, count(*)::BIGINT AS n
+        FROM part x JOIN near{q} a ON a.id = x.id AND a.part = x.part, unnest(range(1, len(x.x) + 1)) AS u(pos) GROUP BY ALL
+      ) GROUP BY ALL
+    ) s ON s.part = b.part AND s.j = b.j"""
+    steps = "".join(f", near{r} AS MATERIALIZED ({nearest.format(r=r)}\n), book{r + 1} AS MATERIALIZED ({update.format(q=r)}\n)" for r in range(rounds))
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS id, vec_id, label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), part AS MATERIALIZED (
+  SELECT id, p.part, v[p.part * (len(v) // 16) + 1 : (p.part + 1) * (len(v) // 16)] AS x FROM kept, unnest(range(16)) AS p(part)
+), book0 AS MATERIALIZED (
+  SELECT part, id - 1 AS j, x AS c FROM part WHERE id <= 64
+){steps}, near{rounds} AS MATERIALIZED ({nearest.format(r=rounds)}
+), coded AS (
+  SELECT vec_id, label, string_agg(format('{{:02x}}', n.best % 64), '' ORDER BY n.part) AS code, sum(n.best // 64)::BIGINT AS error
+  FROM kept k JOIN near{rounds} n USING (id) GROUP BY k.id, vec_id, label
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(u.x::VARCHAR, ',' ORDER BY part, j, pos)) FROM book{rounds}, unnest(range(1, len(c) + 1)) AS t(pos), unnest([c[pos]]) AS u(x)) AS codebooks_sha256
+FROM coded
+"""
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
@@ -209,6 +251,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_chat": op9_chat,
     "op10_simhash": op10_simhash,
+    "op11_vector_codes": op11_vector_codes,
     "op12_divergence": op12_divergence,
 }
-ORACLES = {"op5_decontamination": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_chat": OP9_SQL, "op12_divergence": OP12_SQL}
+ORACLES = {"op5_decontamination": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_chat": OP9_SQL, "op11_vector_codes": _op11_sql(), "op12_divergence": OP12_SQL}
