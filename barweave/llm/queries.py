@@ -6,7 +6,7 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, divergence, language_id, packing, quality_model, quality_rules, secret_scan, simhash, url_filter, vector_codes, warc
+from . import chat, decontaminate, divergence, language_id, packing, quality_model, quality_rules, secret_scan, simhash, top_k, url_filter, vector_codes, warc
 from .common import table, words_of
 
 #: Rules of the URL query: host, path, action.
@@ -240,6 +240,23 @@ FROM coded
 """
 
 
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
+OP13_SQL = """
+WITH kept AS (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.id, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM kept q JOIN kept c ON q.vec_id % 50 = 0 AND q.vec_id IS DISTINCT FROM c.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY id ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank, vec_id, score FROM scored
+QUALIFY rank <= 5
+"""
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
@@ -253,5 +270,6 @@ QUERIES = {
     "op10_simhash": op10_simhash,
     "op11_vector_codes": op11_vector_codes,
     "op12_divergence": op12_divergence,
+    "op13_top_k": op13_top_k,
 }
-ORACLES = {"op5_decontamination": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_chat": OP9_SQL, "op11_vector_codes": _op11_sql(), "op12_divergence": OP12_SQL}
+ORACLES = {"op5_decontamination": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_chat": OP9_SQL, "op11_vector_codes": _op11_sql(), "op12_divergence": OP12_SQL, "op13_top_k": OP13_SQL}
