@@ -5,12 +5,16 @@ integers cut to their six leading bits (so a quantile is off by 3 % at most); it
 merge by adding: (language, source) sketches give those of a language and of all documents. Most documents have no
 repeated line or window at all, so the sketches of these two metrics hold only the documents that have one.
 
-A group's sketch is topped up with its language's, scaled to ``prior`` documents, and a language's with that of all
-documents: small groups lean on what is around them, without a switch at some size. From the quartiles q25 and q75 of
-the topped-up sketch a document's metric may rise to q75 + reach * spread, and the mean word length may fall as far
-below q25. The spread is q75 - q25 of the group or the median of that over its language's groups, whichever is more (a
-group of copies has none of its own), or over all groups where both are zero; where that is zero too the metric decides
-nothing. No fence is a constant.
+The fences of a group (language and source) come from its sketch's median and its spread, the distance from the lower
+quartile to the median (for the mean word length, which has a fence on either side, the smaller of both distances), so
+that bad documents move neither much while they are fewer than half. A language has the medians of both over its
+sources, each with one vote, however large it is. A group leans on its language with the weight of ``prior`` documents
+and has at least the language's spread (that of all groups where it is zero; where that is zero too the metric decides
+nothing). A document's metric may rise to median + reach * spread, and the word length may fall as far below, but no
+further from the language's median than twice the reach in the language's spreads, to each of which the median distance
+of its sources' medians is added: a source that is bad for the most part doesn't set its own fence among like ones, and
+sources of different kinds do. Metrics whose sketch leaves zeros out have a long upper side and twice the reach. No fence is
+a constant.
 Base rules (word count, repeated 3-word windows) come first; documents that fail them neither enter the sketches nor
 are kept. ``failed_rules`` names what a document fails.
 
@@ -31,8 +35,6 @@ MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 #: Integer metrics with upper fences, those of them whose sketch leaves zeros out, and the one with fences on both sides.
 UPPER_FENCE, NO_ZEROS, LENGTH = ("marks_per_mille", "capitals_per_mille", "dup_lines_per_mille", "repeats_per_mille"), ("dup_lines_per_mille", "repeats_per_mille"), "word_length_percent"
 METRICS = (*UPPER_FENCE, LENGTH)
-#: Counts in a sketch are weights: a document has this much.
-WEIGHT = 1000
 #: Thresholds of up to this many groups are broadcast (about 100 bytes each); more are joined by a salted shuffle.
 BROADCAST_GROUPS = 20_000
 SALTS = 32
@@ -98,7 +100,7 @@ def sketches(counted: DataFrame, lang_col: str = "lang", source_col: str = "sour
     ).where((F.col("value") > 0) | ~F.col("metric").isin(*NO_ZEROS))
     dropped = F.greatest(F.length(F.bin("value")) - 6, F.lit(0))
     bucket = F.expr("shiftleft(shiftright(value, shift), shift)")
-    return each.withColumn("shift", dropped).withColumn("bucket", bucket).groupBy("lang", "source", "metric", "bucket").agg((F.count("*") * WEIGHT).alias("n"))
+    return each.withColumn("shift", dropped).withColumn("bucket", bucket).groupBy("lang", "source", "metric", "bucket").agg(F.count("*").alias("n"))
 
 
 def merged(sketch: DataFrame, *keys: str) -> DataFrame:
@@ -106,17 +108,8 @@ def merged(sketch: DataFrame, *keys: str) -> DataFrame:
     return sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
-def topped_up(sketch: DataFrame, keys: list[str], around: DataFrame, shared: list[str], prior: int) -> DataFrame:
-    """Each group's sketch plus that of the coarser group around it (equal in ``shared``), scaled to ``prior`` documents."""
-    total = around.groupBy(*shared, "metric").agg(F.sum("n").alias("total"))
-    scaled = around.join(total, [*shared, "metric"]).withColumn("n", F.expr(f"n * {prior * WEIGHT} div total")).drop("total")
-    groups = sketch.select(*keys).distinct()
-    extra = groups.join(scaled, shared) if shared else groups.crossJoin(F.broadcast(scaled))  # at most some thousand buckets
-    return merged(sketch.unionByName(extra.select(*keys, "metric", "bucket", "n")), *keys)
-
-
 def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
-    """Per group a row with the quartiles of each metric; NULL where no document has the metric."""
+    """Per group a row with the number of documents and the quartiles of each metric; NULL where no document has the metric."""
     # the histogram of a group and metric has at most 32 buckets for each power of two
     points = sketch.groupBy(*keys, "metric").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("points"))
 
@@ -128,26 +121,38 @@ def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
         )
         return F.aggregate("points", start, step)["value"]
 
-    found = points.select(*keys, "metric", at(1).alias("q25"), at(3).alias("q75"))
-    picked = [F.max(F.when(F.col("metric") == m, F.col(q))).alias(f"{m}_{q}") for m in METRICS for q in ("q25", "q75")]
+    found = points.select(*keys, "metric", F.col("total").alias("n"), *(at(i).alias(f"q{25 * i}") for i in (1, 2, 3)))
+    picked = [F.max(F.when(F.col("metric") == m, F.col(q))).alias(f"{m}_{q}") for m in METRICS for q in ("n", "q25", "q50", "q75")]
     return found.groupBy(*keys).agg(*picked)
 
 
-def thresholds(sketch: DataFrame, prior: int = 100, reach: int = 5) -> DataFrame:
+def thresholds(sketch: DataFrame, prior: int = 100, reach: int = 12) -> DataFrame:
     """(_bw_lang, _bw_source) with the fences of each metric: see the module."""
-    sketch = written(sketch, "quality-sketches").withColumn("every", F.lit(1))
-    wide, whole = merged(sketch, "lang", "every"), merged(sketch, "every")
-    wide = written(topped_up(wide, ["lang", "every"], whole, ["every"], prior), "quality-languages")
-    own = quartiles(topped_up(sketch, ["lang", "source", "every"], wide, ["lang", "every"], prior), "lang", "source")
-    own = written(own.withColumns({f"{m}_width": F.col(f"{m}_q75") - F.col(f"{m}_q25") for m in METRICS}), "quality-quartiles")
-    typical = lambda tag: [F.percentile(f"{m}_width", F.lit(0.5)).alias(f"{m}_{tag}") for m in METRICS]
-    joined = own.join(own.groupBy("lang").agg(*typical("lang")), "lang").crossJoin(F.broadcast(own.agg(*typical("all"))))  # one row
-    spread = {m: F.coalesce(F.nullif(F.greatest(f"{m}_width", f"{m}_lang"), F.lit(0)), F.nullif(f"{m}_all", F.lit(0))) * reach for m in METRICS}
-    fences = [(F.col(f"{m}_q75") + spread[m]).alias(f"most_{m}") for m in METRICS] + [(F.col(f"{LENGTH}_q25") - spread[LENGTH]).alias(f"least_{LENGTH}")]
-    return joined.select(F.col("lang").alias("_bw_lang"), F.col("source").alias("_bw_source"), *fences)
-
-
-def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep_text: bool = True, prior: int = 100, reach: int = 5) -> DataFrame:
+    below = {m: F.col(f"{m}_q50") - F.col(f"{m}_q25") for m in METRICS}
+    below[LENGTH] = F.least(below[LENGTH], F.col(f"{LENGTH}_q75") - F.col(f"{LENGTH}_q50"))
+    own = quartiles(sketch, "lang", "source").withColumns({f"{m}_width": width for m, width in below.items()})
+    own = written(own, "quality-quartiles")
+    half = lambda c, tag: F.percentile(c, F.lit(0.5)).alias(tag)
+    of_lang = own.groupBy("lang").agg(*(half(f"{m}_{c}", f"{m}_lang_{c}") for m in METRICS for c in ("q50", "width")))
+    joined = own.join(of_lang, "lang")
+    apart = joined.groupBy("lang").agg(*(half(F.abs(F.col(f"{m}_q50") - F.col(f"{m}_lang_q50")), f"{m}_apart") for m in METRICS))
+    joined = joined.join(apart, "lang").crossJoin(F.broadcast(own.agg(*(half(f"{m}_width", f"{m}_all") for m in METRICS))))  # one row
+
+    def fences(m: str) -> tuple[Column, Column]:
+        held = F.coalesce(F.col(f"{m}_n"), F.lit(0))
+        middle, usual, all_ = F.col(f"{m}_lang_q50"), F.col(f"{m}_lang_width"), F.nullif(F.col(f"{m}_all"), F.lit(0.0))
+        leaning = lambda x, to: (held * F.coalesce(x, to) + prior * to) / (held + prior)
+        spread = F.coalesce(F.nullif(F.greatest(leaning(F.col(f"{m}_width"), usual), usual), F.lit(0.0)), all_)
+        far = (2 * reach if m in NO_ZEROS else reach) * spread
+        furthest = 2 * (2 * reach if m in NO_ZEROS else reach) * (F.coalesce(F.nullif(usual, F.lit(0.0)), all_) + F.col(f"{m}_apart"))
+        centre = leaning(F.col(f"{m}_q50"), middle)
+        return F.greatest(centre - far, middle - furthest), F.least(centre + far, middle + furthest)
+
+    found = [fences(m)[1].alias(f"most_{m}") for m in METRICS] + [fences(LENGTH)[0].alias(f"least_{LENGTH}")]
+    return joined.select(F.col("lang").alias("_bw_lang"), F.col("source").alias("_bw_source"), *found)
+
+
+def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep_text: bool = True, prior: int = 100, reach: int = 12) -> DataFrame:
     """``docs`` with the counts, the metrics, base_failed, kept and failed_rules (``base`` or names of metrics)."""
     counted = written(document_counts(docs, text_col, keep_text), "quality-counts")
     limits = written(thresholds(sketches(counted, lang_col, source_col), prior, reach), "quality-limits")

@@ -183,12 +183,6 @@ def plain_verdicts(rows, prior, reach):
     def held(m, *key):
         return Counter(cut(v[m]) for lang, source, failed, v in found if not failed and key == (lang, source)[: len(key)] and (v[m] or m not in ("dups", "repeats")))
 
-    def topped(own, around):
-        total, out = sum(around.values()), Counter(own)
-        for b, n in around.items():
-            out[b] += n * prior * 1000 // total
-        return out
-
     def quartile(sketch, k):
         at, total = 0, sum(sketch.values())
         for b in sorted(sketch):
@@ -197,25 +191,28 @@ def plain_verdicts(rows, prior, reach):
                 return b
 
     groups = sorted({(lang, source) for lang, source, failed, _ in found if not failed})
-    quarters = {}
+    own = {}
     for m in names:
-        whole = Counter({b: 1000 * n for b, n in held(m).items()})
-        for g in groups if whole else ():
-            wide = topped({b: 1000 * n for b, n in held(m, g[0]).items()}, whole)
-            own = topped({b: 1000 * n for b, n in held(m, *g).items()}, wide)
-            quarters[m, g] = quartile(own, 1), quartile(own, 3)
-    width = {k: b - a for k, (a, b) in quarters.items()}
+        for g in groups:
+            if sketch := held(m, *g):
+                low, middle, high = (quartile(sketch, k) for k in (1, 2, 3))
+                own[m, g] = sum(sketch.values()), middle, min(middle - low, high - middle) if m == "length" else middle - low
     verdicts = []
     for lang, source, failed, values in found:
         fine = not failed
         for m in names if fine else ():
-            if (m, (lang, source)) in width:
-                near = np.median([w for (x, g), w in width.items() if x == m and g[0] == lang])
-                spread = max(width[m, (lang, source)], near) or np.median([w for (x, g), w in width.items() if x == m])
-                low, high = quarters[m, (lang, source)]
+            near = [x for (k, g), x in own.items() if k == m and g[0] == lang]
+            if near:
+                centre, usual = (float(np.median([x[i] for x in near])) for i in (1, 2))
+                whole = float(np.median([x[2] for (k, _), x in own.items() if k == m]))
+                n, middle, width = own.get((m, (lang, source)), (0, centre, usual))
+                leaning = lambda x, to: (n * x + prior * to) / (n + prior)
+                times = reach * (2 if m in ("dups", "repeats") else 1)
+                spread, outer = max(leaning(width, usual), usual) or whole, (usual or whole) + float(np.median([abs(x[1] - centre) for x in near]))
                 if spread:
-                    fine &= bool(values[m] <= high + reach * spread and (m != "length" or values[m] >= low - reach * spread))
-        verdicts.append(fine)
+                    fine &= values[m] <= min(leaning(middle, centre) + times * spread, centre + 2 * times * outer)
+                    fine &= m != "length" or values[m] >= max(leaning(middle, centre) - times * spread, centre - 2 * times * outer)
+        verdicts.append(bool(fine))
     return verdicts
 
 
@@ -233,7 +230,7 @@ def test_quality_verdicts_by_brute_force(spark):
     shown = text(0.9)
     rows += [("en", "plain", shown), ("en", "code", shown), ("fr", "copies", text(0.1, " ### $$$" * 60)), ("de", "y", ""), ("de", "y", None)]
     df = spark.createDataFrame([(i, t, lang, s) for i, (lang, s, t) in enumerate(rows)], "doc_id long, text string, lang string, source string")
-    for prior, reach in ((5, 3), (100, 5)):
+    for prior, reach in ((5, 12), (100, 20)):
         found = {r.doc_id: r for r in quality_rules.judge(df, prior=prior, reach=reach).collect()}
         assert [found[i].kept for i in range(len(rows))] == plain_verdicts(rows, prior, reach)
         assert all(r.kept == (not r.failed_rules) and r.base_failed == (r.failed_rules == ["base"]) for r in found.values())
@@ -253,7 +250,7 @@ def test_quality_quantiles(spark):
     found = {r.source: r for r in quality_rules.quartiles(sketch, "lang", "source").collect()}
     for s in ("a", "b"):
         values = np.array([v for _, x, v in rows if x == s])
-        for share, got in ((0.25, found[s].marks_per_mille_q25), (0.75, found[s].marks_per_mille_q75)):
+        for share, got in ((0.25, found[s].marks_per_mille_q25), (0.5, found[s].marks_per_mille_q50), (0.75, found[s].marks_per_mille_q75)):
             exact = np.quantile(values, share, method="inverted_cdf")
             assert exact * 31 / 32 - 1 <= got <= exact
     merged = quality_rules.quartiles(quality_rules.merged(sketch, "lang"), "lang").first()
@@ -261,6 +258,22 @@ def test_quality_quantiles(spark):
     assert exact * 31 / 32 - 1 <= merged.marks_per_mille_q75 <= exact
 
 
+@pytest.mark.parametrize("share, most_kept", [(0.1, 0.0), (0.2, 0.0), (0.3, 0.0), (0.4, 0.05), (0.6, 0.05), (0.9, 0.05)])
+def test_junk_in_a_source_moves_no_fence(spark, share, most_kept):
+    """One of twelve sources is bad by a share; its junk goes, and the other sources' fences stay where they were."""
+    rng = np.random.default_rng(9)
+    rows = [("en", f"s{s}", int(v)) for s in range(11) for v in rng.normal(28, 4.5, 200)] + [("de", "s1", int(v)) for v in rng.normal(24, 4, 200)]
+    clean, junk = rng.normal(28, 4.5, round(400 * (1 - share))), rng.uniform(150, 400, round(400 * share))
+
+    def limits(rows):
+        df = spark.createDataFrame(rows, "lang string, source string, v long").select("lang", "source", F.lit(False).alias("base_failed"), *(F.col("v").alias(m) for m in quality_rules.METRICS))
+        return {(r._bw_lang, r._bw_source): r.most_marks_per_mille for r in quality_rules.thresholds(quality_rules.sketches(df)).collect()}
+
+    before, after = limits(rows), limits(rows + [("en", "bad", int(v)) for v in [*clean, *junk]])
+    assert sum(v <= after["en", "bad"] for v in junk) <= most_kept * len(junk) and all(v <= after["en", "bad"] for v in clean)
+    assert all(abs(after[g] - x) <= 3 and x > 50 for g, x in before.items())
+
+
 def test_quality_salted_join_is_the_broadcast_join(spark, monkeypatch):
     df = docs_of(spark, [f"{w} " * 3 + " ".join(f"w{w}{i}" for i in range(60)) for w in range(40)])
     a = quality_rules.judge(df).orderBy("doc_id").collect()
