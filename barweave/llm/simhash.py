@@ -24,7 +24,7 @@ their number.
 
 Defined cases: null and empty texts and texts of white space have fingerprint zero and link like any other; fewer words
 than a shingle has are one shingle; very long texts are read whole; repeated rows stay; rows with a null id get the class of their text, whose number
-comes from the ids that are not null; an empty table gives no rows; other columns are kept.
+comes from the ids that are not null; different texts under one id each have their own class; an empty table gives no rows; other columns are kept.
 """
 
 from __future__ import annotations
@@ -261,13 +261,19 @@ def similar_links(docs: DataFrame, banded: DataFrame, id_col: str, similarity: f
     They connect what links; within a class not every such pair has an edge of its own. ``banded`` is what
     ``_with_bands`` made of ``docs``; the texts of candidates alone are read again.
     """
-    texts = written(banded.where("bands IS NOT NULL").groupBy("node").agg(F.min(id_col).alias("least"), F.min("simhash").alias("fp"), *(F.first(c).alias(c) for c in ("size", "bands", "sketch"))), "similar-texts")
+    def on_its_own(df: DataFrame, tag: str) -> tuple[DataFrame, Scratch]:
+        with Scratch(docs.sparkSession) as used:
+            return written(df, tag), used
+
+    texts, used_texts = on_its_own(banded.where("bands IS NOT NULL").groupBy("node").agg(F.min(id_col).alias("least"), F.min("simhash").alias("fp"), *(F.first(c).alias(c) for c in ("size", "bands", "sketch"))), "similar-texts")
     keyed = texts.select("node", "size", F.posexplode("bands").alias("band", "key"))
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(keyed.join(counts, "key"), "similar-keys")
+    shared, used_shared = on_its_own(keyed.join(counts, "key"), "similar-keys")
     company = written(shared.groupBy("node").agg(F.sum("n").alias("company")), "similar-company")
-    members = written(shared.join(company, "node").withColumn("comp", F.col("node")), "similar-members")
+    members, used_members = on_its_own(shared.join(company, "node").withColumn("comp", F.col("node")), "similar-members")
     asked = written(texts.drop("bands").join(company.select("node"), "node"), "similar-asked")
+    used_texts.drop()
+    used_shared.drop()
     own = docs.select(F.col(id_col).alias("_bw_id"), "text")
     ids = written(asked.select(F.col("least").alias("_bw_id")).distinct(), "similar-ids")
     if ids.count() <= BROADCAST_IDS:  # else the texts are shuffled once
@@ -286,15 +292,19 @@ def similar_links(docs: DataFrame, banded: DataFrame, id_col: str, similarity: f
         hubs = written(hubs.select("key", "hub"), "similar-hubs")
         sizes = F.least("size", "hub.size") >= F.lit(similarity) * F.greatest("size", "hub.size") - 1e-6
         met = members.join(hubs, "key").where((F.col("comp") != F.col("hub.comp")) & sizes)
-        pairs = written(fresh(met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))), "similar-candidates")
-        pairs = written(plausible(pairs, asked.select("node", "sketch"), similarity), "similar-candidates")
+        met, used_met = on_its_own(fresh(met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))), "similar-met")
+        pairs = written(plausible(met, asked.select("node", "sketch"), similarity), "similar-candidates")
+        used_met.drop()
         found = written(_confirmed(pairs, sets, similarity), "similar-links")
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         n_found, n_tested = found.count(), pairs.count()
         if n_found:
             roots = connected_components(links, "a", "b")
-            members = written(members.drop("comp").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"), "similar-members")
+            members = members.drop("comp").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+            members, newer = on_its_own(members, "similar-members")
+            used_members.drop()
+            used_members = newer
         if n_found <= HUB_SHARE * n_tested:
             break
     apart = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
@@ -378,11 +388,8 @@ def close_pairs(prints: DataFrame, distance: int = 2, segments: int = 5, crowd:
     return near.unionByName(linked).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, width: int = 3, segments: int = 5, crowd: int = 64, similarity: float | None = None) -> DataFrame:
-    """``docs`` with ``simhash`` (long) and ``component_id``: the smallest id reachable over fingerprints that link.
-
-    With ``similarity`` texts of that Jaccard similarity (shingles of ``width`` words) link too. The text column is dropped before anything is shuffled; join by id, or see ``keep_first``, where it is needed.
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str, distance: int, width: int, segments: int, crowd: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
+    """``docs`` without the text, with ``simhash``; and (simhash, root, component_id), root naming the class."""
     narrow = docs.drop("component_id").select(*(c for c in docs.columns if c not in ("component_id", "simhash")))
     if similarity is None:
         marked = written(with_fingerprint(narrow, text_col, "simhash", width).drop(text_col), "simhash")
@@ -398,27 +405,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         roots = connected_components(written(edges, "simhash-edges"), "a", "b")
         classed = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         least = classed.groupBy("root").agg(F.min("least").alias("component_id"))
-        of_print = classed.join(least, "root").select(F.col("fp").alias("simhash"), "component_id")
+        of_print = classed.join(least, "root").select(F.col("fp").alias("simhash"), "root", "component_id")
     of_print = written(of_print, "simhash-classes")
     used.drop()
-    return marked.join(of_print, "simhash")
+    return marked, of_print
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, width: int = 3, segments: int = 5, crowd: int = 64, similarity: float | None = None) -> DataFrame:
+    """``docs`` with ``simhash`` (long) and ``component_id``: the smallest id reachable over fingerprints that link.
+
+    With ``similarity`` texts of that Jaccard similarity (shingles of ``width`` words) link too. The text column is dropped before anything is shuffled; join by id, or see ``keep_first``, where it is needed.
+    """
+    marked, classes = _classes(docs, id_col, text_col, distance, width, segments, crowd, similarity)
+    return marked.join(classes.drop("root"), "simhash")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without near copies: of each class, the row with the smallest id.
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, width: int = 3, segments: int = 5, crowd: int = 64, similarity: float | None = None) -> DataFrame:
+    """``docs`` without near copies: of each class one row, that with the smallest id.
 
-    Rows with a null id are kept where their class has no other id, once for each fingerprint; of repeated rows with
-    the same id one stays.
+    Of several rows with that id in the class, the one with the smallest fingerprint and then the smallest text stays; rows
+    with one id and texts of different classes stay apart. Rows with a null id are kept where their class has no other id.
     """
     with Scratch(docs.sparkSession) as used:
-        classed = near_duplicates(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", **options)
-    named = written(classed.where("id = component_id").select("id").distinct(), "simhash-kept")
-    alone = written(classed.where("component_id IS NULL").select("simhash").distinct(), "simhash-nameless")
+        marked, classes = _classes(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", distance, width, segments, crowd, similarity)
+    rows = marked.groupBy("id", "simhash").agg(F.count("*").alias("n")).join(classes.select("simhash", "root"), "simhash")
+    best = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "simhash")).alias("best")  # false comes before true
+    rows = rows.join(rows.groupBy("root").agg(best), "root").select("id", "simhash", "n", (F.col("best.id").eqNullSafe(F.col("id")) & (F.col("best.simhash") == F.col("simhash"))).alias("stays"))
+    rows = written(rows, "simhash-rows")
+    by_id = rows.groupBy("id").agg(F.sum("n").alias("n"), F.max("stays").alias("stays"))
+    odd = written(by_id.where("id IS NULL OR n > 1").select("id"), "simhash-odd")  # their rows are told apart by their texts
+    gone = written(by_id.where("id IS NULL OR n > 1 OR NOT stays").where("id IS NOT NULL").select(F.col("id").alias("_bw_id")), "simhash-gone")
+    stays = written(rows.where("stays").join(odd, rows["id"].eqNullSafe(odd["id"]), "left_semi").select("id", "simhash"), "simhash-stays")
     used.drop()
-    held = docs.select(F.col(id_col).alias("id"), F.struct("*").alias("doc"))
-    kept = held.join(named, "id", "left_semi").dropDuplicates(["id"]).select("doc.*")
-    nameless = docs.where(F.col(id_col).isNull())
-    if nameless.limit(1).count() == 0:
+    held = docs.select(F.col(id_col).alias("_bw_id"), F.struct("*").alias("doc"))
+    small = gone.count() <= BROADCAST_IDS  # else the texts are shuffled once
+    kept = held.where("_bw_id IS NOT NULL").join(F.broadcast(gone) if small else gone, "_bw_id", "left_anti").select("doc.*")
+    if odd.limit(1).count() == 0:
         return kept
-    spare = with_fingerprint(nameless.select(F.struct("*").alias("doc"), F.col(text_col).alias("text")), "text", "simhash", options.get("width", 3))
-    return kept.unionByName(spare.join(alone, "simhash", "left_semi").dropDuplicates(["simhash"]).select("doc.*"))
+    few = F.broadcast(odd) if odd.count() <= BROADCAST_IDS else odd
+    again = held.join(few, F.col("_bw_id").eqNullSafe(few["id"]), "left_semi").select("doc", F.col("_bw_id").alias("id"), F.col(f"doc.{text_col}").alias("text"))
+    again = with_fingerprint(again, "text", "simhash", width)
+    same = again["id"].eqNullSafe(stays["id"]) & (again["simhash"] == stays["simhash"])
+    first = again.join(stays, same, "left_semi").groupBy("id", "simhash").agg(F.min_by("doc", F.struct(F.col("text").isNotNull(), "text")).alias("doc"))
+    return kept.unionByName(first.select("doc.*"))

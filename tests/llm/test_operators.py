@@ -848,6 +848,23 @@ def test_components(spark, seed):
     assert found == {x: find(x) for p in pairs if p[0] != p[1] for x in p} or all(found.get(x, x) == find(x) for x in parent)
 
 
+@pytest.mark.parametrize("options", [{}, {"width": 5, "similarity": 0.8}])
+@pytest.mark.parametrize("broadcast", [0, 10**6])
+def test_keep_first_loses_no_text_whose_id_another_has(spark, monkeypatch, options, broadcast):
+    monkeypatch.setattr(simhash, "BROADCAST_IDS", broadcast)
+    rng = random.Random(11)
+    a, b, c, *others = (" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(40)) for _ in range(14))
+    few = spark.createDataFrame([(1, a), (1, b), (2, c), (3, a)], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_first(few, **options).collect())) == sorted([(1, a), (1, b), (2, c)])
+    rows = [(rng.choice([None, *range(8)]), rng.choice(others), n) for n in range(60)] + [(None, None, 60), (None, "", 61), (7, None, 62)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(5), **options).collect()
+    least = {}
+    for i, t, _ in rows:
+        least[t or ""] = min(least.get(t or "", 99), 99 if i is None else i)
+    assert sorted((99 if r.doc_id is None else r.doc_id, r.text or "") for r in kept) == sorted((i, t) for t, i in least.items())
+    assert all((r.doc_id, r.text, r.n) in rows for r in kept)
+
+
 def test_near_duplicates_and_keep_first(spark, odd):
     found = simhash.near_duplicates(odd.select("doc_id", "text")).collect()
     prints = {(r.doc_id, r.simhash) for r in found}
