@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..frames import Panel, col, log, ratio
 from ..functions import current_bar, derived as d, primitives as pr, technical as te
-from ..operators import bars as ba, lookback, recursive as rec
+from ..operators import bars as ba, lookback, recursive as rec, scan
 from . import sqltext as q
 
 
@@ -109,7 +109,11 @@ _gain, _loss = "greatest(coalesce(close - before, 0), 0)", "greatest(coalesce(be
 def recursive_averages(spark, sf_dir):
     bars = hourly(spark, sf_dir).withColumn("hl2", F.pow(log(ratio("high", "low")), F.lit(2))).withColumn("imbalance", d.taker_imbalance())
     kernel = rec.together(rec.ema("close", 12, "e12"), rec.ewma_volatility("close", 24, "vol24"), rec.ewma_variance("hl2", 10, "var10"), rec.rsi("close", 14, "rsi14"), rec.ema("imbalance", 10, "ti10"))
-    p = Panel(rec.stream(bars, kernel, ["e12", "vol24", "var10", "rsi14", "ti10"]))
+    return _averages(rec.stream(bars, kernel, ["e12", "vol24", "var10", "rsi14", "ti10"]))
+
+
+def _averages(found):
+    p = Panel(found)
     return p.select(
         **rounded(
             {
@@ -120,6 +124,14 @@ def recursive_averages(spark, sf_dir):
     )
 
 
+@query("recursive_scan", SQL["recursive_averages"])
+def recursive_scan(spark, sf_dir):
+    """The same averages by chunks of 100 bars that run at once."""
+    bars = hourly(spark, sf_dir).withColumn("hl2", F.pow(log(ratio("high", "low")), F.lit(2))).withColumn("imbalance", d.taker_imbalance())
+    operators = [scan.ema("close", 12, "e12"), scan.ewma_volatility("close", 24, "vol24"), scan.ewma_variance("hl2", 10, "var10"), scan.rsi("close", 14, "rsi14"), scan.ema("imbalance", 10, "ti10")]
+    return _averages(scan.whole_history(bars, operators, 100))
+
+
 @query("recursive_indicators")
 def recursive_indicators(spark, sf_dir):
     """Directional index, seeded index, Kalman slope and accelerations; checked against pandas in the tests."""

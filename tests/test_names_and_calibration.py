@@ -98,12 +98,11 @@ def test_chunked_regimes_are_the_whole_ones(spark, monkeypatch):
     df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, x double")
     whole, score = mo.fit_hmm(df, ["x"], 2, iterations=4)
     wanted = {r.ts: r.p_state_1 for r in mo.hmm_states(df, whole, ["x"]).collect()}
-    monkeypatch.setattr(mo, "CHUNK", 150)
-    monkeypatch.setattr(mo, "HALO", 60)
+    monkeypatch.setattr(mo, "CHUNK", 50)
     cut, other = mo.fit_hmm(df, ["x"], 2, iterations=4)
-    assert abs(score - other) < 1e-6 * abs(score) and abs(cut.move - whole.move).max() < 1e-6 and abs(cut.mean - whole.mean).max() < 1e-6
+    assert abs(score - other) < 1e-10 * abs(score) and abs(cut.move - whole.move).max() < 1e-10 and abs(cut.mean - whole.mean).max() < 1e-10
     found = {r.ts: r.p_state_1 for r in mo.hmm_states(df, whole, ["x"]).collect()}
-    assert set(found) == set(wanted) and max(abs(found[t] - p) for t, p in wanted.items()) < 1e-6
+    assert set(found) == set(wanted) and max(abs(found[t] - p) for t, p in wanted.items()) < 1e-10
 
 
 def test_clusters_overlap_and_attributions(spark):
