@@ -260,14 +260,21 @@ class Sliding(Panel):
     def lag(self, x, k: int = 1) -> Column:
         return self._ask("lag", k, self.ready(x)) if k > 0 else super().lag(x, k)
 
+    def _keeps_order(self, stage: dict[str, Column]) -> bool:
+        """Whether all of Spark's windows in a stage run by symbol and time."""
+        usual = f"OVER (PARTITION BY {', '.join(self.by)} ORDER BY {self.ts} ASC NULLS FIRST"
+        return all(text.count("OVER (") == text.count(usual) for text in map(str, stage.values()))
+
     def staged(self) -> DataFrame:
-        df = self.df
-        if self._asked:
-            df = df.repartition(*self.by).sortWithinPartitions(*self.by, self.ts)
+        df, in_order = self.df, False
         for depth, stage in enumerate(self._stages):
-            df = df.withColumns(stage) if stage else df
+            if stage:
+                df = df.withColumns(stage)
+                in_order &= self._keeps_order(stage)
             if asked := self._asked.get(depth):
-                df = _passed(df, list(self.by), asked)
+                if not in_order:
+                    df = df.repartition(*self.by).sortWithinPartitions(*self.by, self.ts)
+                df, in_order = _passed(df, list(self.by), asked), True
         return df
 
 

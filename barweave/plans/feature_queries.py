@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..frames import Panel, col, log, ratio
 from ..functions import current_bar, derived as d, primitives as pr, technical as te
 from ..operators import bars as ba, lookback, recursive as rec, scan
+from ..operators.sliding import Sliding
 from . import sqltext as q
 
 
@@ -32,7 +33,7 @@ def rounded(columns: dict[str, Column], digits: int = 6) -> dict[str, Column]:
 
 
 def panel(spark: SparkSession, sf_dir: str) -> Panel:
-    return Panel(hourly(spark, sf_dir))
+    return Sliding(hourly(spark, sf_dir))
 
 
 QUERIES, SQL = {}, {}

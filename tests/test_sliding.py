@@ -5,7 +5,7 @@ import time
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from barweave.frames import Panel
 from barweave.operators import sliding
@@ -20,6 +20,8 @@ def results(p):
         found |= {f"q9_{tag}": p.quantile(y, n, 0.9, least), f"cov_{tag}": p.cov(x, y, n, least), f"corr_{tag}": p.corr(x, y, n, least), f"slope_{tag}": p.slope(y, x, n, least), f"count_{tag}": p.count(x, n), f"z_{tag}": p.zscore(p.log_return("x", 2), n, least)}
         if n < 100:
             found |= {f"skew_{tag}": p.skewness(y, n), f"kurt_{tag}": p.kurtosis(y, n)}
+    other = p.let(F.avg(y).over(Window.partitionBy(*p.by, F.minute(p.ts)).orderBy(p.ts)))
+    found["after_another_order"] = p.mean(p.mean(other, 4), 3)
     return found | {"lag": p.lag("s"), "lag3": p.lag("ts", 3), "lead": p.lead("x"), "deep": p.mean(p.std(p.diff("x"), 4), 6), "carried": p.carried(p.mean("x", 3))}
 
 
