@@ -1,6 +1,7 @@
 """Whole catalogs of features under their published column names: derived features, and technical ones by timeframe.
 
-Each catalog is one pass of recursive averages and one ``Panel``; columns that a caller does not select are pruned.
+Each catalog is one pass of recursive averages and one ``Sliding`` panel (or, by ``panel``, one of Spark's windows, with
+the same results).
 """
 
 from __future__ import annotations
@@ -10,20 +11,21 @@ from pyspark.sql import DataFrame, functions as F
 from ..frames import Panel, log, ratio
 from ..functions import derived as d, primitives as pr, technical as te
 from ..operators import bars as ba, lookback as lb, recursive as rec
+from ..operators.sliding import Sliding
 
 #: Windows of the derived catalog in hours (a day, two days, a week, a month).
 DAY, TWO_DAYS, WEEK, MONTH = 24, 48, 168, 720
 PACES = (DAY, WEEK, MONTH)
 
 
-def derived_catalog(bars: DataFrame) -> DataFrame:
+def derived_catalog(bars: DataFrame, panel: type[Panel] = Sliding) -> DataFrame:
     """117 columns for bars with volume, taker_buy, trades, oi, premium, spot_volume, quote_volume and ls_ratio."""
     grid = [(pace, n) for pace in PACES for n in (TWO_DAYS, WEEK)]
     averages = {f"_c{n}": rec.ema("close", n, f"_c{n}") for n in PACES} | {f"_l{n}": rec.ema("_log", n, f"_l{n}") for n in PACES} | {f"_o{n}": rec.ema("oi", n, f"_o{n}") for n in PACES}
     kernels = [*averages.values(), *(rec.rsi("close", n, f"rsi_{n}") for n in PACES), *(rec.adx(n, f"adx_{n}") for n in PACES)]
     kernels += [rec.scaled_acceleration(x, n, f"_{tag}a{n}") for x, tag in (("close", "c"), ("oi", "o")) for n in (DAY, WEEK)]
     outputs = [*averages, *(f"{k}_{n}" for k in ("rsi", "adx") for n in PACES), *(f"_{t}a{n}{e}" for t in "co" for n in (DAY, WEEK) for e in ("", "_size"))]
-    p = Panel(rec.stream(bars.withColumn("_log", log("close")), rec.together(*kernels), outputs))
+    p = panel(rec.stream(bars.withColumn("_log", log("close")), rec.together(*kernels), outputs))
     vwap = {n: p.ready(log(pr.rolling_vwap(p, n))) for n in PACES}
     spot = p.ready(d.spot_dominance())
     taker = p.ready(d.net_taker("taker_buy", "spot_volume"))
@@ -63,10 +65,10 @@ def derived_catalog(bars: DataFrame) -> DataFrame:
     return p.select(**found)
 
 
-def technical_catalog(bars: DataFrame, suffix: str, lookback: int = 720, skip_slow: bool = False) -> DataFrame:
+def technical_catalog(bars: DataFrame, suffix: str, lookback: int = 720, skip_slow: bool = False, panel: type[Panel] = Sliding) -> DataFrame:
     """The technical features of bars of one timeframe with its suffix (``_4H``); ``skip_slow`` leaves four out."""
     features = tuple(f for f in lb.FEATURES if not (skip_slow and f is lb.chaikin))
-    p = Panel(lb.with_lookback_features(bars, features, lookback))
+    p = panel(lb.with_lookback_features(bars, features, lookback))
     differences, (k, day), bands, cross = te.price_differences(p), te.stochastic(p), te.bollinger(p, "close"), te.ma_crossover(p, "close", 5, 20)
     sma, atr = p.ready(te.sma(p, "close", 20)), p.ready(te.atr(p))
     away, away_pct = te.ma_distance("close", sma)

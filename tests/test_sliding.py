@@ -9,6 +9,8 @@ from pyspark.sql import Window, functions as F
 
 from barweave.frames import Panel
 from barweave.operators import sliding
+from barweave.plans import catalogs
+from barweave.plans.feature_queries import hourly
 
 
 def results(p):
@@ -88,3 +90,15 @@ def test_spreads_do_not_lose_their_digits():
 def test_sliding_of_nothing(spark):
     p = sliding.Sliding(table_of(spark).limit(0))
     assert p.select(**results(p)).count() == 0
+
+
+@pytest.mark.parametrize("catalog", ["derived", "technical"])
+def test_every_column_of_a_catalog_is_that_of_the_windows(spark, catalog):
+    bars = hourly(spark, "/root/testdata/sf0.01").withColumn("ls_ratio", (1 + F.col("taker_buy")) / (1 + F.col("volume") - F.col("taker_buy"))).where("symbol in ('click', 'view')").persist()
+    made = {"derived": lambda k: catalogs.derived_catalog(bars, k), "technical": lambda k: catalogs.technical_catalog(bars, "1H", 240, panel=k)}[catalog]
+    a, b = (made(k).toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True) for k in (sliding.Sliding, Panel))
+    assert list(a.columns) == list(b.columns) and len(a.columns) >= 112 and len(a) == len(b)
+    for c in a.columns[2:]:
+        u, v = a[c].to_numpy(float), b[c].to_numpy(float)
+        assert (np.isnan(u) == np.isnan(v)).all(), c
+        assert np.max(np.abs(u - v)[~np.isnan(v)] / (1e-6 + np.abs(v[~np.isnan(v)])), initial=0) < 1e-8, c
