@@ -19,20 +19,27 @@ def average_rank(x: Column | str, by: list[str]) -> Column:
     return F.when(x.isNotNull(), F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
 
 
-def with_average_rank(df: DataFrame, x: str, by: list[str], name: str, pieces: int = 200) -> DataFrame:
-    """``df`` with ``average_rank`` as a column, by counts: no task holds all rows or all values of a group.
+def with_average_rank(df: DataFrame, x: str, by: list[str], name: str, pieces: int = 200, few: int = 500_000, heavy: float = 1e-3) -> DataFrame:
+    """``df`` with ``average_rank`` as a column; no task holds all rows or all values of a large group.
 
-    The distinct values of a group are counted, cut at about ``pieces`` split points, numbered within a piece from the
-    piece's first place on, and joined back.
+    Where no group has more than ``few`` rows that is a window. Else the distinct values of a group are counted, cut at
+    about ``pieces`` split points, numbered within a piece from the piece's first place on, and joined back: those with
+    more than the share ``heavy`` of all rows, a bounded number, by a broadcast.
     """
+    sizes = df.groupBy(*by).count().agg(F.max("count"), F.sum("count")).first()
+    if (sizes[0] or 0) <= few:
+        return df.withColumn(name, average_rank(x, by))
     values = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("_n"))
     splits = values.groupBy(*by).agg(F.percentile_approx(x, F.array(*(F.lit(i / pieces) for i in range(1, pieces))), F.lit(1000)).alias("_splits"))
     marked = values.join(splits, by).withColumn("_piece", F.size(F.filter("_splits", lambda s: s <= F.col(x)))).drop("_splits")
     before = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # a row for each piece
     first = marked.groupBy(*by, "_piece").agg(F.sum("_n").alias("_all")).select(*by, "_piece", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_first"))
     inside = Window.partitionBy(*by, "_piece").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = marked.join(first, [*by, "_piece"]).select(*by, x, (F.col("_first") + F.coalesce(F.sum("_n").over(inside), F.lit(0)) + (F.col("_n") + 1) / 2.0).alias(name))
-    return df.join(ranks, [*by, x], "left")
+    ranks = marked.join(first, [*by, "_piece"]).select(*by, x, "_n", (F.col("_first") + F.coalesce(F.sum("_n").over(inside), F.lit(0)) + (F.col("_n") + 1) / 2.0).alias(name))
+    often = F.broadcast(ranks.where(F.col("_n") > heavy * sizes[1]).select(*by, x, F.col(name).alias("_often")))
+    marked = df.join(often, [*by, x], "left")
+    rare = marked.where("_often IS NULL").drop("_often").join(ranks.where(F.col("_n") <= heavy * sizes[1]).drop("_n"), [*by, x], "left")
+    return marked.where("_often IS NOT NULL").withColumnRenamed("_often", name).unionByName(rare)
 
 
 def safe_corr(x: str, y: str) -> Column:
