@@ -12,14 +12,22 @@ from ..frames import Panel
 # -- writes
 
 
-def absent(new: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` whose key the table does not have; of equal keys in ``new`` one stays."""
-    return new.dropDuplicates(keys).join(table.select(*keys), keys, "left_anti")
+def one_per_key(new: DataFrame, keys: list[str], newest: str | None = None) -> DataFrame:
+    """Of the rows with equal keys the newest by a column; of several such rows always the same one, however they are partitioned."""
+    others = [f.name for f in new.schema.fields if f.name not in keys and f.dataType.typeName() != "map"]
+    order = [F.col(newest).desc_nulls_last()] if newest else []
+    ties = [F.xxhash64(*others), F.to_json(F.struct(*others))] if others else [F.lit(1)]
+    return new.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order, *ties))).where("_n = 1").drop("_n")
 
 
-def upserted(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+def absent(new: DataFrame, table: DataFrame, keys: list[str], newest: str | None = None) -> DataFrame:
+    """Rows of ``new`` whose key the table does not have; of equal keys in ``new`` the newest stays."""
+    return one_per_key(new, keys, newest).join(table.select(*keys), keys, "left_anti")
+
+
+def upserted(table: DataFrame, new: DataFrame, keys: list[str], newest: str | None = None) -> DataFrame:
     """The table with the rows of ``new`` in place of those with their keys; columns that ``new`` lacks are NULL."""
-    new = new.dropDuplicates(keys)
+    new = one_per_key(new, keys, newest)
     return table.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..frames import Panel, log, ratio
 from ..functions import primitives as pr, sessions as se
 from ..operators import backtest as bt, bars as ba, evaluate as ev, joins as jo, models as mo, store as st
-from ..sources import readers as rd
+from ..sources import committed, readers as rd
 from ..streaming import closed_bars as stream
 from . import sqltext as q
 from .feature_queries import hourly, panel, rounded, table
@@ -228,6 +228,25 @@ def upsert(spark, sf_dir):
     return st.upserted(kept, fresh, ["o_orderkey"])
 
 
+@query(
+    "committed_table",
+    "SELECT o_orderkey, o_orderdate AS ts, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE (o_orderkey % 2 = 0 OR o_orderkey % 3 <> 0) "
+    "AND NOT (o_orderdate >= DATE '1995-03-10' AND o_orderdate < DATE '1995-06-20' AND o_orderkey % 5 = 0)",
+)
+def committed_table(spark, sf_dir):
+    """A table by commits: created, upserted twice by the same batch, and a range of time replaced."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("ts"), "o_totalprice")
+    kept = committed.CommittedTable(spark, f"{_shared(spark)}/orders")
+    kept.create(orders.where("o_orderkey % 3 <> 0"))
+    fresh = orders.where("o_orderkey % 2 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    for _ in range(2):
+        kept.upsert(fresh, ["o_orderkey", "ts"], batch="fresh")
+    start, end = "1995-03-10", "1995-06-20"
+    again = kept.read(start=start, end=end).where("o_orderkey % 5 <> 0")
+    kept.replace_between(again, start, end)
+    return kept.read()
+
+
 @query("replace_where", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderstatus <> 'P' UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice + 1 FROM orders WHERE o_orderkey % 2 = 0 AND o_orderstatus = 'P'")
 def replace_where(spark, sf_dir):
     kept, fresh = _versions(spark, sf_dir)
