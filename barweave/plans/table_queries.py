@@ -93,11 +93,11 @@ def join_range_buckets(spark, sf_dir):
     return jo.range_join(table(spark, sf_dir, "orders").select("o_orderkey"), ranges, "o_orderkey", "lo", "hi", 50).select("o_orderkey", "p_partkey")
 
 
-@query("join_on_hour", f"WITH {q.BARS} SELECT symbol, close, date_trunc('hour', e.ts) AS hour, e.ts, b.ts AS ts_b, event_id, value FROM events e JOIN bars b ON date_trunc('hour', e.ts) = date_trunc('hour', b.ts) WHERE event_type = 'purchase' AND symbol = 'click'")
+@query("join_on_hour", f"WITH {q.BARS} SELECT symbol, close, date_trunc('hour', e.ts) AS hour, e.ts, b.ts AS ts_b, event_id, value FROM events e JOIN bars b ON date_trunc('hour', e.ts) = date_trunc('hour', b.ts)")
 def join_on_hour(spark, sf_dir):
-    """Each purchase beside the bar of clicks of its hour."""
-    events = table(spark, sf_dir, "events").where("event_type = 'purchase'").select("event_id", "ts", "value")
-    return jo.on_hour(events, hourly(spark, sf_dir).where("symbol = 'click'").select("symbol", "ts", "close"))
+    """Each event beside the bars of its hour."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "value")
+    return jo.on_hour(events, hourly(spark, sf_dir).select("symbol", "ts", "close"))
 
 
 @query("join_by_place", "WITH a AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS p FROM orders), b AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS p FROM customer) SELECT o_orderkey, c_custkey FROM a JOIN b USING (p)")
@@ -374,22 +374,22 @@ def market_cleaning(spark, sf_dir):
 # -- files
 
 
-_SPAN = "symbol = 'click' AND ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20'"
+_SPAN = "ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20'"
 
 
 def _file_scan(spark: SparkSession, sf_dir: str, ending: str) -> DataFrame:
     path = f"{_shared(spark)}/bars{ending}"
-    rd.write_table(hourly(spark, sf_dir).where("symbol = 'click'").select("ts", "open", "high", "low", "close", "volume", "trades"), path)
-    return rd.read_table(spark, path, "2024-01-05", "2024-01-20", ["open", "close", "volume"])
+    rd.write_table(hourly(spark, sf_dir).select("symbol", "ts", "open", "high", "low", "close", "volume", "trades"), path)
+    return rd.read_table(spark, path, "2024-01-05", "2024-01-20", ["symbol", "open", "close", "volume"])
 
 
-@query("csv_scan", f"WITH {q.BARS} SELECT ts, open, close, volume FROM bars WHERE {_SPAN}")
+@query("csv_scan", f"WITH {q.BARS} SELECT symbol, ts, open, close, volume FROM bars WHERE {_SPAN}")
 def csv_scan(spark, sf_dir):
     """Bars written as CSV and read again between two times."""
     return _file_scan(spark, sf_dir, ".csv")
 
 
-@query("parquet_scan", f"WITH {q.BARS} SELECT ts, open, close, volume FROM bars WHERE {_SPAN}")
+@query("parquet_scan", f"WITH {q.BARS} SELECT symbol, ts, open, close, volume FROM bars WHERE {_SPAN}")
 def parquet_scan(spark, sf_dir):
     """Bars written as Parquet and read again between two times."""
     return _file_scan(spark, sf_dir, ".parquet")
