@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..frames import Panel, col, log, ratio
 from ..functions import current_bar, derived as d, primitives as pr, technical as te
-from ..operators import bars as ba, lookback, recursive as rec, scan
+from ..operators import backfill, bars as ba, lookback, recursive as rec, scan
 from ..operators.sliding import Sliding
 from . import sqltext as q
 
@@ -442,6 +442,20 @@ def chunked_windows(spark, sf_dir):
     return p.with_columns(**made).where(~F.col("_halo")).select("symbol", "ts", *made)
 
 
+@query("late_bars", SQL["chunked_windows"])
+def late_bars(spark, sf_dir):
+    """The same averages after some bars have come late: only what follows them is computed again."""
+    bars = hourly(spark, sf_dir).select("symbol", "ts", "close", "low")
+
+    def compute(df: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+        p = Sliding(df, by=by)
+        return p.with_columns(sma_20=p.mean("close", 20), low_20=p.lowest("close", 20)).select("symbol", "ts", "sma_20", "low_20")
+
+    is_late = F.crc32(F.concat_ws(" ", "symbol", "ts").cast("binary")) % 401 == 0
+    found = backfill.refreshed(compute(bars.where(~is_late)), bars, bars.where(is_late).select("symbol", "ts"), compute, 19)
+    return found.select("symbol", "ts", *(c.alias(n) for n, c in rounded({"sma_20": "sma_20", "low_20": "low_20"}).items()))
+
+
 @query(
     "hourly_gaps",
     f"WITH {q.BARS}, spans AS (SELECT symbol, min(ts) AS a, max(ts) AS b FROM bars GROUP BY 1), wanted AS (SELECT symbol, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS ts FROM spans) SELECT w.symbol, w.ts FROM wanted w ANTI JOIN bars b ON w.symbol = b.symbol AND w.ts = b.ts",
