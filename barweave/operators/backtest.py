@@ -1,7 +1,7 @@
 """Backtests: entry rules as expressions of a bar, the position as a state machine over the bars.
 
-The state machine streams over each (symbol, configuration) in time order: a batch at a time, one open position at
-most. A grid of configurations is a small table that is crossed with the bars, so each configuration is a task of its own.
+The state machine streams over each symbol in time order, a batch at a time, for all settings of a grid at once: bars
+are read once for up to ``BLOCK`` settings, whose states are arrays, and copied once for each further block.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -53,6 +54,9 @@ def pnl_pct(entry, exit_, direction, fee_pct: float = 0.0) -> Column:
 
 
 TRADES = "symbol string, config string, entry_time timestamp_ntz, exit_time timestamp_ntz, direction int, entry_price double, exit_price double, bars_held int, exit_reason string, stop_loss_pct double, pnl_pct double"
+NO_TRADES = pd.DataFrame(columns=[c.split()[0] for c in TRADES.split(", ")])
+#: Settings of one walk over the bars, and of a grid: it is sent to every task.
+BLOCK, MOST_SETTINGS = 5_000, 200_000
 
 
 def run_backtest(bars: DataFrame, configs: DataFrame, fee_pct: float = 0.0, report_open: bool = False) -> DataFrame:
@@ -63,67 +67,104 @@ def run_backtest(bars: DataFrame, configs: DataFrame, fee_pct: float = 0.0, repo
     ``expiry_bars`` bars the position closes at the next bar's mean price; at the end of the data at the last close.
     A stop that still works on the last bar leaves the position unreported unless ``report_open``.
     """
-    few = configs.select(F.col("config").cast("string"), F.col("stop_loss_pct").cast("double"), F.col("expiry_bars").cast("int"), F.col("direction").alias("side"))
-    work = bars.select("symbol", "ts", "open", "high", "low", "close", "signal").join(F.broadcast(few))  # a grid of settings, written by hand
-    names = [c.split()[0] for c in TRADES.split(", ")]
+    settings = configs.select(F.col("config").cast("string"), F.col("stop_loss_pct").cast("double"), F.col("expiry_bars").cast("int"), F.col("direction").alias("side")).orderBy("config").limit(MOST_SETTINGS + 1).toPandas()
+    if len(settings) > MOST_SETTINGS:
+        raise ValueError(f"more than {MOST_SETTINGS} settings")
+    blocks = [settings.iloc[at : at + BLOCK].reset_index(drop=True) for at in range(0, len(settings), BLOCK)]
+    work = bars.select("symbol", "ts", "open", "high", "low", "close", F.coalesce("signal", F.lit(0)).cast("int").alias("signal"))
+    work = work.withColumn("_block", F.explode(F.array(*(F.lit(i) for i in range(len(blocks))))) if blocks else F.lit(0))
+    held = bars.sparkSession.sparkContext.broadcast(blocks)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, machine = None, None
         for batch in batches:
-            trades: list[tuple] = []
-            for start, stop in _stretches(batch.symbol.astype(str) + "\0" + batch.config):
+            trades: list[pd.DataFrame] = []
+            for start, stop in _stretches(batch.symbol.astype(str) + "\0" + batch._block.astype(str)):
                 rows = batch.iloc[start:stop]
-                now = (rows.symbol.iloc[0], rows.config.iloc[0])
+                now = (rows.symbol.iloc[0], int(rows._block.iloc[0]))
                 if now != key:
                     if machine:
                         trades += machine.finish()
-                    key, machine = now, Machine(*now, rows.stop_loss_pct.iloc[0], int(rows.expiry_bars.iloc[0]), rows.side.iloc[0], fee_pct, report_open)
-                for bar in zip(rows.ts, rows.open, rows.high, rows.low, rows.close, rows.signal):
-                    trades += machine.step(*bar)
-            yield pd.DataFrame(trades, columns=names)
+                    key, machine = now, Machines(now[0], held.value[now[1]], fee_pct, report_open)
+                trades += machine.walk(rows)
+            yield pd.concat(trades) if trades else NO_TRADES
         if machine:
-            yield pd.DataFrame(machine.finish(), columns=names)
-
-    return work.repartition("symbol", "config").sortWithinPartitions("symbol", "config", "ts").mapInPandas(run, TRADES)
-
-
-class Machine:
-    """One position at most: flat, waiting to fill, open with a stop, waiting to close."""
-
-    def __init__(self, symbol: str, config: str, stop_pct: float, expiry: int, side: str, fee: float, report_open: bool) -> None:
-        self.symbol, self.config, self.stop_pct, self.expiry, self.fee, self.report_open = symbol, config, stop_pct, expiry, fee, report_open
-        self.sides = {"long": (1,), "short": (-1,), "both": (1, -1)}[side]
-        self.state, self.last = "flat", None
-
-    def trade(self, ts, price: float, reason: str) -> list[tuple]:
-        gain = (price / self.price - 1 if self.way == 1 else 1 - price / self.price) * 100 - self.fee
-        self.state = "flat"
-        return [(self.symbol, self.config, self.entered, ts, self.way, self.price, price, self.held, reason, self.stop_pct, gain)]
-
-    def step(self, ts, open_: float, high: float, low: float, close: float, signal: int) -> list[tuple]:
-        out: list[tuple] = []
-        mean = (open_ + high + low + close) / 4
-        if self.state == "entering":
-            self.state, self.entered, self.price, self.held = "open", ts, mean, 0
-            self.stop = close * (1 + self.way * self.stop_pct / 100)
-        elif self.state in ("open", "closing"):
-            self.held += 1
-            if self.state == "closing":
-                out = self.trade(ts, mean, "time_exit")
-            elif (low <= self.stop) if self.way == 1 else (high >= self.stop):
-                beyond = open_ <= self.stop if self.way == 1 else open_ >= self.stop
-                out = self.trade(ts, open_ if beyond else self.stop, "stop_loss")
-            elif self.held >= self.expiry:
-                self.state = "closing"
-        if self.state == "flat" and not out and signal in self.sides:
-            self.state, self.way = "entering", int(signal)
-        self.last = (ts, close)
-        return out
-
-    def finish(self) -> list[tuple]:
-        if self.state == "closing" or (self.state == "open" and self.report_open):
-            return self.trade(self.last[0], self.last[1], "end_of_data")
-        return []
+            yield from machine.finish()
+
+    if not blocks:
+        return bars.sparkSession.createDataFrame([], TRADES)
+    return work.repartition("symbol", "_block").sortWithinPartitions("symbol", "_block", "ts").mapInPandas(run, TRADES)
+
+
+FLAT, ENTERING, OPEN, CLOSING = range(4)
+
+
+class Machines:
+    """One position at most for each of a block of settings: flat, waiting to fill, open with a stop, waiting to close.
+
+    A bar is one step of all settings at once, on arrays; memory is that of the settings and of a batch's trades.
+    """
+
+    def __init__(self, symbol: str, settings: pd.DataFrame, fee: float, report_open: bool) -> None:
+        self.symbol, self.fee, self.report_open = symbol, fee, report_open
+        self.config = settings["config"].to_numpy(object)
+        self.stop_pct, self.expiry = settings["stop_loss_pct"].to_numpy(float), settings["expiry_bars"].to_numpy(np.int64)
+        side, n = settings["side"].to_numpy(object), len(settings)
+        self.takes = {1: np.isin(side, ("long", "both")), -1: np.isin(side, ("short", "both"))}
+        self.state, self.way, self.held = np.zeros(n, np.int8), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.price, self.stop, self.entered = np.full(n, np.nan), np.full(n, np.nan), np.zeros(n, "datetime64[us]")
+        self.last, self.found = None, []
+
+    def trade(self, at: np.ndarray, ts: np.datetime64, price: np.ndarray | float, reason: str) -> None:
+        price, way, entry = np.broadcast_to(price, at.shape), self.way[at], self.price[at]
+        gain = np.where(way == 1, price / entry - 1, 1 - price / entry) * 100 - self.fee
+        self.found.append((self.config[at], self.entered[at], np.full(len(at), ts), way, entry, price, self.held[at], np.full(len(at), reason, object), self.stop_pct[at], gain))
+        self.state[at] = FLAT
+
+    def walk(self, rows: pd.DataFrame) -> list[pd.DataFrame]:
+        """The trades that end in the next bars."""
+        times = rows["ts"].to_numpy("datetime64[us]")
+        for ts, open_, high, low, close, signal in zip(times, *(rows[c].to_numpy() for c in ("open", "high", "low", "close", "signal"))):
+            self._step(ts, open_, high, low, close, int(signal))
+            self.last = ts, close
+        return self._taken()
+
+    def _step(self, ts: np.datetime64, open_: float, high: float, low: float, close: float, signal: int) -> None:
+        mean, state = (open_ + high + low + close) / 4, self.state
+        free = state == FLAT
+        if not free.all():
+            entering, is_open, closing = np.flatnonzero(state == ENTERING), np.flatnonzero(state == OPEN), np.flatnonzero(state == CLOSING)
+            self.held[is_open] += 1
+            self.held[closing] += 1
+            if len(closing):
+                self.trade(closing, ts, mean, "time_exit")
+            if len(is_open):
+                long, stop = self.way[is_open] == 1, self.stop[is_open]
+                hit = np.where(long, low <= stop, high >= stop)
+                beyond = np.where(long, open_ <= stop, open_ >= stop)
+                if hit.any():
+                    self.trade(is_open[hit], ts, np.where(beyond, open_, stop)[hit], "stop_loss")
+                old = is_open[~hit & (self.held[is_open] >= self.expiry[is_open])]
+                state[old] = CLOSING
+            state[entering], self.entered[entering], self.price[entering], self.held[entering] = OPEN, ts, mean, 0
+            self.stop[entering] = close * (1 + self.way[entering] * self.stop_pct[entering] / 100)
+        if signal in self.takes:  # what closed in this bar waits for the next signal
+            at = free & self.takes[signal]
+            state[at], self.way[at] = ENTERING, signal
+
+    def _taken(self) -> list[pd.DataFrame]:
+        parts, self.found = self.found, []
+        names = [c.split()[0] for c in TRADES.split(", ")]
+        if not parts:
+            return []
+        columns = [np.concatenate(x) for x in zip(*parts)]
+        return [pd.DataFrame(dict(zip(names[1:], columns))).assign(symbol=self.symbol)[names]]
+
+    def finish(self) -> list[pd.DataFrame]:
+        at = np.flatnonzero((self.state == CLOSING) | ((self.state == OPEN) & self.report_open))
+        if len(at):
+            self.trade(at, self.last[0], self.last[1], "end_of_data")
+        return self._taken()
 
 
 def trade_stats(trades: DataFrame, *by: str, start: float = 1000.0, most: float = 100_000.0) -> DataFrame:
