@@ -53,8 +53,37 @@ def unpivoted(df: DataFrame, keep: list[str], features: list[str]) -> DataFrame:
     return df.select(*keep, F.inline(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features))))
 
 
-def quantiles(x: str, qs: list[float]) -> dict[str, Column]:
-    return {f"q{int(q * 100):02d}": F.percentile(x, F.lit(q)) for q in qs}
+#: Size of a quantile sketch; its rank error is about 2.3 / k^0.9 at 99 % confidence (0.2 % of the rows at 2,000).
+SKETCH = 2_000
+
+
+def quantiles(x: str, qs: list[float], exact: bool = True, k: int = SKETCH) -> dict[str, Column]:
+    """Quantiles of a group: exact ones, for which every distinct value is held at once, or those of a KLL sketch of bounded size."""
+    if exact:
+        return {f"q{int(q * 100):02d}": F.percentile(x, F.lit(q)) for q in qs}
+    sketch = F.kll_sketch_agg_double(F.nullif(F.col(x).cast("double"), F.lit(float("nan"))), k)
+    return {f"q{int(q * 100):02d}": _of_sketch(sketch, q) for q in qs}
+
+
+def _of_sketch(sketch: Column, q: float) -> Column:
+    """A value of the data with about this rank; NULL for a sketch of nothing."""
+    return F.when(F.kll_sketch_get_n_double(sketch) > 0, F.kll_sketch_get_quantile_double(sketch, F.lit(float(q))))
+
+
+def daily_sketches(df: DataFrame, x: list[str], by: list[str] = (), ts: str = "ts", k: int = SKETCH) -> DataFrame:
+    """(by..., day, feature, n, sketch): mergeable quantile sketches, to be kept as a table; missing values are left out."""
+    each = F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.nullif(F.col(c).cast("double"), F.lit(float("nan"))).alias("_x")) for c in x)))
+    rows = df.select(*by, F.to_date(ts).alias("day"), each)
+    return rows.groupBy(*by, "day", "feature").agg(F.count("_x").alias("n"), F.kll_sketch_agg_double("_x", k).alias("sketch"))
+
+
+def quantiles_between(sketches: DataFrame, qs: list[float], start: str | None = None, end: str | None = None, by: list[str] = (), k: int = SKETCH) -> DataFrame:
+    """(by..., feature, n, q..): quantiles of the days from ``start`` up to ``end`` out of their sketches, without the rows."""
+    inside = sketches.where("n > 0")
+    inside = inside.where(F.col("day") >= F.lit(start).cast("date")) if start else inside
+    inside = inside.where(F.col("day") < F.lit(end).cast("date")) if end else inside
+    merged = inside.groupBy(*by, "feature").agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", k).alias("_sketch"))
+    return merged.select(*by, "feature", "n", *(_of_sketch(F.col("_sketch"), q).alias(f"q{int(q * 100):02d}") for q in qs))
 
 
 # -- tails

@@ -133,9 +133,53 @@ def recursive_scan(spark, sf_dir):
     return _averages(scan.whole_history(bars, operators, 100))
 
 
-@query("recursive_indicators")
+def _next(average: str, gap: str, x: str, alpha: float) -> str:
+    """A step of an exponential average over values that may be missing."""
+    old = f"pow({1 - alpha!r}, {gap} + 1)"
+    return f"CASE WHEN {x} IS NULL THEN {average} WHEN {average} IS NULL THEN {x} ELSE ({old} * {average} + {alpha!r} * {x}) / ({old} + {alpha!r}) END"
+
+
+_INDICATORS = {"adx": "CASE WHEN nx >= 14 THEN x END", "adx_plus": "dp", "adx_minus": "dm", "rsi_seeded": "CASE WHEN n > 14 THEN CASE WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END END", "kalman": "CASE WHEN n > 1 THEN speed END"}
+_INDICATORS |= {"oi_accel": "oa / nullif(ob, 0)", "oi_accel_size": "ob", "px_accel": "pa / nullif(pb, 0)", "px_accel_size": "pb", "accel_product": "oa / nullif(ob, 0) * (pa / nullif(pb, 0))"}
+#: A row after the other, with every state as a column.
+_STEPS = f"""WITH RECURSIVE {q.BARS}, rows1 AS (
+  SELECT symbol, ts, close, row_number() OVER w AS n, high - lag(high) OVER w AS up, lag(low) OVER w - low AS down, close - lag(close) OVER w AS move,
+         greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr, oi / nullif(lag(oi) OVER w, 0) - 1 AS ro, close / nullif(lag(close) OVER w, 0) - 1 AS rp
+  FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)
+), rows2 AS MATERIALIZED (
+  SELECT symbol, ts, close, n, tr, move, CASE WHEN up > down AND up > 0 THEN up ELSE 0 END AS plus, CASE WHEN down > up AND down > 0 THEN down ELSE 0 END AS minus,
+         ro - lag(ro) OVER w AS co, sign(ro) * (ro - lag(ro) OVER w) AS so, rp - lag(rp) OVER w AS cp, sign(rp) * (rp - lag(rp) OVER w) AS sp
+  FROM rows1 WINDOW w AS (PARTITION BY symbol ORDER BY ts)
+), walk AS (
+  SELECT symbol, ts, n, tr AS st, plus::DOUBLE AS sp, minus::DOUBLE AS sm, NULL::DOUBLE AS dp, NULL::DOUBLE AS dm, NULL::DOUBLE AS x, 0 AS gx, 0 AS nx, NULL::DOUBLE AS oa, NULL::DOUBLE AS ob, 0 AS og, NULL::DOUBLE AS pa,
+         NULL::DOUBLE AS pb, 0 AS pg, 0::DOUBLE AS g, 0::DOUBLE AS l, close AS place, 0::DOUBLE AS speed, 1::DOUBLE AS vpp, 0::DOUBLE AS vps, 1::DOUBLE AS vss
+  FROM rows2 WHERE n = 1
+  UNION ALL
+  SELECT symbol, ts, n, st, sp, sm, dp, dm, {_next("x", "gx", "dx", 1 / 14)}, CASE WHEN dx IS NULL THEN gx + 1 ELSE 0 END, nx + (dx IS NOT NULL)::INT, oa, ob, og, pa, pb, pg, g, l,
+         place + speed + gp * (close - place - speed), speed + gs * (close - place - speed), (1 - gp) * vpp, (1 - gp) * vps, vss - gs * vps
+  FROM (
+    SELECT *, CASE WHEN n >= 14 THEN 100 * abs(dp - dm) / nullif(dp + dm, 0) END AS dx, vpp / (vpp + 1e-2) AS gp, vps / (vpp + 1e-2) AS gs
+    FROM (
+      SELECT *, CASE WHEN n >= 14 THEN 100 * sp / nullif(st, 0) END AS dp, CASE WHEN n >= 14 THEN 100 * sm / nullif(st, 0) END AS dm
+      FROM (
+        SELECT r.symbol, r.ts, r.n, r.close, w.st * 13 / 14 + r.tr / 14 AS st, w.sp * 13 / 14 + r.plus / 14 AS sp, w.sm * 13 / 14 + r.minus / 14 AS sm, w.x, w.gx, w.nx,
+               {_next("w.oa", "w.og", "r.co", 2 / 25)} AS oa, {_next("w.ob", "w.og", "r.so", 2 / 25)} AS ob, CASE WHEN r.co IS NULL THEN w.og + 1 ELSE 0 END AS og,
+               {_next("w.pa", "w.pg", "r.cp", 2 / 25)} AS pa, {_next("w.pb", "w.pg", "r.sp", 2 / 25)} AS pb, CASE WHEN r.cp IS NULL THEN w.pg + 1 ELSE 0 END AS pg,
+               w.g + (greatest(r.move, 0) - w.g) / least(r.n - 1, 14) AS g, w.l + (greatest(-r.move, 0) - w.l) / least(r.n - 1, 14) AS l,
+               w.place, w.speed, w.vpp + 2 * w.vps + w.vss + 1e-5 AS vpp, w.vps + w.vss AS vps, w.vss + 1e-5 AS vss
+        FROM walk w JOIN rows2 r ON r.symbol = w.symbol AND r.n = w.n + 1
+      )
+    )
+  )
+)
+SELECT symbol, ts,
+  {q.rounded(_INDICATORS)}
+FROM walk"""
+
+
+@query("recursive_indicators", _STEPS)
 def recursive_indicators(spark, sf_dir):
-    """Directional index, seeded index, Kalman slope and accelerations; checked against pandas in the tests."""
+    """Directional index, seeded index, Kalman slope and accelerations; the SQL walks the rows one after another."""
     bars = hourly(spark, sf_dir)
     kernel = rec.together(rec.adx(14, "adx"), rec.wilder_seeded_rsi("close", 14, "rsi_seeded"), rec.kalman_slope("close", "kalman"), rec.scaled_acceleration("oi", 24, "oi_accel"), rec.scaled_acceleration("close", 24, "px_accel"))
     names = ["adx", "adx_plus", "adx_minus", "rsi_seeded", "kalman", "oi_accel", "oi_accel_size", "px_accel", "px_accel_size"]
