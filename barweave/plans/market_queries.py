@@ -318,7 +318,14 @@ def conditional_stats(spark, sf_dir):
     return found.select("lang", "n", *(c.alias(n) for n, c in rounded({n: n for n in ("mean", "median", "std", "positive")}).items()))
 
 
-@query("pr_auc")
+_CURVE = f"""WITH {_LD}, points AS (SELECT lang, x, sum(quality)::DOUBLE AS hits, count(*) AS n FROM ld GROUP BY 1, 2),
+curve AS (SELECT lang, x, sum(hits) OVER down AS tp, sum(n) OVER down AS n, sum(hits) OVER (PARTITION BY lang) AS whole FROM points WINDOW down AS (PARTITION BY lang ORDER BY x DESC)),
+steps AS (SELECT lang, x, tp / nullif(whole, 0) AS recall, tp / n AS precision FROM curve),
+parts AS (SELECT lang, (recall - coalesce(lag(recall) OVER down, 0)) * (precision + coalesce(lag(precision) OVER down, 1)) / 2 AS part FROM steps WINDOW down AS (PARTITION BY lang ORDER BY x DESC))
+SELECT lang, {q.rounded({"pr_auc": "sum(part)"})} FROM parts GROUP BY lang"""
+
+
+@query("pr_auc", _CURVE)
 def pr_auc(spark, sf_dir):
     found = ev.pr_auc(labelled(spark, sf_dir), "quality", "x", ["lang"])
     return found.select("lang", *(c.alias(n) for n, c in rounded({"pr_auc": "pr_auc"}).items()))
@@ -351,7 +358,16 @@ def missing_and_kinds(spark, sf_dir):
     return ev.binary_columns(rows, ["quality", "toxic", "x"]).join(ev.missingness(rows, ["quality", "toxic", "x"]), "column")
 
 
-@query("stationarity")
+_MOVES = " UNION ALL ".join(f"SELECT symbol, {k} AS k, close - lag(close, {k}) OVER (PARTITION BY symbol ORDER BY ts) AS d FROM bars" for k in range(2, 21))
+_STATIONARY = f"""WITH {q.BARS}, moves AS ({_MOVES}), spread AS (SELECT symbol, k, stddev_pop(d) AS s FROM moves GROUP BY 1, 2),
+h AS (SELECT symbol, regr_slope(CASE WHEN s > 0 THEN ln(s) END, ln(k)) AS hurst FROM spread GROUP BY 1),
+f AS (SELECT symbol, 1 + regr_slope(close - before, before) AS phi FROM (SELECT symbol, close, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS before FROM bars) GROUP BY 1),
+m AS (SELECT symbol, hurst, CASE WHEN phi > 0 AND phi < 1 THEN -ln(2) / ln(phi) END AS half_life FROM h JOIN f USING (symbol)),
+scored AS (SELECT *, coalesce(hurst, 1) + 0.5 * ln(1 + coalesce(half_life, 1e9)) / ln(101) AS score FROM m)
+SELECT symbol, (rank() OVER (ORDER BY score))::INTEGER AS rank, {q.rounded({"hurst": "hurst", "half_life": "half_life", "score": "score"})} FROM scored"""
+
+
+@query("stationarity", _STATIONARY)
 def stationarity(spark, sf_dir):
     scores = ev.hurst_by_lags(panel(spark, sf_dir), "close").join(ev.half_life(panel(spark, sf_dir), "close"), "symbol")
     found = ev.stationarity_rank(scores)
