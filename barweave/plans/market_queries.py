@@ -396,16 +396,54 @@ def signalled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.with_columns(signal=bt.entry_signal([(z, "<", -1.0)], [(z, ">", 2.0)]), z=z)
 
 
-@query("backtest_grid")
+#: A bar after the other for each symbol and setting; the state is flat (0), entering (1), open (2) or closing (3).
+_WALK = f"""WITH RECURSIVE {q.BARS}, grid AS (
+  SELECT 'stop_loss_pct=' || s || '|expiry_bars=' || e || '|direction=' || d AS config, s::DOUBLE AS pct, e::INT AS expiry, d AS side
+  FROM unnest(['-50.0', '-80.0']) AS a(s), unnest(['6', '24']) AS b(e), unnest(['long', 'both']) AS c(d)
+), z AS (SELECT symbol, ts, open, high, low, close, {q.zscore("close", 24)} AS z FROM bars
+), bar AS MATERIALIZED (
+  SELECT symbol, ts, open, high, low, close, (open + high + low + close) / 4 AS mean, CASE WHEN coalesce(z < -1, false) THEN 1 WHEN coalesce(z > 2, false) THEN -1 ELSE 0 END AS signal,
+         row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n, count(*) OVER (PARTITION BY symbol) AS last
+  FROM z
+), walk AS (
+  SELECT symbol, config, pct, expiry, side, n, CASE WHEN signal = 1 OR signal = -1 AND side = 'both' THEN 1 ELSE 0 END AS state, signal AS way, NULL::TIMESTAMP AS entered, NULL::DOUBLE AS price, 0 AS held, NULL::DOUBLE AS stop,
+         NULL::TIMESTAMP AS exit_time, NULL::DOUBLE AS exit_price, NULL::VARCHAR AS reason
+  FROM bar, grid WHERE n = 1
+  UNION ALL
+  SELECT symbol, config, pct, expiry, side, n,
+         CASE WHEN reason IS NOT NULL THEN 0 WHEN before = 1 THEN 2 WHEN before = 2 THEN CASE WHEN held >= expiry THEN 3 ELSE 2 END WHEN signal = 1 OR signal = -1 AND side = 'both' THEN 1 ELSE 0 END,
+         CASE WHEN before = 0 THEN signal ELSE way END, CASE WHEN before = 1 THEN ts ELSE entered END, CASE WHEN before = 1 THEN mean ELSE price END, CASE WHEN before = 1 THEN 0 ELSE held END,
+         CASE WHEN before = 1 THEN close * (1 + way * pct / 100) ELSE stop END, CASE WHEN reason IS NOT NULL THEN ts END,
+         CASE reason WHEN 'time_exit' THEN mean WHEN 'stop_loss' THEN CASE WHEN way = 1 AND open <= stop OR way = -1 AND open >= stop THEN open ELSE stop END WHEN 'end_of_data' THEN close END, reason
+  FROM (
+    SELECT *, CASE WHEN before = 3 THEN 'time_exit' WHEN before = 2 AND (way = 1 AND low <= stop OR way = -1 AND high >= stop) THEN 'stop_loss' WHEN before = 2 AND held >= expiry AND n = last THEN 'end_of_data' END AS reason
+    FROM (
+      SELECT b.*, w.config, w.pct, w.expiry, w.side, w.state AS before, w.way, w.entered, w.price, w.held + (w.state >= 2)::INT AS held, w.stop
+      FROM walk w JOIN bar b ON b.symbol = w.symbol AND b.n = w.n + 1
+    )
+  )
+), trades AS (
+  SELECT symbol, config, entered AS entry_time, exit_time, way::INT AS direction, price AS entry_price, exit_price, held::INT AS bars_held, reason AS exit_reason, pct AS stop_loss_pct,
+         (CASE WHEN way = 1 THEN exit_price / price - 1 ELSE 1 - exit_price / price END) * 100 - 0.1::DOUBLE AS pnl_pct
+  FROM walk WHERE reason IS NOT NULL
+)"""
+
+
+@query("backtest_grid", f"{_WALK} SELECT * FROM trades")
 def backtest_grid(spark, sf_dir):
-    """Trades of every configuration; checked against a plain loop in the tests."""
+    """Trades of every configuration."""
     configs = bt.grid(spark, stop_loss_pct=[-50.0, -80.0], expiry_bars=[6, 24], direction=["long", "both"])
     return bt.run_backtest(signalled(spark, sf_dir), configs, fee_pct=0.1)
 
 
-@query("backtest_stats")
+_STATS = {"win_rate": "avg((pnl_pct > 0)::INT)", "mean_pnl": "avg(pnl_pct)", "total_pnl": "sum(pnl_pct)", "mean_win": "avg(pnl_pct) FILTER (pnl_pct > 0)", "mean_loss": "avg(pnl_pct) FILTER (pnl_pct <= 0)"}
+_STATS["capital"] = "list_reduce(list_concat([1000::DOUBLE], list(pnl_pct ORDER BY exit_time, entry_time, pnl_pct)), lambda c, g: least(c * (1 + g / 100), 100000))"
+
+
+@query("backtest_stats", f"{_WALK} SELECT symbol, config, count(*) AS n_trades, count(*) FILTER (exit_reason = 'stop_loss') AS n_stops, count(*) FILTER (exit_reason = 'time_exit') AS n_time_exits, {q.rounded(_STATS)} FROM trades GROUP BY 1, 2")
 def backtest_stats(spark, sf_dir):
-    return bt.trade_stats(backtest_grid(spark, sf_dir), "symbol", "config")
+    found = bt.trade_stats(backtest_grid(spark, sf_dir), "symbol", "config")
+    return found.select("symbol", "config", "n_trades", "n_stops", "n_time_exits", *(c.alias(n) for n, c in rounded({n: n for n in _STATS}).items()))
 
 
 @query(
