@@ -343,12 +343,23 @@ def feature_correlations(spark, sf_dir):
     return found.select("symbol", "feature", "n", *(c.alias(n) for n, c in rounded({"pearson": "pearson", "spearman": "spearman"}).items()))
 
 
-@query("feature_selection")
+_CHOSEN = ["close", "open", "high", "low", *_CORR]
+_PAIRS = " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, covar_samp(r_{a}, r_{b}) / nullif(stddev_samp(r_{a}) * stddev_samp(r_{b}), 0) AS rho, count(*) AS overlap FROM ranked" for i, a in enumerate(_CHOSEN) for b in _CHOSEN[i + 1 :]
+)
+_GREEDY = f"""WITH RECURSIVE {q.BARS}, ranked AS (SELECT {", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE AS r_{c}" for c in _CHOSEN)} FROM bars),
+pairs AS MATERIALIZED (SELECT a, b FROM ({_PAIRS}) WHERE abs(rho) >= 0.6 AND overlap >= 200),
+near AS MATERIALIZED (SELECT name, list(other) AS others FROM (SELECT a AS name, b AS other FROM pairs UNION ALL SELECT b, a FROM pairs) GROUP BY 1),
+asked AS MATERIALIZED (SELECT n, name, coalesce(others, []) AS others FROM (SELECT unnest({_CHOSEN!r}) AS name, unnest(range({len(_CHOSEN)})) AS n) LEFT JOIN near USING (name)),
+walk AS (SELECT 0::BIGINT AS n, []::VARCHAR[] AS kept UNION ALL SELECT w.n + 1, CASE WHEN list_has_any(w.kept, a.others) THEN w.kept ELSE list_append(w.kept, a.name) END FROM walk w JOIN asked a ON a.n = w.n)
+SELECT (unnest(range(len(kept))))::INTEGER AS place, unnest(kept) AS feature FROM walk WHERE n = {len(_CHOSEN)}"""
+
+
+@query("feature_selection", _GREEDY)
 def feature_selection(spark, sf_dir):
     """Greedy selection over the rank correlation of features; the kept ones with their places."""
     bars = hourly(spark, sf_dir).withColumn("key", F.concat_ws("|", "symbol", F.col("ts").cast("string")))
-    names = ["close", "open", "high", "low", *_CORR]
-    kept = ev.greedy_select(ev.correlation_matrix(bars, "key", names), names, 0.6)
+    kept = ev.greedy_select(ev.correlation_matrix(bars, "key", _CHOSEN), _CHOSEN, 0.6)
     return spark.createDataFrame([(i, n) for i, n in enumerate(kept)], "place int, feature string")
 
 
