@@ -72,6 +72,11 @@ def session_counts(ticks: DataFrame, gap: str = "30 minutes", late: str = "1 hou
     return ticks.withWatermark("ts", late).groupBy("symbol", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n")).select("symbol", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
-def ticks_from_files(spark: SparkSession, path: str, schema, per_trigger: int = 1) -> DataFrame:
-    """A stream over the files of a folder of ticks."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+def ticks_from_files(spark: SparkSession, path: str, schema, per_trigger: int | None = 1) -> DataFrame:
+    """A stream over the files of a folder of ticks.
+
+    Files come by their times of writing. Where that isn't the order of their ticks, the watermark of one file makes the
+    ticks of the next late, and they are lost: then all files are to come at once (``per_trigger`` None).
+    """
+    reader = spark.readStream.schema(schema)
+    return (reader if per_trigger is None else reader.option("maxFilesPerTrigger", per_trigger)).parquet(path)
