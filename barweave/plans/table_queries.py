@@ -186,7 +186,7 @@ def dedupe_first_last(spark, sf_dir):
 )
 def scalars(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    made = rounded({"ln_value": F.ln("value"), "clipped": F.greatest(F.least("value", F.lit(100.0)), F.lit(10.0))})
+    made = rounded({"ln_value": F.when(F.col("value") == 0, float("-inf")).otherwise(F.ln("value")), "clipped": F.greatest(F.least("value", F.lit(100.0)), F.lit(10.0))})
     return events.select(
         "event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.upper("event_type").alias("kind"), F.regexp_extract("event_type", "^(.)", 1).alias("initial"), F.hour("ts").cast("long").alias("hour"), F.weekday("ts").cast("long").alias("dow"),
         F.dayofmonth("ts").cast("long").alias("day"), F.month("ts").cast("long").alias("month"), F.to_date("ts").alias("d"), *(c.alias(n) for n, c in made.items()), F.when(F.col("value") > 50, "high").otherwise("low").alias("band"), F.expr("try_cast(event_type AS double)").alias("no_number"),

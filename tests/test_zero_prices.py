@@ -47,3 +47,7 @@ def test_recursive_averages(spark, zeros):
 
 def test_recursive_scan(spark, zeros):
     same(spark, zeros, "recursive_scan")
+
+
+def test_scalars(spark, zeros):
+    same(spark, zeros, "scalars")
