@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..frames import Panel, log, ratio
 from ..functions import primitives as pr, sessions as se
 from ..operators import backtest as bt, bars as ba, evaluate as ev, joins as jo, models as mo, store as st
 from ..sources import committed, readers as rd
+from ..sources.shared import written
 from ..streaming import closed_bars as stream
 from . import sqltext as q
 from .feature_queries import hourly, panel, rounded, table
@@ -403,13 +406,17 @@ def trained_trees(spark, sf_dir):
     """Boosted trees on window features of the bars, a model for each symbol, split by time; metrics of the last parts."""
     p = panel(spark, sf_dir)
     made = p.select(z=pr.zscore(p, "close", 24), vol=pr.parkinson_volatility(p, 24), share=ratio("taker_buy", "volume"), y=log(ratio(p.lead("close", 6), "close"))).dropna()
-    scored = None
-    for (symbol,) in made.select("symbol").distinct().orderBy("symbol").collect():
-        split = st.time_split(made.where(F.col("symbol") == symbol), 0.7, 0.15)
+    made = written(made, "trees-rows")  # training reads its rows many times
+
+    def scored(row) -> DataFrame:
+        split = written(st.time_split(made.where(F.col("symbol") == row.symbol), 0.7, 0.15), "trees-split")
         fitted = mo.fit_trees(split.where("split = 'train'"), ["z", "vol", "share"], "y")
-        found = mo.metrics(mo.predict(fitted, split.where("split = 'test'")), "y").withColumn("symbol", F.lit(symbol))
-        scored = found if scored is None else scored.unionByName(found)
-    return scored.select("symbol", *(c.alias(n) for n, c in rounded({n: n for n in ("rmse", "mae", "corr", "pinball")}, 4).items()))
+        return mo.metrics(mo.predict(fitted, split.where("split = 'test'")), "y").withColumn("symbol", F.lit(row.symbol))
+
+    symbols = made.select("symbol").distinct().orderBy("symbol").collect()
+    with ThreadPool(4) as pool:  # a fit is hundreds of short jobs, which leave cores idle
+        found = pool.map(inheritable_thread_target(spark)(scored), symbols)
+    return st.union_of(found).select("symbol", *(c.alias(n) for n, c in rounded({n: n for n in ("rmse", "mae", "corr", "pinball")}, 4).items()))
 
 
 @query("regimes")

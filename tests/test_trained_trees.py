@@ -13,3 +13,12 @@ def test_every_symbol_has_a_model(spark, sf_dir, monkeypatch):
     assert len(symbols) > 1 and {r.symbol for r in rows} == symbols and len(rows) == len(symbols)
     assert given == [{}] * len(symbols)
     assert all(0 < r.rmse and 0 < r.mae <= r.rmse for r in rows)
+
+
+def test_training_reads_written_rows(spark, sf_dir, monkeypatch):
+    """Each tree reads its rows again: they are made from the events once."""
+    read = []
+    monkeypatch.setattr(mo, "fit_trees", lambda train, features, target: read.extend(train.inputFiles()))
+    monkeypatch.setattr(mo, "predict", lambda fitted, df: read.extend(df.inputFiles()) or df.withColumn("y_pred", df.y * 0))
+    assert len(trained_trees(spark, sf_dir).collect()) == 5
+    assert read and not [f for f in read if f.endswith("events.parquet")]
