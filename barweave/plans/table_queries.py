@@ -403,15 +403,24 @@ def parquet_scan(spark, sf_dir):
 
 @query("trained_trees")
 def trained_trees(spark, sf_dir):
-    """Boosted trees on window features of the bars, a model for each symbol, split by time; metrics of the last parts."""
+    """Boosted trees on window features of the bars, a model for each symbol, split by time; metrics of the last parts.
+
+    Models see rows with all features and the target. A symbol without such rows for training has no model; its metrics are NULL.
+    """
     p = panel(spark, sf_dir)
-    made = p.select(z=pr.zscore(p, "close", 24), vol=pr.parkinson_volatility(p, 24), share=ratio("taker_buy", "volume"), y=log(ratio(p.lead("close", 6), "close"))).dropna()
+    made = p.select(z=pr.zscore(p, "close", 24), vol=pr.parkinson_volatility(p, 24), share=ratio("taker_buy", "volume"), y=log(ratio(p.lead("close", 6), "close")))
     made = written(made, "trees-rows")  # training reads its rows many times
+    features = ["z", "vol", "share"]
 
     def scored(row) -> DataFrame:
-        split = written(st.time_split(made.where(F.col("symbol") == row.symbol), 0.7, 0.15), "trees-split")
-        fitted = mo.fit_trees(split.where("split = 'train'"), ["z", "vol", "share"], "y")
-        return mo.metrics(mo.predict(fitted, split.where("split = 'test'")), "y").withColumn("symbol", F.lit(row.symbol))
+        whole = made.where(F.col("symbol").eqNullSafe(row.symbol)).dropna(subset=[*features, "y"])
+        split = written(st.time_split(whole, 0.7, 0.15), "trees-split")
+        train, test = split.where("split = 'train'"), split.where("split = 'test'")
+        if train.isEmpty():  # as where every frame has a bar with a low of zero
+            predicted = test.withColumn("y_pred", F.lit(None).cast("double"))
+        else:
+            predicted = mo.predict(mo.fit_trees(train, features, "y"), test)
+        return mo.metrics(predicted, "y").withColumn("symbol", F.lit(row.symbol).cast("string"))
 
     symbols = made.select("symbol").distinct().orderBy("symbol").collect()
     with ThreadPool(4) as pool:  # a fit is hundreds of short jobs, which leave cores idle
