@@ -6,7 +6,7 @@ import tempfile
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..frames import Panel, log, ratio
 from ..functions import primitives as pr, sessions as se
@@ -188,14 +188,44 @@ def dedupe_first_last(spark, sf_dir):
     "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, upper(event_type) AS kind, regexp_extract(event_type, '^(.)', 1) AS initial, hour(ts) AS hour, isodow(ts) - 1 AS dow, day(ts) AS day, month(ts) AS month, date_trunc('day', ts)::DATE AS d, round(ln(value) + 0.000000137, 6) + 0.0 AS ln_value, round(greatest(least(value, 100), 10) + 0.000000137, 6) + 0.0 AS clipped, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS band, TRY_CAST(event_type AS DOUBLE) AS no_number FROM events",
 )
 def scalars(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    made = rounded({"ln_value": F.when(F.col("value") == 0, float("-inf")).otherwise(F.ln("value")), "clipped": F.greatest(F.least("value", F.lit(100.0)), F.lit(10.0))})
+    """Functions of a row, with the results of the SQL also for negative values, numbers that are no integers and letters beyond a to z."""
+    events, value = table(spark, sf_dir, "events"), F.col("value")
+    ln = F.when(value > 0, F.ln(value)).when(value == 0, float("-inf")).when(value < 0, float("nan"))
+    made = rounded({"ln_value": ln, "clipped": F.greatest(F.least("value", F.lit(100.0)), F.lit(10.0))})
     return events.select(
-        "event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.upper("event_type").alias("kind"), F.regexp_extract("event_type", "^(.)", 1).alias("initial"), F.hour("ts").cast("long").alias("hour"), F.weekday("ts").cast("long").alias("dow"),
-        F.dayofmonth("ts").cast("long").alias("day"), F.month("ts").cast("long").alias("month"), F.to_date("ts").alias("d"), *(c.alias(n) for n, c in made.items()), F.when(F.col("value") > 50, "high").otherwise("low").alias("band"), F.expr("try_cast(event_type AS double)").alias("no_number"),
+        "event_id", _to_long(F.get_json_object("props", "$.k")).alias("k"), _upper("event_type").alias("kind"), F.regexp_extract("event_type", "(?d)^(.)", 1).alias("initial"), F.hour("ts").cast("long").alias("hour"), F.weekday("ts").cast("long").alias("dow"),
+        F.dayofmonth("ts").cast("long").alias("day"), F.month("ts").cast("long").alias("month"), F.to_date("ts").alias("d"), *(c.alias(n) for n, c in made.items()), F.when(value > 50, "high").otherwise("low").alias("band"), _to_double(F.col("event_type")).alias("no_number"),
     )
 
 
+#: Letters whose upper case is several letters, and the one letter that DuckDB gives for each.
+_MANY = "".join(c for c in map(chr, range(0xFFFF)) if len(c.upper()) > 1)
+_ONE = "".join("\u1e9e" if c == "\xdf" else c.title() if len(c.title()) == 1 else c for c in _MANY)
+
+
+def _upper(x: str) -> Column:
+    """Upper case, each letter by one letter as in DuckDB."""
+    by_letter = F.transform(F.split(x, ""), lambda c: F.when(F.lit(_MANY).contains(c), F.translate(c, _MANY, _ONE)).otherwise(F.upper(c)))
+    return F.when(F.octet_length(x) == F.length(x), F.upper(x)).otherwise(F.array_join(by_letter, ""))
+
+
+def _digits(text: Column) -> Column:
+    """Text without the underscores that DuckDB's numbers may have between digits."""
+    return F.when(text.contains("_"), F.regexp_replace(text, r"(?<=\d)_(?=\d)", "")).otherwise(text)
+
+
+def _to_long(text: Column) -> Column:
+    """Halves are rounded away from zero; an error for what is no number."""
+    return F.coalesce(text.try_cast("long"), F.round(_digits(text).cast("decimal(38,18)")).cast("long"))
+
+
+def _to_double(text: Column) -> Column:
+    """The number that a text is, else NULL; no suffix (1d) and no hexadecimals."""
+    text = _digits(text)
+    number = text.rlike(r"^(?i)\s*[+-]?(inf(inity)?|nan|(\d+\.?\d*|\.\d+)(e[+-]?\d+)?)\s*$")
+    return F.when(number, F.coalesce(text.try_cast("double"), F.lit(float("nan"))))  # Spark has no -nan
+
+
 @query("array_algebra", "SELECT vec_id, round(list_sum(list_transform(embedding[1:8], lambda x: x::DOUBLE * x::DOUBLE)) + 0.000000137, 6) + 0.0 AS norm2, round(list_max(embedding)::DOUBLE + 0.000000137, 6) + 0.0 AS top, len(list_filter(embedding, lambda x: x > 0))::BIGINT AS n_positive FROM embeddings")
 def array_algebra(spark, sf_dir):
     part = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double") * x.cast("double"))
